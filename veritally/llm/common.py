@@ -35,15 +35,16 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bounded_sample(df: DataFrame, key: str, label: str, per_label: int) -> DataFrame:
-    """At most per_label rows of each label, those with the least hash of key; equal hashes go by key.
+def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """The rows (at most `rows`) with the least hash of key, ties by key; other columns come along.
 
-    Rank limits are applied before the shuffle, so no label's rows meet in one task.
+    A filter on the hash, from the count of df, first leaves little more than `rows` rows, so that few are sorted.
     """
-    from pyspark.sql import Window
-
-    by_hash = Window.partitionBy(label).orderBy(F.xxhash64(F.col(key).cast("string"), F.lit(7)), F.col(key))
-    return df.withColumn("_rank", F.row_number().over(by_hash)).filter(F.col("_rank") <= per_label).drop("_rank")
+    df = df.withColumn("_h", F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(7)), F.lit(1 << 30)))
+    found = df.count()
+    if found > rows:
+        df = df.filter(F.col("_h") <= int((1 << 30) * min(1.0, (1.2 * rows + 100) / found)))
+    return df.orderBy("_h", key).limit(rows).drop("_h")
 
 
 # ---------------------------------------------------------------- bytes and words of an Arrow column
@@ -141,3 +142,36 @@ def chunks(batch: pa.RecordBatch, text: str, most: int = 2_000_000):
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)
         yield batch.slice(at, to - at)
         at = to
+
+
+def is_remainder(key, parts: int, remainder: int):
+    """Whether crc32 of the key as text leaves the remainder; false for a null key."""
+    return F.coalesce(F.crc32(F.col(key).cast("string")) % parts == remainder, F.lit(False))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame | None, label: str, rows: int, parts: int, held: int, key: str = "doc_id", text: str = "text"):
+    """(texts, labels) of at most `rows` labelled rows, none held out, as numpy arrays on the driver.
+
+    The rows are chosen by key before any text is read; their number bounds both what is broadcast and what is collected.
+    """
+    source = (labels if labels is not None else docs).select(key, label)
+    chosen = source.filter(F.col(label).isNotNull() & F.col(key).isNotNull() & ~is_remainder(key, parts, held)).dropDuplicates([key])
+    chosen = table(bounded_sample(chosen, key, rows), f"sample-{label}")
+    found = docs.select(key, text).filter(F.col(text).isNotNull()).join(F.broadcast(chosen), key).dropDuplicates([key]).toPandas().sort_values(key)
+    return found[text].to_numpy(object), found[label].to_numpy()
+
+
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> np.ndarray:
+    """Weights (the last is the intercept) of a ridge logistic regression by damped Newton steps."""
+    x = np.column_stack([x, np.ones(len(x))])
+    w = np.zeros(x.shape[1])
+    penalty = ridge * np.eye(x.shape[1])
+    penalty[-1, -1] = 1e-6
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        gradient = x.T @ (p - y) + penalty @ w
+        step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + penalty, gradient)
+        w -= step * min(1.0, 5.0 / max(1e-9, np.abs(step).max()))
+        if np.abs(step).max() < 1e-8:
+            break
+    return w

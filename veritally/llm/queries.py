@@ -1,12 +1,16 @@
 """The queries of the operators and their SQL twins."""
 
-from . import mixing, quality_rules
+from . import mixing, quality_crf, quality_rules, secret_scan, toxicity
 
 QUERIES = {
+    "op4_toxicity": toxicity.query,
+    "op5_secret_scan": secret_scan.query,
     "op7_quality_rules": quality_rules.query,
+    "op9_quality_crf": quality_crf.query,
     "op10_mixing": mixing.query,
 }
 ORACLE = {
+    "op5_secret_scan": secret_scan.SQL,
     "op7_quality_rules": quality_rules.SQL,
     "op10_mixing": mixing.SQL,
 }
