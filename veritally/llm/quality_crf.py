@@ -168,7 +168,9 @@ def train(texts, labels, rounds: int = 150, step: float = 0.1, ridge: float = 1e
     labels = np.asarray(labels, float)
     if not len(labels) or labels.min() == labels.max():
         return Model()
-    lines = line_features(pa.array(texts, pa.large_string()))
+    whole = pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string())], ["text"])
+    parts = [line_features(c.column(0)) for c in chunks(whole, "text")]
+    lines = Lines(np.concatenate([p.own for p in parts]), np.concatenate([p.size for p in parts]), np.concatenate([p.count for p in parts]))
     x = with_neighbours(lines)
     model = Model(prior=float(labels.mean()))
     model.centre, model.scale = x.mean(0), x.std(0) + 1e-6
@@ -207,7 +209,7 @@ def score_documents(docs: DataFrame, model: Model, text: str = "text", threshold
     return docs.mapInArrow(run, schema)
 
 
-SAMPLE_ROWS = 6000
+SAMPLE_ROWS = 4000
 PARTS, HELD = 3, 1
 
 

@@ -1,8 +1,10 @@
 """The queries of the operators and their SQL twins."""
 
-from . import mixing, quality_crf, quality_rules, secret_scan, toxicity
+from . import html_extract, language_id, mixing, quality_crf, quality_rules, secret_scan, toxicity
 
 QUERIES = {
+    "op2_language_id": language_id.query,
+    "op3_html_extract": html_extract.query,
     "op4_toxicity": toxicity.query,
     "op5_secret_scan": secret_scan.query,
     "op7_quality_rules": quality_rules.query,

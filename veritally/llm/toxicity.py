@@ -124,30 +124,38 @@ def _rate(chance: float, gain: float, drift: float) -> float:
     return max(high, 1e-6)
 
 
-def train(texts, labels, prior: float = 0.05, most_tokens: int = 20_000, drift: float = 0.1, significance: float = 0.1, least_odds: float = 1.5, most_known: float = 0.3) -> Model:
+def train(texts, labels, prior: float = 0.05, most_tokens: int = 20_000, drift: float = 0.1, significance: float = 0.1, least_odds: float = 1.5, most_known: float = 0.3, least_texts: int = 3) -> Model:
     """Fit the model to labelled texts; the prior has so many times the tokens of the sample, most_tokens bounds its size (those of greatest confidence stay);
     tokens count for toxic text only if the reduced log-odds are over least_odds."""
     labels = np.asarray(labels, float)
     if not len(labels) or labels.min() == labels.max():
         return Model()
-    counts = (Counter(), Counter())
-    seen: set[int] = set()
-    for text, label in zip(texts, labels, strict=True):
+    texts = list(texts)
+    fresh, seen = [], set()
+    for text in texts:
         tokens = TOKEN.findall(text.lower())
-        contexts = {hash(c) for c in zip(["", *tokens[:-1]], tokens, [*tokens[1:], ""], strict=True)}
-        if len(contexts & seen) <= most_known * len(contexts):
-            counts[int(label)].update({u for t in set(tokens) for u in units(t)})
-        seen |= contexts
-    n = [sum(c.values()) for c in counts]
+        triples = {h for h in map(hash, zip(["", *tokens[:-1]], tokens, [*tokens[1:], ""], strict=True)) if h % 8 == 0}
+        fresh.append(len(triples & seen) <= most_known * len(triples))
+        seen |= triples
+    del seen
+    counts, n = (Counter(), Counter()), [0, 0]
+    for side in (1, 0):
+        for text, label, new in zip(texts, labels, fresh, strict=True):
+            if new and int(label) == side:
+                found = {u for t in set(TOKEN.findall(text.lower())) for u in units(t)}
+                n[side] += len(found)
+                counts[side].update(found if side else found & counts[1].keys())
+        if side:
+            counts = (counts[0], Counter({u: c for u, c in counts[1].items() if c >= least_texts}))
     total = sum(n) or 1
     mass = prior * total
-    scores, null = {}, 0.0
+    scores = {}
     for token in counts[1]:
         toxic, other = counts[1][token], counts[0][token]
         alpha = mass * (toxic + other) / total
         odds = math.log((toxic + alpha) / (n[1] + mass - toxic - alpha)) - math.log((other + alpha) / (n[0] + mass - other - alpha))
         low = odds - 2 * math.sqrt(1 / (toxic + alpha) + 1 / (other + alpha))
-        if toxic >= 3 and low > least_odds:
+        if low > least_odds:
             scores[token] = low
     if not scores:
         return Model()
@@ -179,7 +187,7 @@ def score_documents(docs: DataFrame, model: Model, text: str = "text", threshold
     return docs.mapInArrow(run, schema)
 
 
-SAMPLE_ROWS = 12_000
+SAMPLE_ROWS = 8000
 PARTS, HELD = 4, 2
 
 
