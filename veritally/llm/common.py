@@ -87,13 +87,18 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Words:
-    """The words of the texts of an Arrow string column: byte start and end, number of the text, 64-bit hash."""
+    """The words of the texts of an Arrow string column: byte start and end, number of the text, 64-bit hash.
 
-    def __init__(self, column: pa.Array, hashed: bool = True):
+    `apart` says which bytes part words; `prepare` maps the bytes first, without moving them.
+    """
+
+    def __init__(self, column: pa.Array, apart: np.ndarray = _LUT, prepare=None):
         self.data, self.offsets = raw(column)
+        if prepare is not None:
+            self.data = prepare(self.data)
         data, offsets = self.data, self.offsets
         n = len(data)
-        white = _LUT[data]
+        white = apart[data]
         before = np.ones(n + 1, bool)
         before[1:] = white
         before[offsets] = True
@@ -104,10 +109,9 @@ class Words:
         self.end = np.flatnonzero(~white & after[1:]) + 1
         self.first = np.searchsorted(self.start, offsets)  # text k has the words first[k] to first[k + 1]
         self.count = np.diff(self.first)
-        if hashed:
-            self.hash = self._hashes(white)
+        self.hash = self._hashes()
 
-    def _hashes(self, white: np.ndarray) -> np.ndarray:
+    def _hashes(self) -> np.ndarray:
         power, inverse = _powers(len(self.data) + 1)
         total = np.zeros(len(self.data) + 1, np.uint64)
         np.cumsum((self.data.astype(np.uint64) + np.uint64(0x1F3)) * power[: len(self.data)], out=total[1:])

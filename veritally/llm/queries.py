@@ -1,12 +1,13 @@
 """The queries of the operators and their SQL twins."""
 
-from . import html_extract, language_id, mixing, near_dedup, quality_crf, quality_rules, secret_scan, toxicity
+from . import decontaminate, html_extract, language_id, mixing, near_dedup, quality_crf, quality_rules, secret_scan, toxicity
 
 QUERIES = {
     "op2_language_id": language_id.query,
     "op3_html_extract": html_extract.query,
     "op4_toxicity": toxicity.query,
     "op5_secret_scan": secret_scan.query,
+    "op6_decontaminate": decontaminate.query,
     "op7_quality_rules": quality_rules.query,
     "op8_near_dedup": near_dedup.query,
     "op9_quality_crf": quality_crf.query,
