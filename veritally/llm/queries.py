@@ -1,8 +1,9 @@
 """The queries of the operators and their SQL twins."""
 
-from . import decontaminate, html_extract, language_id, mixing, near_dedup, quality_crf, quality_rules, secret_scan, toxicity
+from . import decontaminate, html_extract, language_id, mixing, near_dedup, quality_crf, quality_rules, secret_scan, substring_dedup, toxicity
 
 QUERIES = {
+    "op1_substring_dedup": substring_dedup.query,
     "op2_language_id": language_id.query,
     "op3_html_extract": html_extract.query,
     "op4_toxicity": toxicity.query,
