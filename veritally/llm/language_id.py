@@ -10,7 +10,7 @@ window of every whole text is read, a bounded batch of windows at a time.
 
 Defined results: a null text, or one without a letter, is `und` with score 0; without labelled rows everything is `und`;
 with one label that label gets score 1; repeated rows and ties (first label in order) are treated alike; other columns are
-carried along.
+carried along (those with the names of results give way).
 """
 
 from __future__ import annotations
@@ -174,7 +174,7 @@ def train(texts, labels, per_text: int = 4, epochs: int = 10, batch: int = 128,
 
 def identify(docs: DataFrame, model: Model, text: str = "text", keep_text: bool = True) -> DataFrame:
     """Add lang_pred and score to every row."""
-    kept = [f for f in docs.schema.fields if keep_text or f.name != text]
+    kept = [f for f in docs.schema.fields if (keep_text or f.name != text) and f.name not in ("lang_pred", "score")]
     schema = StructType([*kept, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
 
     def run(batches):

@@ -9,7 +9,7 @@ In training every line of a document has the document's label. The model learns
 
 Defined results: null and empty texts have no line and get the share of label 1 in the sample; lines without a word are
 skipped; without labels of both kinds every score is 0.5; repeated rows and ties are scored alike; other columns are
-carried along.
+carried along (those with the names of results give way).
 """
 
 from __future__ import annotations
@@ -195,7 +195,7 @@ def train(texts, labels, rounds: int = 150, step: float = 0.1, ridge: float = 1e
 
 def score_documents(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.5, keep_text: bool = True) -> DataFrame:
     """Add score, predicted and line_good (the marginal of each line with a word) to every row."""
-    kept = [f for f in docs.schema.fields if keep_text or f.name != text]
+    kept = [f for f in docs.schema.fields if (keep_text or f.name != text) and f.name not in ("score", "predicted", "line_good")]
     schema = StructType([*kept, StructField("score", DoubleType()), StructField("predicted", IntegerType()), StructField("line_good", ArrayType(FloatType()))])
 
     def run(batches):

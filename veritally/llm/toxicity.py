@@ -11,7 +11,7 @@ labelled rows (a documented bound); scoring reads every whole text.
 
 Defined results: null and empty texts, or texts without a token, have no passage and the score of a text without
 evidence; without labels of both kinds every score is 0; repeated rows and ties are scored alike; other columns are
-carried along.
+carried along (those with the names of results give way).
 """
 
 from __future__ import annotations
@@ -173,7 +173,7 @@ def train(texts, labels, prior: float = 0.05, most_tokens: int = 20_000, drift:
 
 def score_documents(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.3, keep_text: bool = True) -> DataFrame:
     """Add score, predicted and passages (start, end, evidence; in tokens) to every row; the text stays if keep_text."""
-    kept = [f for f in docs.schema.fields if keep_text or f.name != text]
+    kept = [f for f in docs.schema.fields if (keep_text or f.name != text) and f.name not in ("score", "predicted", "passages")]
     fields = [StructField("score", DoubleType()), StructField("predicted", IntegerType()), StructField("passages", PASSAGES)]
     schema = StructType([*kept, *fields])
 
