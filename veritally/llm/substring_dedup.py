@@ -11,7 +11,7 @@ included) is a repeat, and every word that a repeat covers is removed. Windows a
    backward search; the matching statistics, kept up to the window's length, say which windows occur twice or more.
 4. An anchor with more than `HOT` distinct fragments (a line or passage that very many documents share, in different
    surroundings) is dealt window by window instead: each window is a fragment of its own, routed by its hash. Windows
-   that are alone end there; the others go through the index like the rest.
+   that are alone end there; the others go through the index like the rest. Up to HOT they fit a shard.
 
 Exact copies of a text are one text from the start; a text that occurs twice is one repeat if it has a window at all. No
 step brings a hot group together: counts are combined before shuffles, and joins are between written tables, whose hot
@@ -35,7 +35,7 @@ from .common import Words, chunks, grams, mix, table
 from .fm_index import Index
 
 WINDOW, ANCHOR = 35, 8
-HOT = 256
+HOT = 4000
 #: Windows of a fragment at most, and distinct fragments of a shard, about.
 LONGEST, SHARD = 128, 8000
 _SPAN = WINDOW - ANCHOR + 1
@@ -125,22 +125,23 @@ def fragments(texts: DataFrame, text: str) -> DataFrame:
     return texts.select("text_key", text, "wanted").mapInArrow(run, "route long, text_key binary, start int, windows int, body binary")
 
 
-def by_window(found: DataFrame) -> DataFrame:
-    """The same windows as fragments of one window each, routed by their hash."""
+def by_window(distinct: DataFrame) -> DataFrame:
+    """(route, body, number, source, shift): the windows of distinct fragments, each routed by its hash, and where it is."""
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
                 bodies = [b.split(b" ") for b in part.column("body").to_pylist()]
-                size = part.column("windows").to_numpy()
+                size = np.array([len(b) - WINDOW + 1 for b in bodies], np.int64)
                 row = np.repeat(np.arange(part.num_rows), size)
                 off = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
                 windows = [b" ".join(bodies[r][o : o + WINDOW]) for r, o in zip(row, off, strict=True)]
                 route = [int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little", signed=True) for w in windows]
-                yield pa.RecordBatch.from_arrays([pa.array(route, pa.int64()), part.column("text_key").take(pa.array(row)), pa.array((part.column("start").to_numpy()[row] + off).astype(np.int32)), pa.array(np.ones(len(row), np.int32)), pa.array(windows, pa.binary())], ["route", "text_key", "start", "windows", "body"])
+                take = pa.array(row)
+                yield pa.RecordBatch.from_arrays([pa.array(route, pa.int64()), pa.array(windows, pa.binary()), part.column("number").take(take), part.column("fragment").take(take), pa.array(off.astype(np.int32))], ["route", "body", "number", "source", "shift"])
 
-    return found.select("route", "text_key", "start", "windows", "body").mapInArrow(run, "route long, text_key binary, start int, windows int, body binary")
+    return distinct.select("fragment", "body", "number").mapInArrow(run, "route long, body binary, number long, source binary, shift int")
 
 
 def shard_repeats(bodies: pa.Array, number: np.ndarray) -> list[bytes]:
@@ -168,7 +169,7 @@ def repeats(distinct: DataFrame, shards: int) -> DataFrame:
 
 
 def removed_rows(texts: DataFrame, text: str) -> DataFrame:
-    """(text_key, n_removed, kept_sha256, kept spans) of texts with the column `hits` of (start, repeat)."""
+    """(text_key, n_removed, kept_sha256, kept spans) of texts with the column `hits` of (start, repeat or shifts)."""
 
     def run(batches):
         for batch in batches:
@@ -180,7 +181,8 @@ def removed_rows(texts: DataFrame, text: str) -> DataFrame:
                     n, first = int(words.count[k]), int(words.first[k])
                     edge = np.zeros(n + 1, np.int64)
                     for hit in hits:
-                        at = np.flatnonzero(np.frombuffer(hit["repeat"], np.uint8)) + hit["start"]
+                        shifts = np.array(hit["shifts"], np.int64) if hit["repeat"] is None else np.flatnonzero(np.frombuffer(hit["repeat"], np.uint8))
+                        at = shifts + hit["start"]
                         np.add.at(edge, at, 1)
                         np.add.at(edge, at + WINDOW, -1)
                     keep = np.cumsum(edge)[:n] == 0
@@ -214,16 +216,16 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     few = table(distinct(found), "sub-distinct")
     hot = table(few.groupBy("route").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select("route"), "sub-hot")
-    place = ["fragment", "text_key", "start"]
-    parts = [repeats(few.join(hot, "route", "left_anti"), max(1, -(-few.count() // SHARD)))]
-    places = found.select(*place)
+    cold = repeats(few.join(hot, "route", "left_anti"), max(1, -(-few.count() // SHARD)))
+    marks = table(cold.withColumn("shifts", F.lit(None).cast("array<int>")), "sub-repeats")
     if not hot.isEmpty():
-        single = table(by_window(found.join(hot, "route")).withColumn("fragment", digest), "sub-windows")
-        again = table(distinct(single).filter(F.col("number") > 1), "sub-distinct")
-        parts.append(repeats(again, max(1, -(-again.count() // SHARD))))
-        places = places.union(single.select(*place))
-    marks = table(parts[0] if len(parts) == 1 else parts[0].union(parts[1]), "sub-repeats")
-    hits = places.join(marks, "fragment").groupBy("text_key").agg(F.collect_list(F.struct("start", "repeat")).alias("hits"))
+        single = table(by_window(few.join(hot, "route")).withColumn("fragment", digest), "sub-windows")
+        again = single.groupBy("route", "fragment", "body").agg(F.sum("number").alias("number")).filter(F.col("number") > 1)
+        again = table(again, "sub-distinct")
+        found_again = table(repeats(again, max(1, -(-again.count() // SHARD))).select("fragment"), "sub-repeats")
+        shifts = single.select("fragment", "source", "shift").join(found_again, "fragment").groupBy("source").agg(F.collect_list("shift").alias("shifts"))
+        marks = marks.union(table(shifts.select(F.col("source").alias("fragment"), F.lit(None).cast("binary").alias("repeat"), "shifts"), "sub-shifts"))
+    hits = found.select("fragment", "text_key", "start").join(marks, "fragment").groupBy("text_key").agg(F.collect_list(F.struct("start", "repeat", "shifts")).alias("hits"))
     cut = removed_rows(some.drop("wanted").join(table(hits, "sub-hits").hint("shuffle_hash"), "text_key"), text)
     # a text that occurs twice is removed whole; of one that occurs once, what the index found
     result = texts.select("text_key", "copies").join(table(cut, "sub-removed"), "text_key", "left")
