@@ -7,10 +7,12 @@ register with their probability Jaccard similarity. Bands of `ROWS` registers ar
 candidates are verified exactly: linked at a probability Jaccard, or a plain Jaccard of the shingle sets, of 0.8 or more.
 
 Exact copies are one text from the start (by md5), so groups of copies are never expanded. In a bucket each text is compared
-with the bucket's leader (its least key by a hash of the bucket), which is linear in the bucket; a second pass compares the
-texts of a bucket that are in other components than the leader with all texts of the bucket outside their own component,
-so that a link between components is not lost for the choice of leader. A pair at similarity 0.8 shares no band with
-probability (1 - 0.8 ** ROWS) ** BANDS, 2e-5 here.
+with the bucket's leader, the text with the most company in all its buckets (the middle of a group of near copies), which
+is linear in the bucket. A second pass is for buckets that are still of several components: texts outside the largest one
+are compared with the bucket's texts in other components, except where a bound shows that they cannot be linked. A text
+whose shingles are over a fifth its own (no other such text has them) is like none; a pair's similarity is bounded by its
+sizes and shared shingles; and pairs that agree in too few registers are left out. A pair at similarity 0.8 shares no band
+with probability (1 - 0.8 ** ROWS) ** BANDS, 2e-5 here.
 
 Result: one row per document with class_id, the least key of its class (a connected component of links). Defined results:
 null texts and texts without a word are each their own class (class_id is the row's key); a text of fewer words than a
@@ -30,6 +32,8 @@ from .components import components
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 20, 4
 M = BANDS * ROWS
+#: Registers in which a pair has to agree to be compared in the second pass: a pair at 0.8 falls short with probability 4e-6.
+NEAR = 48
 
 
 def shingles(words: Words, n: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -68,17 +72,18 @@ def signatures(text: np.ndarray, element: np.ndarray, weight: np.ndarray, texts:
     return who.reshape(texts, M)
 
 
-def band_keys(column: pa.Array) -> np.ndarray:
-    """(texts, BANDS) 64-bit keys; all zero for a text without a word."""
+def registers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(texts, M) registers and (texts, BANDS) 64-bit band keys; keys are zero for a text without a word."""
     words = Words(column)
     t, h, c = shingles(words)
-    who = signatures(t, h, c.astype(float), len(column)).reshape(len(column), BANDS, ROWS)
+    found = signatures(t, h, c.astype(float), len(column))
+    who = found.reshape(len(column), BANDS, ROWS)
     key = np.zeros((len(column), BANDS), np.uint64)
     for r in range(ROWS):
         key = mix(key + who[:, :, r] * np.uint64(2 * r + 3))
-    key = mix(key + np.arange(BANDS, dtype=np.uint64))
+    key = mix(key + np.arange(BANDS, dtype=np.uint64)) | np.uint64(1)
     key[words.count == 0] = 0
-    return key
+    return found, key
 
 
 def similarity(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> float:
@@ -99,19 +104,18 @@ def similarity(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) ->
     return max(plain, float((1 / (below / v + above / w)).sum()))
 
 
-def bands(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """(bucket, key): a row for each band of each text with a word."""
+def signed(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, buckets, registers): the band keys of each text with a word, and 16 bits of each register."""
 
     def run(batches):
         for batch in batches:
             for part in chunks(batch, text):
-                keys = band_keys(part.column(text))
-                some = keys.any(1)
-                names = part.column(key).filter(pa.array(some))
-                rows = np.repeat(np.arange(len(names)), BANDS)
-                yield pa.RecordBatch.from_arrays([pa.array(keys[some].ravel().view(np.int64)), names.take(pa.array(rows))], ["bucket", "key"])
+                found, keys = registers(part.column(text))
+                some = pa.array(keys.any(1))
+                lists = [pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(kind)).filter(some) for x, kind in ((keys.view(np.int64), pa.int64()), ((mix(found) >> np.uint64(48)).astype(np.uint16).view(np.int16), pa.int16()))]
+                yield pa.RecordBatch.from_arrays([part.column(key).filter(some), *lists], ["key", "buckets", "registers"])
 
-    return texts.select(key, text).mapInArrow(run, "bucket long, key binary")
+    return texts.select(key, text).mapInArrow(run, "key binary, buckets array<long>, registers array<smallint>")
 
 
 def weighted_sets(texts: DataFrame, key: str, text: str) -> DataFrame:
@@ -149,28 +153,67 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return both.select("a", "b", "ea", "wa", "eb", "wb").mapInArrow(run, "a binary, b binary")
 
 
+def shares(sets: DataFrame, keys: DataFrame) -> DataFrame:
+    """(key, size, shared, even) of the given keys: shingles, those that another of the keys has too, whether all come once.
+
+    A text is like another at most by its share of shared shingles (by number, or by weight if some come more often).
+    """
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                e = [np.frombuffer(x, np.int64) for x in part.column("elements").to_pylist()]
+                w = [np.frombuffer(x, np.uint32) if x else np.ones(len(y), np.uint32) for x, y in zip(part.column("weights").to_pylist(), e, strict=True)]
+                rows = np.repeat(np.arange(len(e)), [len(x) for x in e])
+                yield pa.RecordBatch.from_arrays([part.column("key").take(pa.array(rows)), pa.array(np.concatenate(e)), pa.array(np.concatenate(w).astype(np.int64))], ["key", "element", "weight"])
+
+    flat = sets.join(keys, "key").mapInArrow(run, "key binary, element long, weight long")
+    alone = flat.groupBy("element").agg(F.count("*").alias("n"), F.min("key").alias("key"), F.min("weight").alias("weight")).filter(F.col("n") == 1)
+    alone = alone.groupBy("key").agg(F.count("*").alias("alone"), F.sum("weight").alias("alone_weight"))
+    total = sets.join(keys, "key").select("key", (F.octet_length("elements") / 8).cast("long").alias("size"), (F.octet_length("weights") == 0).alias("even"))
+    both = total.join(alone, "key", "left").withColumn("shared", F.col("size") - F.coalesce("alone", F.lit(0)))
+    return both.select("key", "size", "shared", "even")
+
+
 def links(texts: DataFrame, key: str, text: str, name: str, least: float = SIMILARITY) -> DataFrame:
     """(node, root) of every distinct text that is linked with another one. `name` and key tell one row of each text."""
-    buckets = table(bands(texts, key, text).distinct(), "near-bands")
-    leaders = buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min_by("key", F.xxhash64("key", "bucket")).alias("leader")).filter(F.col("n") > 1)
-    shared = table(buckets.join(table(leaders.select("bucket", "leader"), "near-leaders"), "bucket"), "near-shared")
+    signs = table(signed(texts, key, text), "near-signs")
+    every = signs.select(F.explode("buckets").alias("bucket"), "key").distinct()
+    every = table(every, "near-bands")
+    crowded = table(every.groupBy("bucket").agg(F.count("*").alias("n")).filter(F.col("n") > 1), "near-buckets")
+    shared = table(every.join(crowded, "bucket"), "near-shared")
+    # the leader of a bucket is its text with the most company in all its buckets: the middle of a group
+    company = table(shared.groupBy("key").agg(F.sum("n").alias("company")), "near-company")
+    ranked = shared.join(company, "key")
+    leaders = ranked.groupBy("bucket").agg(F.max_by("key", F.struct("company", "key")).alias("leader"))
+    shared = table(shared.drop("n").join(table(leaders, "near-leaders"), "bucket"), "near-led")
     pairs = table(shared.filter(F.col("key") != F.col("leader")).select(F.col("leader").alias("a"), F.col("key").alias("b")).distinct(), "near-pairs")
     # one row of every text that is in some pair
-    wanted = pairs.select(F.col("a").alias(key)).union(pairs.select(F.col("b"))).distinct()
     one = texts.groupBy(key).agg(F.min(name).alias(name))
-    wanted = table(one.join(wanted, key), "near-wanted")
-    sets = table(weighted_sets(texts.join(wanted.hint("shuffle_hash"), [key, name]), key, text), "near-sets")
+    wanted = table(one.join(company.select(F.col("key").alias(key)), key), "near-wanted")
+    sets = table(weighted_sets(texts.join(wanted.hint("shuffle_hash"), [key, name]), key, text).dropDuplicates(["key"]), "near-sets")
     found = table(verified(pairs, sets, least), "near-links")
     roots = components(found)
-    # texts of a bucket that its leader's component has not taken in
-    placed = shared.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    placed = table(placed, "near-placed")
-    heads = placed.filter(F.col("key") == F.col("leader")).select("bucket", F.col("root").alias("head"))
-    rest = table(placed.join(heads, "bucket").filter(F.col("root") != F.col("head")).select("bucket", F.col("key").alias("a"), F.col("root").alias("ra")), "near-rest")
-    if rest.isEmpty():
+    # texts of a bucket outside the component that has most of it
+    placed = table(shared.select("bucket", "key").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key")), "near-placed")
+    heads = placed.groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("n", "root")).alias("head")).filter(F.col("roots") > 1)
+    split = table(placed.join(table(heads.select("bucket", "head"), "near-heads"), "bucket"), "near-split")
+    if split.isEmpty():
         return roots
-    more = rest.join(placed.filter(F.col("key") != F.col("leader")).select("bucket", F.col("key").alias("b"), F.col("root").alias("rb")), "bucket").filter(F.col("ra") != F.col("rb"))
-    more = table(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-more")
+    keys = table(split.select("key").distinct(), "near-open")
+    bound = shares(sets, keys).filter(F.col("shared") >= least * F.col("size"))
+    bound = table(bound.join(signs.dropDuplicates(["key"]), "key"), "near-bounds")
+    split = table(split.join(bound, "key"), "near-candidates")
+    x = split.filter(F.col("root") != F.col("head")).select("bucket", *[F.col(c).alias(f"{c}_x") for c in ("key", "root", "size", "shared", "even", "buckets", "registers")])
+    y = split.select(F.col("bucket").alias("bucket_y"), "head", *[F.col(c).alias(f"{c}_y") for c in ("key", "root", "size", "shared", "even", "buckets", "registers")])
+    most = F.least("shared_x", "shared_y")
+    sized = ~F.col("even_x") | ~F.col("even_y") | (most >= least * (F.col("size_x") + F.col("size_y") - most))
+    once = (F.col("root_y") == F.col("head")) | (F.col("key_x") < F.col("key_y"))
+    first = F.get(F.filter(F.zip_with("buckets_x", "buckets_y", lambda p, q: F.when(p == q, p)), lambda v: v.isNotNull()), F.lit(0)) == F.col("bucket")
+    agree = F.aggregate(F.zip_with("registers_x", "registers_y", lambda p, q: F.when(p == q, 1).otherwise(0)), F.lit(0), lambda s, v: s + v) >= NEAR
+    more = x.join(y, (F.col("bucket") == F.col("bucket_y")) & (F.col("root_x") != F.col("root_y")) & once & sized & first & agree)
+    more = table(more.select(F.least("key_x", "key_y").alias("a"), F.greatest("key_x", "key_y").alias("b")).distinct(), "near-more")
     again = table(verified(more, sets, least), "near-links")
     return roots if again.isEmpty() else components(found.union(again))
 
