@@ -32,8 +32,8 @@ from .components import components
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 20, 4
 M = BANDS * ROWS
-#: Registers in which a pair has to agree to be compared in the second pass: a pair at 0.8 falls short with probability 4e-6.
-NEAR = 48
+#: Registers of the second pass, and in how many a pair has to agree to be compared: one at 0.8 falls short with probability 1e-5.
+FINE, NEAR = 256, 176
 
 
 def shingles(words: Words, n: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -52,10 +52,10 @@ def shingles(words: Words, n: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.n
     return t[at], h[at], np.diff(np.append(at, len(t)))
 
 
-def signatures(text: np.ndarray, element: np.ndarray, weight: np.ndarray, texts: int) -> np.ndarray:
-    """(texts, M): the element that arrives first in each register (0 where a text has no element)."""
-    first = np.full(texts * M, np.inf)
-    who = np.zeros(texts * M, np.uint64)
+def signatures(text: np.ndarray, element: np.ndarray, weight: np.ndarray, texts: int, m: int = M) -> np.ndarray:
+    """(texts, m): the element that arrives first in each register (0 where a text has no element)."""
+    first = np.full(texts * m, np.inf)
+    who = np.zeros(texts * m, np.uint64)
     now, latest = np.zeros(len(element)), np.full(texts, np.inf)
     step = 0
     while len(element):
@@ -64,26 +64,21 @@ def signatures(text: np.ndarray, element: np.ndarray, weight: np.ndarray, texts:
         now = now - np.log(((u >> np.uint64(11)).astype(float) + 0.5) * 2.0**-53) / weight
         on = now < latest[text]
         text, element, weight, now, u = text[on], element[on], weight[on], now[on], u[on]
-        register = text * M + (mix(u) % np.uint64(M)).astype(np.int64)
+        register = text * m + (mix(u) % np.uint64(m)).astype(np.int64)
         np.minimum.at(first, register, now)
         won = first[register] == now
         who[register[won]] = element[won]
-        latest = first.reshape(texts, M).max(1)
-    return who.reshape(texts, M)
+        latest = first.reshape(texts, m).max(1)
+    return who.reshape(texts, m)
 
 
-def registers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(texts, M) registers and (texts, BANDS) 64-bit band keys; keys are zero for a text without a word."""
-    words = Words(column)
-    t, h, c = shingles(words)
-    found = signatures(t, h, c.astype(float), len(column))
-    who = found.reshape(len(column), BANDS, ROWS)
-    key = np.zeros((len(column), BANDS), np.uint64)
+def band_keys(who: np.ndarray) -> np.ndarray:
+    """(texts, BANDS) 64-bit keys of signatures; never 0."""
+    who = who.reshape(len(who), BANDS, ROWS)
+    key = np.zeros((len(who), BANDS), np.uint64)
     for r in range(ROWS):
         key = mix(key + who[:, :, r] * np.uint64(2 * r + 3))
-    key = mix(key + np.arange(BANDS, dtype=np.uint64)) | np.uint64(1)
-    key[words.count == 0] = 0
-    return found, key
+    return mix(key + np.arange(BANDS, dtype=np.uint64)) | np.uint64(1)
 
 
 def similarity(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> float:
@@ -104,18 +99,20 @@ def similarity(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) ->
     return max(plain, float((1 / (below / v + above / w)).sum()))
 
 
-def signed(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, buckets, registers): the band keys of each text with a word, and 16 bits of each register."""
+def bands(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """(bucket, key): a row for each band of each text with a word."""
 
     def run(batches):
         for batch in batches:
             for part in chunks(batch, text):
-                found, keys = registers(part.column(text))
-                some = pa.array(keys.any(1))
-                lists = [pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(kind)).filter(some) for x, kind in ((keys.view(np.int64), pa.int64()), ((mix(found) >> np.uint64(48)).astype(np.uint16).view(np.int16), pa.int16()))]
-                yield pa.RecordBatch.from_arrays([part.column(key).filter(some), *lists], ["key", "buckets", "registers"])
+                words = Words(part.column(text))
+                t, h, c = shingles(words)
+                some = words.count > 0
+                keys = band_keys(signatures(t, h, c.astype(float), part.num_rows))[some]
+                names = part.column(key).filter(pa.array(some))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), names.take(pa.array(np.repeat(np.arange(len(names)), BANDS)))], ["bucket", "key"])
 
-    return texts.select(key, text).mapInArrow(run, "key binary, buckets array<long>, registers array<smallint>")
+    return texts.select(key, text).mapInArrow(run, "bucket long, key binary")
 
 
 def weighted_sets(texts: DataFrame, key: str, text: str) -> DataFrame:
@@ -153,34 +150,53 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return both.select("a", "b", "ea", "wa", "eb", "wb").mapInArrow(run, "a binary, b binary")
 
 
-def shares(sets: DataFrame, keys: DataFrame) -> DataFrame:
-    """(key, size, shared, even) of the given keys: shingles, those that another of the keys has too, whether all come once.
+def _unpacked(part: pa.RecordBatch):
+    """Row numbers, elements and weights of packed sets."""
+    e = [np.frombuffer(x, np.uint64) for x in part.column("elements").to_pylist()]
+    w = [np.frombuffer(x, np.uint32) if x else np.ones(len(y), np.uint32) for x, y in zip(part.column("weights").to_pylist(), e, strict=True)]
+    return np.repeat(np.arange(len(e)), [len(x) for x in e]), np.concatenate(e), np.concatenate(w)
 
-    A text is like another at most by its share of shared shingles (by number, or by weight if some come more often).
+
+def shares(sets: DataFrame) -> DataFrame:
+    """(id, size, shared, even) of every set: shingles, those that another of the sets has too, whether all come once.
+
+    A text is like another at most by its share of shared shingles. id is a 64-bit hash of the key.
     """
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
-                e = [np.frombuffer(x, np.int64) for x in part.column("elements").to_pylist()]
-                w = [np.frombuffer(x, np.uint32) if x else np.ones(len(y), np.uint32) for x, y in zip(part.column("weights").to_pylist(), e, strict=True)]
-                rows = np.repeat(np.arange(len(e)), [len(x) for x in e])
-                yield pa.RecordBatch.from_arrays([part.column("key").take(pa.array(rows)), pa.array(np.concatenate(e)), pa.array(np.concatenate(w).astype(np.int64))], ["key", "element", "weight"])
+                rows, e, _ = _unpacked(part)
+                yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(rows)), pa.array(e.view(np.int64))], ["id", "element"])
+
+    named = sets.withColumn("id", F.xxhash64("key"))
+    flat = named.select("id", "elements", "weights").mapInArrow(run, "id long, element long")
+    alone = flat.groupBy("element").agg(F.count("*").alias("n"), F.min("id").alias("id")).filter(F.col("n") == 1).groupBy("id").agg(F.count("*").alias("alone"))
+    total = named.select("id", (F.octet_length("elements") / 8).cast("long").alias("size"), (F.octet_length("weights") == 0).alias("even"))
+    return total.join(alone, "id", "left").select("id", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("shared"), "even")
+
+
+def signed(sets: DataFrame) -> DataFrame:
+    """(key, buckets, registers) of sets: the band keys, and 16 bits of each of FINE registers."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                rows, e, w = _unpacked(part)
+                n = part.num_rows
+                keys = band_keys(signatures(rows, e, w.astype(float), n))
+                fine = (mix(signatures(rows, mix(e), w.astype(float), n, FINE)) >> np.uint64(48)).astype(np.uint16).view(np.int16)
+                lists = [pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(kind)) for x, kind in ((keys.view(np.int64), pa.int64()), (fine, pa.int16()))]
+                yield pa.RecordBatch.from_arrays([part.column("key"), *lists], ["key", "buckets", "registers"])
 
-    flat = sets.join(keys, "key").mapInArrow(run, "key binary, element long, weight long")
-    alone = flat.groupBy("element").agg(F.count("*").alias("n"), F.min("key").alias("key"), F.min("weight").alias("weight")).filter(F.col("n") == 1)
-    alone = alone.groupBy("key").agg(F.count("*").alias("alone"), F.sum("weight").alias("alone_weight"))
-    total = sets.join(keys, "key").select("key", (F.octet_length("elements") / 8).cast("long").alias("size"), (F.octet_length("weights") == 0).alias("even"))
-    both = total.join(alone, "key", "left").withColumn("shared", F.col("size") - F.coalesce("alone", F.lit(0)))
-    return both.select("key", "size", "shared", "even")
+    return sets.select("key", "elements", "weights").mapInArrow(run, "key binary, buckets array<long>, registers array<smallint>")
 
 
 def links(texts: DataFrame, key: str, text: str, name: str, least: float = SIMILARITY) -> DataFrame:
     """(node, root) of every distinct text that is linked with another one. `name` and key tell one row of each text."""
-    signs = table(signed(texts, key, text), "near-signs")
-    every = signs.select(F.explode("buckets").alias("bucket"), "key").distinct()
-    every = table(every, "near-bands")
+    every = table(bands(texts, key, text).distinct(), "near-bands")
     crowded = table(every.groupBy("bucket").agg(F.count("*").alias("n")).filter(F.col("n") > 1), "near-buckets")
     shared = table(every.join(crowded, "bucket"), "near-shared")
     # the leader of a bucket is its text with the most company in all its buckets: the middle of a group
@@ -192,7 +208,7 @@ def links(texts: DataFrame, key: str, text: str, name: str, least: float = SIMIL
     # one row of every text that is in some pair
     one = texts.groupBy(key).agg(F.min(name).alias(name))
     wanted = table(one.join(company.select(F.col("key").alias(key)), key), "near-wanted")
-    sets = table(weighted_sets(texts.join(wanted.hint("shuffle_hash"), [key, name]), key, text).dropDuplicates(["key"]), "near-sets")
+    sets = table(weighted_sets(texts.join(wanted.hint("shuffle_hash"), [key, name]), key, text), "near-sets")
     found = table(verified(pairs, sets, least), "near-links")
     roots = components(found)
     # texts of a bucket outside the component that has most of it
@@ -201,10 +217,11 @@ def links(texts: DataFrame, key: str, text: str, name: str, least: float = SIMIL
     split = table(placed.join(table(heads.select("bucket", "head"), "near-heads"), "bucket"), "near-split")
     if split.isEmpty():
         return roots
-    keys = table(split.select("key").distinct(), "near-open")
-    bound = shares(sets, keys).filter(F.col("shared") >= least * F.col("size"))
-    bound = table(bound.join(signs.dropDuplicates(["key"]), "key"), "near-bounds")
-    split = table(split.join(bound, "key"), "near-candidates")
+    opened = table(sets.join(split.select("key").distinct(), "key"), "near-open")
+    bound = table(shares(opened).filter(F.col("shared") >= least * F.col("size")).dropDuplicates(["id"]), "near-bounds")
+    near = opened.withColumn("id", F.xxhash64("key")).join(bound, "id").drop("id")
+    signs = table(near.select("key", "size", "shared", "even").join(signed(near).dropDuplicates(["key"]), "key"), "near-signs")
+    split = table(split.join(signs, "key"), "near-candidates")
     x = split.filter(F.col("root") != F.col("head")).select("bucket", *[F.col(c).alias(f"{c}_x") for c in ("key", "root", "size", "shared", "even", "buckets", "registers")])
     y = split.select(F.col("bucket").alias("bucket_y"), "head", *[F.col(c).alias(f"{c}_y") for c in ("key", "root", "size", "shared", "even", "buckets", "registers")])
     most = F.least("shared_x", "shared_y")
