@@ -13,34 +13,38 @@ STOPWORDS = (
 ).split()
 
 
-def terms(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, term, n): how often each indexed word comes in each text."""
+#: Query words that are broadcast at most; more are joined by a shuffle.
+MOST_BROADCAST = 200_000
+
+
+def sized(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, size, words): the indexed words of each text."""
     words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(r"(?U)\w+"), F.lit(0))
-    kept = F.filter(words, lambda w: ~w.isin(STOPWORDS))
-    return df.select(F.col(key), F.explode(kept).alias("term")).groupBy(key, "term").agg(F.count("*").alias("n"))
+    rows = df.select(F.col(key), words.alias("words"))
+    rows = rows.select(key, F.filter("words", lambda w: ~w.isin(STOPWORDS)).alias("words"))
+    return rows.select(key, F.size("words").alias("size"), "words")
 
 
 def bm25(docs: DataFrame, queries: DataFrame, doc: str = "doc_id", query: str = "item_id", text: str = "text", k1: float = 1.5, b: float = 0.75, digits: int = 4) -> DataFrame:
     """(query, doc, score) of documents that share a word with the query: sum of weights times the query's word counts.
 
-    Only postings of words that some query has are kept before anything is weighted, so the work follows the queries.
+    Only words that some query has are kept before anything is counted or shuffled, so the work follows the queries.
     """
-    index = terms(docs, doc, text)
-    size = index.groupBy(doc).agg(F.sum("n").alias("size"))
-    total = docs.agg(F.count("*").alias("docs"))
-    mean = size.agg(F.sum("size").cast("double").alias("words"))
-    asked = terms(queries, query, text).withColumnRenamed("n", "times")
-    wanted = asked.select("term").distinct()
-    hits = index.join(wanted, "term")
+    rows = sized(docs, doc, text)
+    all_docs, total = rows.agg(F.count("*"), F.sum("size")).first()
+    average = (total or 0) / max(1, all_docs)
+    asked = sized(queries, query, text).select(query, F.explode("words").alias("term")).groupBy(query, "term").agg(F.count("*").alias("times"))
+    small = asked.count() <= MOST_BROADCAST
+    send = F.broadcast if small else (lambda x: x)  # its rows bound those of the other tables sent
+    wanted = send(asked.select("term").distinct())
+    hits = rows.select(doc, "size", F.explode("words").alias("term")).join(wanted, "term").groupBy(doc, "size", "term").agg(F.count("*").alias("n"))
     df_ = hits.groupBy("term").agg(F.count("*").alias("df"))
-    all_docs, words = total.first()[0], mean.first()[0] or 0.0
-    average = words / max(1, all_docs)
     n, tf, length = F.lit(float(all_docs)), F.col("n").cast("double"), F.col("size").cast("double")
     idf = F.log(F.lit(1.0) + (n - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))
     weight = tf * F.lit(k1 + 1) / (tf + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * length / F.lit(average or 1.0))) * idf
-    scored = hits.join(df_, "term").join(size, doc).withColumn("w", weight).select("term", doc, "w").join(asked, "term")
+    scored = hits.join(send(df_), "term").withColumn("w", weight).select("term", doc, "w").join(send(asked), "term")
     # whole millionths add up alike in any order
-    return scored.groupBy(query, doc).agg((F.sum(F.round(F.col("w") * F.col("times") * 1e6).cast("decimal(38,0)")).cast("double") / F.lit(1e6)).alias("raw")).select(query, doc, places(F.col("raw"), digits).alias("score"))
+    return scored.groupBy(query, doc).agg((F.sum(F.round(F.col("w") * F.col("times") * 1e6).cast("long")).cast("double") / F.lit(1e6)).alias("raw")).select(query, doc, places(F.col("raw"), digits).alias("score"))
 
 
 def top(scores: DataFrame, query: str, doc: str, k: int) -> DataFrame:
