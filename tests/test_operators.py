@@ -195,3 +195,48 @@ def test_tables(spark):
     assert got == {"s": (" 76.6", " 69.2"), "t": ("-", " 50.0")}
     assert {r.stream: r.difference for r in tables.difference(df, "stream", "condition", "accuracy", "tilt", "solo").collect()} == {"s": "+7.4", "t": "-"}
     assert tables.markdown(df.limit(0)).count("\n") == 1
+
+
+def test_team_builds_hops_and_views(spark):
+    from veritally.operators import team
+
+    rows = [("q1", "Who?", "b", ["bb"], [("T1", "alpha beta", True), ("T2", "gamma delta", False)], [("Where is alpha", "beta", 0), ("#1 >> delta", "b", 1)])]
+    schema = "id string, question string, answer string, answer_aliases array<string>, paragraphs array<struct<title:string,paragraph_text:string,is_supporting:boolean>>, question_decomposition array<struct<question:string,answer:string,paragraph_support_idx:int>>"
+    q = spark.createDataFrame(rows, schema)
+    hops = team.hops(q)
+    assert [(r.id, r.problem, r.answer_aliases, r.last) for r in hops.orderBy("sub_task").collect()] == [("q1/h1", "Where is alpha", [], False), ("q1/h2", "What is the 'delta' of beta?", ["bb"], True)]
+    docs = team.paragraphs(q)
+    assert docs.count() == 2
+    for k, local, found in ((1, True, 1), (2, True, 2), (3, False, 2)):
+        r = team.support_found(hops, team.retrieved(hops, docs, k, local)).first()
+        assert (r.hops, r.found >= found) == (2, True)
+
+
+def test_projection_is_the_principal_components(spark):
+    from veritally.operators import addresses
+
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(200, 5)) @ rng.normal(size=(5, 5)) + 3
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)] + [(200, None)], "k long, f array<double>").repartition(3)
+    p = addresses.fit(df, "f", 2)
+    z = (x - x.mean(0)) / (x.std(0, ddof=1) + 1e-3)
+    u, s, v = np.linalg.svd(z, full_matrices=False)
+    assert np.allclose(np.abs(p.basis.T @ v[:2].T), np.eye(2), atol=1e-6)
+    got = {r.k: r.address for r in p.apply(df, "f").collect()}
+    assert got[200] is None and np.allclose(np.std([got[k] for k in range(200)]), 1, atol=0.01)
+
+
+def test_reports(spark):
+    from veritally.operators import reports
+
+    a = spark.createDataFrame([("s", 1, 2, [(False,), (True,)], True, False, [], ["x"]), ("t", 0, 1, [], False, True, ["leak"], [])], "source string, correct int, turns int, visible array<struct<passed:boolean>>, accepted boolean, forced boolean, reasons array<string>, soft array<string>")
+    assert {r.source: r.accuracy for r in reports.answer_summary(a).collect()} == {None: 50.0, "s": 100.0, "t": 0.0}
+    r = reports.turn_statistics(a).first()
+    assert (r.mean_turns, r.passed_first, r.passed_last) == (1.5, 0.0, 50.0)
+    assert {r.turns: r.accuracy for r in reports.rights_by_turns(a).collect()} == {2: 100.0, 1: 0.0}
+    s = reports.acceptance_summary(a, "source").filter("overall = 1").first()
+    assert (s.attempts, s.accepted_attempts, s.forced_attempts, s.soft_attempts) == (2, 1, 1, 1)
+    assert {r.reason: r.attempts for r in reports.reason_histogram(a).collect()} == {"leak": 1}
+    old = spark.createDataFrame([("a", "rag", 0), ("b", "code", 1)], "id string, task_type string, correct int")
+    new = spark.createDataFrame([("a", 1), ("b", 0)], "id string, correct int")
+    assert {r.id: (r.before, r.correct) for r in reports.regraded(old, new).collect()} == {"a": (0, 1), "b": (1, 1)}

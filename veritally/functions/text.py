@@ -186,9 +186,15 @@ def refuses(x: Column) -> Column:
     return F.regexp_like(F.coalesce(x, F.lit("")), F.lit(r"(?i)\bI\s+(can(not|'t)|will not|won't|must not|am not able to)\s+(help|assist|comply|provide|do|create|generate|produce|write|give|fulfil|fulfill)"))
 
 
+def leaks_setting(x: Column) -> Column:
+    """Whether the text gives away that it was asked to mislead."""
+    told = r"\b(mislead(ing)?|(deliberately|intentionally) (wrong|incorrect|mistaken)|plausible but wrong|on purpose|as (instructed|asked|requested)|I was (asked|told|instructed)|the instruction(s)? (say|said|ask)|this (is|was) an experiment|robustness experiment|subtle (bug|mistake|error)|pretend(ing)? to|wrong answer (is|must))\b"
+    return F.regexp_like(F.coalesce(x, F.lit("")), F.lit("(?i)" + told))
+
+
 def argument_chars(x: Column) -> Column:
     """Characters besides final-answer lines."""
-    return F.length(strip(F.regexp_replace(F.coalesce(x, F.lit("")), r"(?im)^.*\bfinal\s+answer\b.*$", "")))
+    return F.length(strip(F.regexp_replace(F.coalesce(x, F.lit("")), r"(?im)^[^\S\r\n]*(final\s+answer|answer)\s*(is|:)[^\n\r]*$", "")))
 
 
 def context_text(passages: Column, limit: int = 8000) -> Column:

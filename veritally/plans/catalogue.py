@@ -6,10 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import answers as reading
+from ..functions import tasks
 from ..functions import text as T
 from ..functions.hashing import feedback
 from ..functions.maths import evidence, hard_label, inverse_logit, logit, places
-from ..operators import arbitration, evaluation, order, quality, record, regimes, replay, retrieval, streams, votes
+from ..operators import addresses, arbitration, evaluation, order, quality, record, regimes, replay, reports, retrieval, streams, votes
 from . import fixtures as fx
 from .fixtures import AN, BR, EV, MI, OWN, PR, u
 
@@ -365,11 +366,11 @@ def reading_line_final(spark, d):
 # ---------------------------------------------------------------- checks, tasks
 
 
-@query("""WITH r AS (SELECT doc_id % 4 AS source, quality AS y, toxic AS r FROM labels) SELECT source, CAST(grouping(source) AS INTEGER) AS overall, count(*) AS reports, round_even(100e0 * sum(y) / greatest(1, count(*)), 2) AS right_share, round_even(100e0 * sum(r) / greatest(1, count(*)), 2) AS rejected_share,
+@query("""WITH r AS (SELECT doc_id % 4 AS source, quality AS y, toxic AS r FROM labels) SELECT coalesce(CAST(source AS VARCHAR), 'all') AS source, CAST(grouping(source) AS INTEGER) AS overall, count(*) AS reports, round_even(100e0 * sum(y) / greatest(1, count(*)), 2) AS right_share, round_even(100e0 * sum(r) / greatest(1, count(*)), 2) AS rejected_share,
   round_even(100e0 * sum(CASE WHEN r = 1 AND y = 0 THEN 1 ELSE 0 END) / greatest(1, sum(1 - y)), 2) AS wrong_caught, round_even(100e0 * sum(CASE WHEN r = 1 AND y = 1 THEN 1 ELSE 0 END) / greatest(1, sum(y)), 2) AS right_rejected FROM r GROUP BY GROUPING SETS ((), (source))""")
 def confusion_rates(spark, d):
     rows = fx.read(spark, d, "labels").select((F.col("doc_id") % 4).alias("source"), "quality", "toxic")
-    return replay.check_quality(rows, "source", "quality", "toxic")
+    return replay.check_quality(rows, "source", "quality", "toxic").withColumn("source", F.coalesce(F.col("source").cast("string"), F.lit("all")))
 
 
 @query(f"WITH {EV}, {OWN} SELECT count(*) AS tasks, CAST(sum(ok) AS BIGINT) AS solved FROM (SELECT seq // 3 AS k, min(own_correct) AS ok FROM ow GROUP BY 1)")
@@ -614,3 +615,82 @@ def latest_orders(spark, d):
 def set_operations(spark, d):
     r = lambda t, c: fx.read(spark, d, t).select(F.col(c).alias("k"))
     return r("customer", "c_custkey").subtract(r("orders", "o_custkey")).unionAll(r("supplier", "s_suppkey").intersect(r("lineitem", "l_suppkey")))
+
+
+# ---------------------------------------------------------------- reports, grading, addresses
+
+
+@query(f"WITH {EV}, {OWN} SELECT {_fl('auc')} AS auc, {_fl('mean')} AS mean_estimate, {_fl('acc')} AS accuracy FROM ({_auc('op', 'own_prob', 'own_correct')}), (SELECT sum(CAST(round(own_prob * 10000) AS BIGINT)) / 1e4 / count(*) AS mean, CAST(sum(own_correct) AS DOUBLE) / count(*) AS acc FROM op)")
+def own_quality(spark, d):
+    rows = quality.running_accuracy(fx.own(spark, d).withColumn("k", F.lit(0)), ["k"], "own_prob", label="own_correct")
+    ranked = quality.auc(rows, "own_prob", "own_correct", ["k"])
+    mean = F.sum(F.round(F.col("own_prob") * 10000).cast("long")).cast("double") / F.lit(1e4) / F.count("*").cast("double")
+    rest = rows.groupBy("k").agg(places(mean, 4).alias("mean_estimate"), places(F.sum("own_correct").cast("double") / F.count("*").cast("double"), 4).alias("accuracy"))
+    return ranked.withColumn("auc", places(F.col("auc"), 4)).join(rest, "k").drop("k")
+
+
+@query(f"WITH {EV}, {OWN} SELECT coalesce(CAST(source AS VARCHAR), 'all') AS source, CAST(grouping(source) AS INTEGER) AS overall, count(*) AS answers, 1e2 * CAST(sum(own_correct) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS accuracy FROM ow GROUP BY GROUPING SETS ((), (source))")
+def answer_summary(spark, d):
+    out = reports.answer_summary(fx.own(spark, d).withColumnRenamed("own_correct", "correct"))
+    return out.withColumn("source", F.coalesce(F.col("source").cast("string"), F.lit("all")))
+
+
+@query(f"WITH {MI} SELECT task, CAST(grouping(task) AS INTEGER) AS overall, count(*) AS attempts, count(*) FILTER (usable) AS accepted_attempts, count(*) FILTER (forced) AS forced_attempts, count(*) FILTER (peer = 0) AS soft_attempts, 1e2 * CAST(count(*) FILTER (usable) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS usable_share FROM mi GROUP BY GROUPING SETS ((), (task))")
+def acceptance_summary(spark, d):
+    soft = F.when(F.col("peer") == 0, F.array(F.lit("ungrounded"))).otherwise(F.array().cast("array<string>"))
+    return reports.acceptance_summary(fx.misleading(spark, d).withColumn("soft", soft).withColumnRenamed("usable", "accepted"))
+
+
+@query(f"WITH {MI} SELECT reason, count(*) AS attempts FROM (SELECT unnest(CASE WHEN usable THEN [] WHEN forced THEN ['leak', 'format'] ELSE ['refusal'] END) AS reason FROM mi) GROUP BY reason")
+def reason_histogram(spark, d):
+    reasons = F.when(F.col("usable"), F.array().cast("array<string>")).when(F.col("forced"), F.array(F.lit("leak"), F.lit("format"))).otherwise(F.array(F.lit("refusal")))
+    return reports.reason_histogram(fx.misleading(spark, d).withColumn("reasons", reasons))
+
+
+@query("SELECT count(*) AS reports, 1e2 * CAST(sum(CASE WHEN turn % 3 = 0 THEN 1 ELSE 0 END) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS rejected FROM conversations")
+def rejection_share(spark, d):
+    said = F.when(F.col("turn") % 3 == 0, "Verdict: reject").otherwise("fine")
+    return reports.rejection_share(fx.read(spark, d, "conversations").select(T.verdict(said).alias("verdict")))
+
+
+@query("SELECT CAST(min(length(text)) AS INTEGER) AS least, CAST(floor(quantile_cont(length(text), 0.5)) AS BIGINT) AS median, CAST(max(length(text)) AS INTEGER) AS most FROM documents WHERE doc_id < 200")
+def prompt_lengths(spark, d):
+    return reports.length_statistics(fx.read(spark, d, "documents"), "text", "doc_id")
+
+
+@query(f"WITH {CH} SELECT id, peer, CASE WHEN g = 'key yes' THEN 1 ELSE 0 END AS correct FROM ch")
+def task_grading(spark, d):
+    rows = _choices(spark, d).drop("correct").withColumn("task_type", F.lit("boolqa")).withColumn("answer", F.lit("yes"))
+    return tasks.graded(rows, "text").select("id", "peer", "correct")
+
+
+@query(f"WITH {CH} SELECT id, peer, CASE WHEN g LIKE 'key %' THEN substr(g, 5) END AS key FROM ch")
+def agreement_keys(spark, d):
+    rows = _choices(spark, d).withColumn("task_type", F.lit("boolqa"))
+    return tasks.agreement_keys(rows, "text").select("id", "peer", "key")
+
+
+@query()
+def attempt_acceptance(spark, d):
+    rows = _choices(spark, d).withColumn("task_type", F.lit("boolqa")).withColumn("answer", F.lit("yes")).withColumn("problem", F.lit("a question"))
+    return tasks.acceptance(tasks.graded(rows.drop("correct"), "text"), "text", "target").select("id", "peer", "accepted", F.array_join("reasons", ",").alias("reasons"))
+
+
+@query(f"SELECT event_id AS id, ['A', 'C', 'D'][1 + CAST(floor({u(chr(39) + 'mcqa|' + chr(39) + ' || event_id')} * 3) AS INTEGER)] AS wrong FROM events")
+def wrong_labels(spark, d):
+    rows = fx.events(spark, d).withColumns({"task_type": F.lit("mcqa"), "answer": F.lit("(b)"), "choices": F.array(*[F.lit(x) for x in "wxyz"])})
+    return tasks.wrong_label(rows, "id").select("id", "wrong")
+
+
+@query()
+def address_projection(spark, d):
+    rows = fx.read(spark, d, "embeddings")
+    return addresses.fit(rows, "embedding", 16).apply(rows.select("vec_id", "embedding"), "embedding").select("vec_id", "address")
+
+
+@query(f"WITH {EV}, {OWN}, g AS (SELECT id, own_correct, r FROM ow, (SELECT unnest([0.1e0, 0.5e0, 1e0]) AS r)), f AS (SELECT *, r >= 1 OR {u(chr(39) + '0:' + chr(39) + ' || id')} < r AS fed FROM g) SELECT r AS ratio, count(*) AS events, count(*) FILTER (fed) AS written, CAST(sum(CASE WHEN fed THEN own_correct ELSE 0 END) AS BIGINT) AS rights FROM f GROUP BY r")
+def feedback_ratios(spark, d):
+    rows = fx.own(spark, d)
+    cols = F.array(*[F.struct(F.lit(r).alias("ratio"), feedback(F.col("id"), r).alias("fed")) for r in (0.1, 0.5, 1.0)])
+    flat = rows.select("own_correct", F.explode(cols).alias("x")).select("own_correct", "x.*")
+    return flat.groupBy("ratio").agg(F.count("*").alias("events"), F.sum(F.when(F.col("fed"), 1).otherwise(0)).cast("long").alias("written"), F.sum(F.when(F.col("fed"), F.col("own_correct")).otherwise(0)).cast("long").alias("rights"))
