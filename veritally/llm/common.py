@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
 import shutil
 import tempfile
 import uuid
@@ -53,20 +54,8 @@ _LUT = np.zeros(256, bool)
 _LUT[[0x20, *range(0x09, 0x0E)]] = True
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0x5851F42D4C957F2D
-_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _powers(n: int) -> list[np.ndarray]:
-    if len(_POWERS[0]) < n:
-        size = 1 << (n - 1).bit_length()
-        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            p = np.ones(1, np.uint64)
-            step = base
-            while len(p) < size:
-                p = np.concatenate([p, p * np.uint64(step)])
-                step = step * step % (1 << 64)
-            _POWERS[k] = p
-    return _POWERS
+#: Words of more bytes are hashed one by one.
+_LONG = 48
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -112,11 +101,22 @@ class Words:
         self.hash = self._hashes()
 
     def _hashes(self) -> np.ndarray:
-        power, inverse = _powers(len(self.data) + 1)
-        total = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum((self.data.astype(np.uint64) + np.uint64(0x1F3)) * power[: len(self.data)], out=total[1:])
-        h = (total[self.end] - total[self.start]) * inverse[self.start]
-        return mix(h ^ ((self.end - self.start).astype(np.uint64) * _MULT))
+        """A polynomial in the bytes of each word, a place of all words at a time, longest words first."""
+        size = self.end - self.start
+        order = np.argsort(-np.minimum(size, _LONG + 1).astype(np.int8), kind="stable")
+        start = self.start[order]
+        running = len(size) - np.cumsum(np.bincount(np.minimum(size, _LONG + 1), minlength=_LONG + 2))
+        h = np.zeros(len(size), np.uint64)
+        for k in range(_LONG):
+            n = int(running[k])
+            if not n:
+                break
+            h[:n] = h[:n] * np.uint64(_BASE) + self.data[start[:n] + k] + np.uint64(1)
+        out = np.empty_like(h)
+        out[order] = h
+        for k in order[: int(running[_LONG])]:
+            out[k] = int.from_bytes(hashlib.blake2b(self.data[self.start[k] : self.end[k]].tobytes(), digest_size=8).digest(), "little")
+        return mix(out ^ (size.astype(np.uint64) * _MULT))
 
     def text_of(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.count)), self.count)

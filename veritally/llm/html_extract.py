@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ AWAY = _WORDS("nav footer aside form dialog menu")
 HOME = _WORDS("article main")
 AWAY_NAMES = _WORDS(
     "ad ads adbox adslot advert adverts advertisement advertising banner breadcrumb breadcrumbs byline comment comments commentlist complementary consent contentinfo cookie cookies copyright dialog discussion disqus dropdown feedback foot footer form gdpr "
-    "header login masthead menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination pingback popup promo promotion related recommended reply replies respond search share sharing side sidebar signup skip skyscraper social sponsor sponsored subscribe subscription tagcloud toolbar topbar tracking widget widgets alert"
+    "header login masthead menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination pingback popup promo promotion related recommended reply replies respond search share sharing side sidebar signup skip skyscraper social sponsor sponsored subscribe subscription tagcloud toolbar topbar tracking widget widgets alert alerts trending popular disclaimer"
 )
 HOME_NAMES = _WORDS("article content entry main maincontent post story articlebody")
 
@@ -63,6 +64,7 @@ def blocks(page: str) -> list[tuple[str, int, float, int]]:
     """The text blocks in order: text, words, share of words in links, surroundings."""
     found: list[tuple[str, int, float, int]] = []
     stack: list[tuple[str, int]] = []
+    opened: Counter[str] = Counter()
     now = links = at = 0
     text: list[str] = []
     linked: list[str] = []
@@ -96,14 +98,16 @@ def blocks(page: str) -> list[tuple[str, int, float, int]]:
         if not m[2]:
             if tag not in VOID and not m[4].endswith("/"):
                 stack.append((tag, now))
+                opened[tag] += 1
                 links += tag == "a"
                 inner = _surroundings(tag, m[4], now)
                 if inner != now:
                     close()
                     now = inner
-        elif any(t == tag for t, _ in reversed(stack)):
+        elif opened[tag]:
             while True:
                 t, before = stack.pop()
+                opened[t] -= 1
                 links -= t == "a"
                 if before != now:
                     close()
