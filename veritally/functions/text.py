@@ -5,12 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# ASCII punctuation, and the words that say nothing about a question.
+# ASCII punctuation, words that say nothing about a question, and the patterns that answers are read by.
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 CONTENT_STOPWORDS = (
     "this that with from have which their there would could should about what when where your they them then than into only also been were will just more most such other some very does each same both over like make made much many must answer "
     "final option options correct question because therefore since while these those being given following based statement"
 ).split()
+ARTICLES = r"\b(a|an|the)\b"
+ANSWER_SPAN = r"(?:final\s+answer|answer)[ \t]*(?:(?:is)[ \t]*:?[ \t]*|:[ \t]*)([^\n\r]+)"
+ANSWER_TAIL = r"(?:final\s+answer|answer)\s*(?:is|:)?\s*([^\n\r]+)"
+ANSWER_YES_NO = r"(?:final\s+answer|answer)\s*(?:is|:)?\s*(yes|no|true|false)\b"
+YES_NO = r"\b(yes|no|true|false)\b"
+FINAL_LINE = r"^[^\S\r\n]*(final\s+answer|answer)\s*(is|:)[^\n\r]*$"
+ANSWER_PHRASE = r"final\s+answer\s*(?:is|:)?\s*\(?[a-z0-9./-]{0,16}\)?\.?"
+CODE_MARK = r"#include\s*<|\bint\s+main\s*\(|^\s*def\s+\w+\s*\(|\bpublic\s+static\b|System\.out\.print|console\.log\(|^\s*(?:import|using\s+namespace)\s+\w+"
+REPEATED_WORD = r"\b([a-z]\w+)(\s+\1\b){9,}"
+VERDICT = r"verdict\s*:\s*\**\s*(accept|reject)"
+CRITIQUE = r"critique\s*:\s*(.+)"
+CORRECT_IS = r"(?:correct|right|true|actual)\s+(?:final\s+)?(?:answer|option|choice|result)\s*(?:is|:)\s*\(?([^\n\r.,;)]{1,60})"
+REFUSAL = r"\bI\s+(can(not|'t)|will not|won't|must not|am not able to)\s+(help|assist|comply|provide|do|create|generate|produce|write|give|fulfil|fulfill)"
+SETTING = (
+    r"\b(mislead(ing)?|deliberately (wrong|incorrect|mistaken)|intentionally (wrong|incorrect|mistaken)|plausible but wrong|on purpose|as (instructed|asked|requested)|I was (asked|told|instructed)"
+    r"|the instruction(s)? (say|said|ask)|this (is|was) an experiment|robustness experiment|subtle (bug|mistake|error)|pretend(ing)? to|flawed on purpose|wrong answer (is|must)|incorrect on purpose)\b"
+)
 WHITE = r"(?U)\s+"
 
 
@@ -29,7 +46,7 @@ def last(items: Column) -> Column:
 def qa_normalise(x: Column) -> Column:
     """Lower case without ASCII punctuation and articles, single spaces."""
     bare = F.translate(F.lower(F.coalesce(x, F.lit(""))), PUNCTUATION, "")
-    return squeeze(F.regexp_replace(bare, r"(?U)\b(a|an|the)\b", " "))
+    return squeeze(F.regexp_replace(bare, "(?U)" + ARTICLES, " "))
 
 
 def _undotted(x: Column) -> Column:
@@ -48,7 +65,7 @@ def _readable(x: Column) -> Column:
 def qa_answer(x: Column) -> Column:
     """The last 'answer is/:' tail with a letter or digit, else the last such line, else the text."""
     raw = strip(F.coalesce(x, F.lit("")))
-    tails = F.regexp_extract_all(raw, F.lit(r"(?i)(?:final\s+answer|answer)[ \t]*(?:(?:is)[ \t]*:?[ \t]*|:[ \t]*)([^\n\r]+)"), F.lit(1))
+    tails = F.regexp_extract_all(raw, F.lit("(?i)" + ANSWER_SPAN), F.lit(1))
     tails = F.filter(F.transform(tails, _undotted), _readable)
     lines = F.filter(F.transform(_lines(raw), _undotted), _readable)
     return F.coalesce(last(tails), last(lines), _undotted(raw))
@@ -57,7 +74,7 @@ def qa_answer(x: Column) -> Column:
 def tail_answer(x: Column) -> Column:
     """The last explicit answer tail, else the last line (multiple choice)."""
     raw = strip(F.coalesce(x, F.lit("")))
-    tails = F.regexp_extract_all(raw, F.lit(r"(?i)(?:final\s+answer|answer)\s*(?:is|:)?\s*([^\n\r]+)"), F.lit(1))
+    tails = F.regexp_extract_all(raw, F.lit("(?i)" + ANSWER_TAIL), F.lit(1))
     return F.coalesce(strip(last(tails)), last(_lines(raw)), raw)
 
 
@@ -72,15 +89,15 @@ def short_normalise(x: Column) -> Column:
 def yes_no(x: Column) -> Column:
     """yes or no of a label, '' if neither is named."""
     t = F.lower(strip(F.coalesce(x, F.lit(""))))
-    word = F.regexp_extract(t, r"(?U)\b(yes|no|true|false)\b", 1)
+    word = F.regexp_extract(t, "(?U)" + YES_NO, 1)
     return F.when(t.isin("1", "true", "yes"), "yes").when(t.isin("0", "false", "no"), "no").when(word.isin("yes", "true"), "yes").when(word.isin("no", "false"), "no").otherwise("")
 
 
 def yes_no_answer(x: Column) -> Column:
     """The last explicit yes/no answer, else the last yes/no word."""
     raw = strip(F.coalesce(x, F.lit("")))
-    explicit = F.regexp_extract_all(raw, F.lit(r"(?iU)(?:final\s+answer|answer)\s*(?:is|:)?\s*(yes|no|true|false)\b"), F.lit(1))
-    words = F.regexp_extract_all(raw, F.lit(r"(?iU)\b(yes|no|true|false)\b"), F.lit(1))
+    explicit = F.regexp_extract_all(raw, F.lit("(?iU)" + ANSWER_YES_NO), F.lit(1))
+    words = F.regexp_extract_all(raw, F.lit("(?iU)" + YES_NO), F.lit(1))
     return yes_no(F.coalesce(last(explicit), last(words), F.lit("")))
 
 
@@ -136,13 +153,13 @@ def clip(x: Column, limit: int) -> Column:
 
 def verdict(x: Column) -> Column:
     """ACCEPT or REJECT, the last one named; ACCEPT if none is."""
-    named = F.regexp_extract_all(F.coalesce(x, F.lit("")), F.lit(r"(?i)verdict\s*:\s*\**\s*(accept|reject)"), F.lit(1))
+    named = F.regexp_extract_all(F.coalesce(x, F.lit("")), F.lit("(?i)" + VERDICT), F.lit(1))
     return F.upper(F.coalesce(last(named), F.lit("accept")))
 
 
 def critique(x: Column, limit: int = 500) -> Column:
     t = F.coalesce(x, F.lit(""))
-    tail = F.try_element_at(F.regexp_extract_all(t, F.lit(r"(?i)critique\s*:\s*(.+)"), F.lit(1)), F.lit(1))
+    tail = F.try_element_at(F.regexp_extract_all(t, F.lit("(?i)" + CRITIQUE), F.lit(1)), F.lit(1))
     return F.substring(strip(F.substring_index(F.coalesce(tail, t), "\n", 1)), 1, limit)
 
 
@@ -157,7 +174,7 @@ def looped(x: Column) -> Column:
     longer = F.array_sort(F.filter(words, lambda w: F.length(w) > 2))
     run = F.aggregate(longer, F.struct(F.lit("").alias("w"), F.lit(0).alias("n"), F.lit(0).alias("top")), lambda s, w: F.struct(w.alias("w"), F.when(s["w"] == w, s["n"] + 1).otherwise(1).alias("n"), F.greatest(s["top"], F.when(s["w"] == w, s["n"] + 1).otherwise(1)).alias("top")), lambda s: s["top"])
     most = (F.size(words) >= 30) & (run > 20) & (run > F.lit(0.3) * F.size(words))
-    return F.regexp_like(t, F.lit(r"(?U)\b([a-z]\w+)(\s+\1\b){9,}")) | most
+    return F.regexp_like(t, F.lit("(?U)" + REPEATED_WORD)) | most
 
 
 def content_words(x: Column) -> Column:
@@ -167,8 +184,8 @@ def content_words(x: Column) -> Column:
 
 def off_topic(x: Column, source: Column) -> Column:
     """Program code, symbols, or prose that shares no content word with the question; a bare label is on topic."""
-    body = strip(F.regexp_replace(F.coalesce(x, F.lit("")), r"(?i)final\s+answer\s*(?:is|:)?\s*\(?[a-z0-9./-]{0,16}\)?\.?", " "))
-    code = F.regexp_like(body, F.lit(r"(?m)#include\s*<|\bint\s+main\s*\(|^\s*def\s+\w+\s*\(|\bpublic\s+static\b|System\.out\.print|console\.log\(|^\s*(?:import|using\s+namespace)\s+\w+"))
+    body = strip(F.regexp_replace(F.coalesce(x, F.lit("")), "(?i)" + ANSWER_PHRASE, " "))
+    code = F.regexp_like(body, F.lit("(?m)" + CODE_MARK))
     letters = F.length(F.regexp_replace(body, r"[^\p{L}]", ""))
     mine, theirs = content_words(body), content_words(source)
     strange = (F.size(mine) >= 8) & (F.size(theirs) >= 3) & ~F.arrays_overlap(mine, theirs)
@@ -177,24 +194,23 @@ def off_topic(x: Column, source: Column) -> Column:
 
 def leaks_gold(x: Column, golds: Column) -> Column:
     """Whether the text names a gold answer as the correct one."""
-    claims = F.regexp_extract_all(F.coalesce(x, F.lit("")), F.lit(r"(?i)(?:correct|right|true|actual)\s+(?:final\s+)?(?:answer|option|choice|result)\s*(?:is|:)\s*\(?([^\n\r.,;)]{1,60})"), F.lit(1))
+    claims = F.regexp_extract_all(F.coalesce(x, F.lit("")), F.lit("(?i)" + CORRECT_IS), F.lit(1))
     claims = F.filter(F.transform(claims, qa_normalise), lambda c: c != "")
     return F.exists(claims, lambda c: F.exists(F.transform(golds, qa_normalise), lambda g: (c == g) | ((F.length(g) > 2) & F.contains(c, g))))
 
 
 def refuses(x: Column) -> Column:
-    return F.regexp_like(F.coalesce(x, F.lit("")), F.lit(r"(?i)\bI\s+(can(not|'t)|will not|won't|must not|am not able to)\s+(help|assist|comply|provide|do|create|generate|produce|write|give|fulfil|fulfill)"))
+    return F.regexp_like(F.coalesce(x, F.lit("")), F.lit("(?i)" + REFUSAL))
 
 
 def leaks_setting(x: Column) -> Column:
     """Whether the text gives away that it was asked to mislead."""
-    told = r"\b(mislead(ing)?|(deliberately|intentionally) (wrong|incorrect|mistaken)|plausible but wrong|on purpose|as (instructed|asked|requested)|I was (asked|told|instructed)|the instruction(s)? (say|said|ask)|this (is|was) an experiment|robustness experiment|subtle (bug|mistake|error)|pretend(ing)? to|wrong answer (is|must))\b"
-    return F.regexp_like(F.coalesce(x, F.lit("")), F.lit("(?i)" + told))
+    return F.regexp_like(F.coalesce(x, F.lit("")), F.lit("(?i)" + SETTING))
 
 
 def argument_chars(x: Column) -> Column:
     """Characters besides final-answer lines."""
-    return F.length(strip(F.regexp_replace(F.coalesce(x, F.lit("")), r"(?im)^[^\S\r\n]*(final\s+answer|answer)\s*(is|:)[^\n\r]*$", "")))
+    return F.length(strip(F.regexp_replace(F.coalesce(x, F.lit("")), "(?im)" + FINAL_LINE, "")))
 
 
 def context_text(passages: Column, limit: int = 8000) -> Column:

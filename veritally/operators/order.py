@@ -7,6 +7,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Ranges at most: what is cut, collected and broadcast has no more rows.
+MOST_RANGES = 10_000
+
+
 def numbered(df: DataFrame, order: list[str], name: str = "seq", bucket_rows: int = 1_000_000) -> DataFrame:
     """Add the row's number (from 0) in the order of the given columns, the first of which is a number or a time.
 
@@ -15,7 +19,7 @@ def numbered(df: DataFrame, order: list[str], name: str = "seq", bucket_rows: in
     """
     value = F.col(order[0]).cast("double")
     rows = df.count()
-    ranges = max(1, -(-rows // bucket_rows))
+    ranges = min(MOST_RANGES, max(1, -(-rows // bucket_rows)))
     if ranges == 1:
         bucket = F.lit(0)
     else:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.maths import places
 
-# Words that are not indexed.
+#: Words that are not indexed, unless others are given.
 STOPWORDS = (
     "a about above after again against all am an and any are as at be because been before being below between both but by can did do does doing down during each few for from further had has have having he her here hers herself him himself his how i if in into is it its itself just me more most my myself no nor not now of off on once only or other our ours ourselves out over own same she should so some such than that the their theirs them themselves then there these they this those through to too under until up very was we were what when where which while who whom why will with you your yours yourself yourselves"
 ).split()
@@ -17,23 +17,23 @@ STOPWORDS = (
 MOST_BROADCAST = 200_000
 
 
-def sized(df: DataFrame, key: str, text: str) -> DataFrame:
+def sized(df: DataFrame, key: str, text: str, stopwords=STOPWORDS) -> DataFrame:
     """(key, size, words): the indexed words of each text."""
     words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(r"(?U)\w+"), F.lit(0))
     rows = df.select(F.col(key), words.alias("words"))
-    rows = rows.select(key, F.filter("words", lambda w: ~w.isin(STOPWORDS)).alias("words"))
+    rows = rows.select(key, F.filter("words", lambda w: ~w.isin(list(stopwords))).alias("words"))
     return rows.select(key, F.size("words").alias("size"), "words")
 
 
-def bm25(docs: DataFrame, queries: DataFrame, doc: str = "doc_id", query: str = "item_id", text: str = "text", k1: float = 1.5, b: float = 0.75, digits: int = 4) -> DataFrame:
+def bm25(docs: DataFrame, queries: DataFrame, doc: str = "doc_id", query: str = "item_id", text: str = "text", k1: float = 1.5, b: float = 0.75, digits: int = 4, stopwords=STOPWORDS) -> DataFrame:
     """(query, doc, score) of documents that share a word with the query: sum of weights times the query's word counts.
 
     Only words that some query has are kept before anything is counted or shuffled, so the work follows the queries.
     """
-    rows = sized(docs, doc, text)
+    rows = sized(docs, doc, text, stopwords)
     all_docs, total = rows.agg(F.count("*"), F.sum("size")).first()
     average = (total or 0) / max(1, all_docs)
-    asked = sized(queries, query, text).select(query, F.explode("words").alias("term")).groupBy(query, "term").agg(F.count("*").alias("times"))
+    asked = sized(queries, query, text, stopwords).select(query, F.explode("words").alias("term")).groupBy(query, "term").agg(F.count("*").alias("times"))
     small = asked.count() <= MOST_BROADCAST
     send = F.broadcast if small else (lambda x: x)  # its rows bound those of the other tables sent
     wanted = send(asked.select("term").distinct())

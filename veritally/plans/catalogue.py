@@ -411,33 +411,35 @@ def exact_match(spark, d):
     return _qa_pairs(spark, d).select("item_id", "other", T.exact_match(F.col("text"), F.array("gold")).alias("matches"))
 
 
-SAID = "CASE WHEN doc_id % 5 = 0 THEN text || chr(10) || 'Final answer: ' || lang || '.' WHEN doc_id % 5 = 1 THEN 'the answer is  yes' WHEN doc_id % 5 = 2 THEN 'No, TRUE' WHEN doc_id % 5 = 3 THEN '  (B) ' ELSE '' END"
+SAID = "(text || CASE doc_id % 5 WHEN 0 THEN chr(10) || 'Final answer: ' || lang || '.' WHEN 1 THEN chr(10) || 'the answer is  yes' WHEN 2 THEN chr(10) || 'No, TRUE' WHEN 3 THEN chr(10) || '  (B) ' ELSE '' END)"
+_BLANK = "' ' || chr(10) || chr(9) || chr(13)"
 
 
 def _said(spark, d):
+    """Whole texts with a closing line in one of four forms, or none."""
     k = F.col("doc_id") % 5
-    said = F.when(k == 0, F.concat("text", F.lit("\nFinal answer: "), "lang", F.lit("."))).when(k == 1, "the answer is  yes").when(k == 2, "No, TRUE").when(k == 3, "  (B) ").otherwise("")
-    return fx.read(spark, d, "documents").select("doc_id", "lang", said.alias("said"))
+    end = F.when(k == 0, F.concat(F.lit("\nFinal answer: "), "lang", F.lit("."))).when(k == 1, "\nthe answer is  yes").when(k == 2, "\nNo, TRUE").when(k == 3, "\n  (B) ").otherwise("")
+    return fx.read(spark, d, "documents").select("doc_id", "lang", F.concat("text", end).alias("said"))
 
 
-@query("SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN lang WHEN 1 THEN 'yes' WHEN 2 THEN 'No, TRUE' WHEN 3 THEN '(B)' ELSE '' END AS answer FROM documents")
+@query(f"WITH l AS (SELECT doc_id, lang, {SAID} AS said FROM documents), r AS (SELECT *, list_filter(list_transform(string_split(said, chr(10)), lambda x: trim(trim(x, {_BLANK}), '.')), lambda x: regexp_matches(x, '[\\p{{L}}\\p{{N}}]')) AS ls FROM l) SELECT doc_id, md5(CASE doc_id % 5 WHEN 0 THEN lang WHEN 1 THEN 'yes' ELSE coalesce(ls[-1], trim(trim(said, {_BLANK}), '.')) END) AS answer FROM r")
 def answer_extract(spark, d):
-    return _said(spark, d).select("doc_id", T.qa_answer(F.col("said")).alias("answer"))
+    return _said(spark, d).select("doc_id", F.md5(T.qa_answer(F.col("said"))).alias("answer"))
 
 
-@query("SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN lang WHEN 1 THEN 'yes' WHEN 2 THEN 'no true' WHEN 3 THEN 'b' ELSE '' END AS answer FROM documents")
+@query(f"WITH l AS (SELECT doc_id, lang, list_filter(list_transform(string_split({SAID}, chr(10)), lambda x: trim(x, {_BLANK})), lambda x: x <> '') AS ls FROM documents), r AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN lang WHEN 1 THEN 'yes' ELSE coalesce(ls[-1], '') END AS a FROM l) SELECT doc_id, md5({_norm('a')}) AS answer FROM r")
 def short_extract(spark, d):
-    return _said(spark, d).select("doc_id", T.short_normalise(T.short_answer(F.col("said"))).alias("answer"))
+    return _said(spark, d).select("doc_id", F.md5(T.short_normalise(T.short_answer(F.col("said")))).alias("answer"))
 
 
-@query("SELECT doc_id, CASE doc_id % 5 WHEN 1 THEN 'yes' WHEN 2 THEN 'yes' ELSE '' END AS answer FROM documents WHERE doc_id % 5 <> 0")
+@query(f"WITH w AS (SELECT doc_id, list_filter(regexp_extract_all(lower({SAID}), '[\\p{{L}}\\p{{N}}\\p{{M}}_]+'), lambda x: x IN ('yes', 'no', 'true', 'false')) AS ws FROM documents) SELECT doc_id, CASE WHEN len(ws) = 0 THEN '' WHEN ws[-1] IN ('yes', 'true') THEN 'yes' ELSE 'no' END AS answer FROM w")
 def bool_extract(spark, d):
-    return _said(spark, d).filter("doc_id % 5 <> 0").select("doc_id", T.yes_no_answer(F.col("said")).alias("answer"))
+    return _said(spark, d).select("doc_id", T.yes_no_answer(F.col("said")).alias("answer"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 5 = 3 THEN 'b' ELSE lower(trim(CASE doc_id % 5 WHEN 1 THEN 'the answer is  yes' WHEN 2 THEN 'No, TRUE' ELSE '' END)) END AS label FROM documents WHERE doc_id % 5 <> 0")
+@query(f"SELECT doc_id, md5(lower(trim(regexp_replace(trim({SAID}, ' ' || chr(10) || chr(9) || chr(13)), '^[()\\[\\]{{}}]+|[()\\[\\]{{}}]+$', '', 'g'), ' ' || chr(10) || chr(9) || chr(13)))) AS label FROM documents")
 def option_labels(spark, d):
-    return _said(spark, d).filter("doc_id % 5 <> 0").select("doc_id", T.option_label(F.col("said")).alias("label"))
+    return _said(spark, d).select("doc_id", F.md5(T.option_label(F.col("said"))).alias("label"))
 
 
 @query("SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'REJECT' ELSE 'ACCEPT' END AS verdict, CASE WHEN turn % 3 = 0 THEN 'too short' ELSE substr(trim(string_split(coalesce(text, ''), chr(10))[1]), 1, 500) END AS critique FROM conversations")
@@ -522,6 +524,8 @@ def bm25_topk(spark, d):
 def retrieval_recall(spark, d):
     docs, items = fx.read(spark, d, "documents"), fx.read(spark, d, "benchmark")
     ranked = retrieval.top(retrieval.bm25(docs, items), "item_id", "doc_id", 3)
+    if items.count() > 10_000:
+        raise ValueError("the items are compared with every document: give at most 10,000 at once")
     support = docs.select("doc_id", "text").join(F.broadcast(items.select("item_id", F.col("text").alias("item"))), F.contains("text", "item")).select("item_id", "doc_id")
     return retrieval.recall(ranked, support, "item_id", "doc_id")
 
