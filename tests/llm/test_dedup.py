@@ -157,6 +157,18 @@ def test_near_copies_in_one_bucket_join_even_if_not_with_their_leader(spark):
     assert {r.class_id for r in near_dedup.classes(df).collect()} == {0}
 
 
+def test_near_copies_by_shingle_sets_whose_counts_differ(spark):
+    """Plain Jaccard 0.97, probability Jaccard 0.25."""
+    rng = random.Random(11)
+    texts = []
+    for _ in range(8):
+        body, line = sentence(rng, 204), sentence(rng, 6, "z")
+        texts += [body, body + (" " + line) * 100]
+    df = spark.createDataFrame(rows(texts), SCHEMA)
+    got = {r.doc_id: r.class_id for r in near_dedup.classes(df).collect()}
+    assert got == brute_classes(range(len(texts)), texts) == {k: k - k % 2 for k in range(16)}
+
+
 def test_near_copies_of_odd_tables(spark):
     df = odd(spark)
     got = near_dedup.classes(df).collect()

@@ -3,16 +3,18 @@
 Shingles of `WORDS` words, weighted by how often they come, are elements of a weighted set. Every element is the source of a
 Poisson process whose rate is its weight; each arrival falls in one of `M` registers at random, and a register keeps the
 element that arrives first. A process ends early once its next arrival is later than every register's. Two sets agree in a
-register with their probability Jaccard similarity. Bands of `ROWS` registers are the keys of candidate buckets, and
-candidates are verified exactly: linked at a probability Jaccard, or a plain Jaccard of the shingle sets, of 0.8 or more.
+register with their probability Jaccard similarity, or, if all weights are taken as 1, with their plain Jaccard. Bands of
+`ROWS` registers are the keys of candidate buckets; a text with repeated shingles has those of its counts and those of
+weights 1, other texts have one and the same for both. Candidates are verified exactly: linked at a probability Jaccard,
+or a plain Jaccard of the shingle sets, of 0.8 or more.
 
 Exact copies are one text from the start (by md5), so groups of copies are never expanded. In a bucket each text is compared
 with the bucket's leader, the text with the most company in all its buckets (the middle of a group of near copies), which
 is linear in the bucket. A second pass is for buckets that are still of several components: texts outside the largest one
 are compared with the bucket's texts in other components, except where a bound shows that they cannot be linked. A text
 whose shingles are over a fifth its own (no other such text has them) is like none; a pair's similarity is bounded by its
-sizes and shared shingles; and pairs that agree in too few registers are left out. A pair at similarity 0.8 shares no band
-with probability (1 - 0.8 ** ROWS) ** BANDS, 2e-5 here.
+sizes and shared shingles; and pairs that agree in too few registers, by counts and by weights 1, are left out. A pair at
+similarity 0.8 of either kind shares no band with probability (1 - 0.8 ** ROWS) ** BANDS, 2e-5 here.
 
 Result: one row per document with class_id, the least key of its class (a connected component of links). Defined results:
 null texts and texts without a word are each their own class (class_id is the row's key); a text of fewer words than a
@@ -34,6 +36,7 @@ BANDS, ROWS = 20, 4
 M = BANDS * ROWS
 #: Registers of the second pass, and in how many a pair has to agree to be compared: one at 0.8 falls short with probability 1e-5.
 FINE, NEAR = 256, 176
+SIGNS = ["buckets", "registers", "plain_buckets", "plain_registers"]
 
 
 def shingles(words: Words, n: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -81,6 +84,14 @@ def band_keys(who: np.ndarray) -> np.ndarray:
     return mix(key + np.arange(BANDS, dtype=np.uint64)) | np.uint64(1)
 
 
+def ones_too(text: np.ndarray, element: np.ndarray, weight: np.ndarray, texts: int, m: int = M) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures by weight, numbers of the texts whose weights are not all 1, and the signatures of those by weights 1."""
+    uneven = np.unique(text[weight != 1])
+    of = np.isin(text, uneven)
+    plain = signatures(np.searchsorted(uneven, text[of]), element[of], np.ones(int(of.sum())), len(uneven), m)
+    return signatures(text, element, weight.astype(float), texts, m), uneven, plain
+
+
 def similarity(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> float:
     """The greater of probability Jaccard and plain Jaccard of two weighted sets (sorted elements, weights)."""
     _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
@@ -100,17 +111,18 @@ def similarity(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) ->
 
 
 def bands(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """(bucket, key): a row for each band of each text with a word."""
+    """(bucket, key): a row for each band of each text with a word, also by weights 1 if some shingle repeats."""
 
     def run(batches):
         for batch in batches:
             for part in chunks(batch, text):
                 words = Words(part.column(text))
                 t, h, c = shingles(words)
-                some = words.count > 0
-                keys = band_keys(signatures(t, h, c.astype(float), part.num_rows))[some]
-                names = part.column(key).filter(pa.array(some))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), names.take(pa.array(np.repeat(np.arange(len(names)), BANDS)))], ["bucket", "key"])
+                some = np.flatnonzero(words.count > 0)
+                weighted, uneven, plain = ones_too(t, h, c, part.num_rows)
+                keys = np.concatenate([band_keys(weighted)[some], band_keys(plain)])
+                names = np.repeat(np.concatenate([some, uneven]), BANDS)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), part.column(key).take(pa.array(names))], ["bucket", "key"])
 
     return texts.select(key, text).mapInArrow(run, "bucket long, key binary")
 
@@ -178,7 +190,17 @@ def shares(sets: DataFrame) -> DataFrame:
 
 
 def signed(sets: DataFrame) -> DataFrame:
-    """(key, buckets, registers) of sets: the band keys, and 16 bits of each of FINE registers."""
+    """(key, buckets, registers, plain_buckets, plain_registers) of sets: the band keys, and 16 bits of each of FINE registers.
+
+    The plain ones are by weights 1, null where all weights are 1.
+    """
+
+    def packed(keys, fine, rows, n):
+        fine = (mix(fine) >> np.uint64(48)).astype(np.uint16).view(np.int16)
+        at = np.full(n, -1)
+        at[rows] = np.arange(len(rows))
+        where = pa.array(at, mask=at < 0)
+        return [pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(kind)).take(where) for x, kind in ((keys.view(np.int64), pa.int64()), (fine, pa.int16()))]
 
     def run(batches):
         for batch in batches:
@@ -186,12 +208,12 @@ def signed(sets: DataFrame) -> DataFrame:
                 part = batch.slice(at, 200)
                 rows, e, w = _unpacked(part)
                 n = part.num_rows
-                keys = band_keys(signatures(rows, e, w.astype(float), n))
-                fine = (mix(signatures(rows, mix(e), w.astype(float), n, FINE)) >> np.uint64(48)).astype(np.uint16).view(np.int16)
-                lists = [pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(kind)) for x, kind in ((keys.view(np.int64), pa.int64()), (fine, pa.int16()))]
-                yield pa.RecordBatch.from_arrays([part.column("key"), *lists], ["key", "buckets", "registers"])
+                weighted, uneven, plain = ones_too(rows, e, w, n)
+                fine, _, plain_fine = ones_too(rows, mix(e), w, n, FINE)
+                lists = packed(band_keys(weighted), fine, np.arange(n), n) + packed(band_keys(plain), plain_fine, uneven, n)
+                yield pa.RecordBatch.from_arrays([part.column("key"), *lists], ["key", *SIGNS])
 
-    return sets.select("key", "elements", "weights").mapInArrow(run, "key binary, buckets array<long>, registers array<smallint>")
+    return sets.select("key", "elements", "weights").mapInArrow(run, "key binary, buckets array<long>, registers array<smallint>, plain_buckets array<long>, plain_registers array<smallint>")
 
 
 def links(texts: DataFrame, key: str, text: str, name: str, least: float = SIMILARITY) -> DataFrame:
@@ -219,16 +241,28 @@ def links(texts: DataFrame, key: str, text: str, name: str, least: float = SIMIL
         return roots
     opened = table(sets.join(split.select("key").distinct(), "key"), "near-open")
     bound = table(shares(opened).filter(F.col("shared") >= least * F.col("size")).dropDuplicates(["id"]), "near-bounds")
-    near = opened.withColumn("id", F.xxhash64("key")).join(bound, "id").drop("id")
-    signs = table(near.select("key", "size", "shared", "even").join(signed(near).dropDuplicates(["key"]), "key"), "near-signs")
+    kept = opened.withColumn("id", F.xxhash64("key")).join(bound, "id").drop("id")
+    signs = table(kept.select("key", "size", "shared", "even").join(signed(kept).dropDuplicates(["key"]), "key"), "near-signs")
     split = table(split.join(signs, "key"), "near-candidates")
-    x = split.filter(F.col("root") != F.col("head")).select("bucket", *[F.col(c).alias(f"{c}_x") for c in ("key", "root", "size", "shared", "even", "buckets", "registers")])
-    y = split.select(F.col("bucket").alias("bucket_y"), "head", *[F.col(c).alias(f"{c}_y") for c in ("key", "root", "size", "shared", "even", "buckets", "registers")])
+    x = split.filter(F.col("root") != F.col("head")).select("bucket", *[F.col(c).alias(f"{c}_x") for c in ("key", "root", "size", "shared", "even", *SIGNS)])
+    y = split.select(F.col("bucket").alias("bucket_y"), "head", *[F.col(c).alias(f"{c}_y") for c in ("key", "root", "size", "shared", "even", *SIGNS)])
     most = F.least("shared_x", "shared_y")
     sized = ~F.col("even_x") | ~F.col("even_y") | (most >= least * (F.col("size_x") + F.col("size_y") - most))
     once = (F.col("root_y") == F.col("head")) | (F.col("key_x") < F.col("key_y"))
-    first = F.get(F.filter(F.zip_with("buckets_x", "buckets_y", lambda p, q: F.when(p == q, p)), lambda v: v.isNotNull()), F.lit(0)) == F.col("bucket")
-    agree = F.aggregate(F.zip_with("registers_x", "registers_y", lambda p, q: F.when(p == q, 1).otherwise(0)), F.lit(0), lambda s, v: s + v) >= NEAR
+
+    def plain(name, side):
+        return F.coalesce(f"plain_{name}_{side}", f"{name}_{side}")
+
+    def shared_buckets(p, q):
+        return F.filter(F.zip_with(p, q, lambda v, w: F.when(v == w, v)), lambda v: v.isNotNull())
+
+    def near(p, q):
+        return F.aggregate(F.zip_with(p, q, lambda v, w: F.when(v == w, 1).otherwise(0)), F.lit(0), lambda s, v: s + v) >= NEAR
+
+    # a pair is looked at in the first bucket that it shares by counts, or else by weights 1
+    first = F.coalesce(F.get(shared_buckets(F.col("buckets_x"), F.col("buckets_y")), F.lit(0)), F.get(shared_buckets(plain("buckets", "x"), plain("buckets", "y")), F.lit(0))) == F.col("bucket")
+    uneven = F.col("plain_registers_x").isNotNull() | F.col("plain_registers_y").isNotNull()
+    agree = near(F.col("registers_x"), F.col("registers_y")) | (uneven & near(plain("registers", "x"), plain("registers", "y")))
     more = x.join(y, (F.col("bucket") == F.col("bucket_y")) & (F.col("root_x") != F.col("root_y")) & once & sized & first & agree)
     more = table(more.select(F.least("key_x", "key_y").alias("a"), F.greatest("key_x", "key_y").alias("b")).distinct(), "near-more")
     again = table(verified(more, sets, least), "near-links")
