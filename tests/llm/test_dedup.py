@@ -169,6 +169,23 @@ def test_near_copies_by_shingle_sets_whose_counts_differ(spark):
     assert got == brute_classes(range(len(texts)), texts) == {k: k - k % 2 for k in range(16)}
 
 
+def test_near_copies_by_counts_beside_a_larger_component(spark):
+    """Two texts share most by a repeated line only; their buckets' leaders are in groups that are just not like them."""
+    rng = random.Random(13)
+    line = (" " + sentence(rng, 6, "z")) * 100
+    texts = []
+    for _ in range(8):
+        own = sentence(rng, 100).split()
+        for k in range(6):
+            own[k * 9] = sentence(rng, 1, "y")
+            texts.append(" ".join(own) + line)
+    texts += [sentence(rng, 60) + line for _ in range(2)]
+    df = spark.createDataFrame(rows(texts), SCHEMA)
+    want = brute_classes(range(len(texts)), texts)
+    assert want[48] == want[49] == 48
+    assert {r.doc_id: r.class_id for r in near_dedup.classes(df).collect()} == want
+
+
 def test_near_copies_of_odd_tables(spark):
     df = odd(spark)
     got = near_dedup.classes(df).collect()

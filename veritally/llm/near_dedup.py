@@ -12,7 +12,7 @@ Exact copies are one text from the start (by md5), so groups of copies are never
 with the bucket's leader, the text with the most company in all its buckets (the middle of a group of near copies), which
 is linear in the bucket. A second pass is for buckets that are still of several components: texts outside the largest one
 are compared with the bucket's texts in other components, except where a bound shows that they cannot be linked. A text
-whose shingles are over a fifth its own (no other such text has them) is like none; a pair's similarity is bounded by its
+whose shingles are over a fifth its own (no other such text has them), by number and by count, is like none; a pair's similarity is bounded by its
 sizes and shared shingles; and pairs that agree in too few registers, by counts and by weights 1, are left out. A pair at
 similarity 0.8 of either kind shares no band with probability (1 - 0.8 ** ROWS) ** BANDS, 2e-5 here.
 
@@ -170,23 +170,26 @@ def _unpacked(part: pa.RecordBatch):
 
 
 def shares(sets: DataFrame) -> DataFrame:
-    """(id, size, shared, even) of every set: shingles, those that another of the sets has too, whether all come once.
+    """(id, size, shared, even, weight_share) of every set: shingles, those that another of the sets has too, whether all come
+    once, and the share of shared ones by count.
 
-    A text is like another at most by its share of shared shingles. id is a 64-bit hash of the key.
+    A text is like another at most by its share of shared shingles: plain Jaccard by number, probability Jaccard by count.
+    id is a 64-bit hash of the key.
     """
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
-                rows, e, _ = _unpacked(part)
-                yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(rows)), pa.array(e.view(np.int64))], ["id", "element"])
+                rows, e, w = _unpacked(part)
+                total = np.bincount(rows, w, part.num_rows)
+                yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(rows)), pa.array(e.view(np.int64)), pa.array(w / total[rows])], ["id", "element", "part"])
 
     named = sets.withColumn("id", F.xxhash64("key"))
-    flat = named.select("id", "elements", "weights").mapInArrow(run, "id long, element long")
-    alone = flat.groupBy("element").agg(F.count("*").alias("n"), F.min("id").alias("id")).filter(F.col("n") == 1).groupBy("id").agg(F.count("*").alias("alone"))
+    flat = named.select("id", "elements", "weights").mapInArrow(run, "id long, element long, part double")
+    alone = flat.groupBy("element").agg(F.count("*").alias("n"), F.min("id").alias("id"), F.min("part").alias("part")).filter(F.col("n") == 1).groupBy("id").agg(F.count("*").alias("alone"), F.sum("part").alias("alone_part"))
     total = named.select("id", (F.octet_length("elements") / 8).cast("long").alias("size"), (F.octet_length("weights") == 0).alias("even"))
-    return total.join(alone, "id", "left").select("id", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("shared"), "even")
+    return total.join(alone, "id", "left").select("id", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("shared"), "even", (1 - F.coalesce("alone_part", F.lit(0.0))).alias("weight_share"))
 
 
 def signed(sets: DataFrame) -> DataFrame:
@@ -240,7 +243,9 @@ def links(texts: DataFrame, key: str, text: str, name: str, least: float = SIMIL
     if split.isEmpty():
         return roots
     opened = table(sets.join(split.select("key").distinct(), "key"), "near-open")
-    bound = table(shares(opened).filter(F.col("shared") >= least * F.col("size")).dropDuplicates(["id"]), "near-bounds")
+    # parts are added in any order, so the bound by count has a margin
+    able = (F.col("shared") >= least * F.col("size")) | (F.col("weight_share") >= least - 1e-9)
+    bound = table(shares(opened).filter(able).drop("weight_share").dropDuplicates(["id"]), "near-bounds")
     kept = opened.withColumn("id", F.xxhash64("key")).join(bound, "id").drop("id")
     signs = table(kept.select("key", "size", "shared", "even").join(signed(kept).dropDuplicates(["key"]), "key"), "near-signs")
     split = table(split.join(signs, "key"), "near-candidates")
