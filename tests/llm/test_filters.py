@@ -281,6 +281,22 @@ def test_leaks_equal_brute_force(spark):
     assert all(got[k] == want[k] for k in got)
 
 
+def test_no_leak_within_the_limit_is_lost():
+    rng = random.Random(9)
+    for n in (5, 12, 40, 59, 80, 150):
+        items = [sentence(rng, n).split() for _ in range(40)]
+        k = decontaminate.edits(n)
+        texts = []
+        for j, item in enumerate(items):
+            kept = sorted(rng.sample(range(n), n - k)) if j % 2 else range(n)
+            run = [item[i] for i in kept]
+            for _ in range(0 if j % 2 else k):
+                run.insert(rng.randrange(1, len(run)), sentence(rng, 1, "z"))
+            texts.append(" ".join([sentence(rng, rng.randrange(30)), *run, sentence(rng, rng.randrange(30))]))
+        found = decontaminate.Items(list(range(40)), [" ".join(x) for x in items]).leaks(decontaminate.split(pa.array(texts)))
+        assert [found.get(j, {}).get(j, (None,))[0] is not None for j in range(40)] == [True] * 40
+
+
 def test_leaks_by_blocks_and_of_odd_tables(spark, monkeypatch):
     rng = random.Random(8)
     items = [sentence(rng, 12) for _ in range(9)]
