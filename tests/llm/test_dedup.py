@@ -186,6 +186,16 @@ def test_near_copies_by_counts_beside_a_larger_component(spark):
     assert {r.doc_id: r.class_id for r in near_dedup.classes(df).collect()} == want
 
 
+def test_one_row_of_a_class_stays_whatever_its_key(spark):
+    rng = random.Random(14)
+    a, b, c, d = (sentence(rng, 60) for _ in range(4))
+    data = [(1, a), (2, a + " end"), (2, b), (2, c), (None, a), (None, d), (None, d), (None, d + " end"), (3, ""), (3, ""), (4, None), (5, c), (5, b + " end")]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    got = near_dedup.deduplicated(df).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in got if r.text != d and r.text != d + " end") == sorted([(1, a), (2, b), (2, c), (3, ""), (3, ""), (4, "")])
+    assert len([r for r in got if r.doc_id is None]) == 1
+
+
 def test_near_copies_of_odd_tables(spark):
     df = odd(spark)
     got = near_dedup.classes(df).collect()

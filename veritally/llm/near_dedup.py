@@ -275,7 +275,8 @@ def links(texts: DataFrame, key: str, text: str, name: str, least: float = SIMIL
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
-    """One row per document: key, class_id (the least key of its class) and _text, the md5 of its text."""
+    """One row per document: key, class_id (the least key of its class), _text, the md5 of its text, and
+    _chosen, whether its class keeps that text (the one with the least key, ties by md5)."""
     texts = docs.select(F.col(key).alias("_id"), F.coalesce(F.col(key).cast("string"), F.lit("")).alias("_name"), F.unhex(F.md5(text)).alias("_text"), F.col(text).alias("_body"))
     roots = links(texts.filter(F.col("_body").isNotNull()), "_text", "_body", "_name", least)
     some = F.regexp_like(F.coalesce("_body", F.lit("")), F.lit(r"[^\x20\x09-\x0D]"))
@@ -283,18 +284,30 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: flo
     own = table(light.filter(F.col("_text").isNotNull()).groupBy("_text").agg(F.min("_id").alias("least")), "near-texts")
     own = own.join(roots.withColumnRenamed("node", "_text"), "_text", "left").withColumn("root", F.coalesce("root", "_text"))
     own = table(own, "near-rooted")
-    least_id = table(own.groupBy("root").agg(F.min("least").alias("class_id")), "near-classes")
-    by_text = table(own.join(least_id, "root").select("_text", "class_id"), "near-membership")
-    return light.join(by_text, "_text", "left").select(F.col("_id").alias(key), F.when(F.col("_text").isNull(), F.col("_id")).otherwise(F.col("class_id")).alias("class_id"), "_text")
+    order = F.struct(F.col("least").isNull().alias("none"), "least", F.col("_text").alias("text"))
+    least_id = table(own.groupBy("root").agg(F.min("least").alias("class_id"), F.min(order)["text"].alias("_kept")), "near-classes")
+    by_text = table(own.join(least_id, "root").select("_text", "class_id", (F.col("_text") == F.col("_kept")).alias("_chosen")), "near-membership")
+    return light.join(by_text, "_text", "left").select(F.col("_id").alias(key), F.when(F.col("_text").isNull(), F.col("_id")).otherwise(F.col("class_id")).alias("class_id"), "_text", "_chosen")
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
-    """The documents without those of a class whose key is not the class's least; all columns stay.
+    """The documents with one row of each class, of its chosen text and least key; all columns stay.
 
-    Rows that repeat the key and text of the one kept are the same document and stay with it.
+    Rows are told apart by key and text, so other texts of a key stay, and of rows equal in both one stays. Null texts and
+    texts without a word stay as they are.
     """
-    gone = classes(docs, key, text, least).filter(F.col(key) != F.col("class_id")).select(F.col(key).alias("_gone")).distinct()
-    return docs.join(table(gone, "near-gone").hint("shuffle_hash"), F.col(key) == F.col("_gone"), "left_anti")
+    rows = classes(docs, key, text, least).filter(F.col("_text").isNotNull())
+    kept = F.col("_chosen") & F.col(key).eqNullSafe(F.col("class_id"))
+    groups = rows.groupBy(F.col(key).alias("_gone"), F.col("_text").alias("_gone_text")).agg(F.max(kept).alias("_kept"), F.count("*").alias("_rows"))
+    # what goes, and what stays once of several rows
+    groups = table(groups.filter(~F.col("_kept") | (F.col("_rows") > 1)), "near-gone")
+    same = F.col(key).eqNullSafe(F.col("_gone")) & (F.unhex(F.md5(text)) == F.col("_gone_text"))
+    out = docs.join(groups.hint("shuffle_hash"), same, "left_anti")
+    several = groups.filter("_kept")
+    if several.isEmpty():
+        return out
+    again = docs.withColumn("_md5", F.unhex(F.md5(text))).join(several, F.col(key).eqNullSafe(F.col("_gone")) & (F.col("_md5") == F.col("_gone_text")), "left_semi")
+    return out.union(again.dropDuplicates([key, "_md5"]).drop("_md5"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
