@@ -70,6 +70,15 @@ def test_substrings_of_odd_tables(spark):
     assert substring_dedup.substring_dedup(empty(spark)).count() == 0
 
 
+def test_repeated_rows_that_share_a_passage_stay_as_many(spark):
+    rng = random.Random(6)
+    passage = sentence(rng, 60)
+    again, other = sentence(rng, 20) + " " + passage, passage + " " + sentence(rng, 20)
+    data = [(1, again)] * 3 + [(2, other)] + [(None, other + " end")] * 2
+    got = substring_dedup.substring_dedup(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert sorted(tuple(r)[1:4] for r in got) == sorted(brute_substrings([t for _, t in data]))
+
+
 def test_fm_index_counts_every_pattern():
     rng = np.random.default_rng(1)
     pieces = [rng.integers(0, 4, n).astype(np.uint64) for n in (3, 50, 1, 120, 9, 9)]

@@ -204,10 +204,19 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     often = seen.select("anchor", "x").union(twice).groupBy("anchor").agg(F.min("x").alias("low"), F.max("x").alias("high")).filter(F.col("low") != F.col("high")).select("anchor")
     often = table(often, "sub-anchors")
     wanted = seen.select("anchor", "text_key").join(often, "anchor").groupBy("text_key").agg(F.collect_set("anchor").alias("wanted"))
-    texts = table(rows.groupBy("text_key").agg(F.min("name").alias("name"), F.count("*").alias("copies")), "sub-texts")
-    wanted = table(wanted.join(texts, "text_key").select("text_key", "name", "wanted"), "sub-wanted")
+    names = rows.groupBy("text_key", "name").agg(F.count("*").alias("rows"))
+    texts = table(names.groupBy("text_key").agg(F.min("name").alias("name"), F.min_by("rows", "name").alias("rows"), F.sum("rows").alias("copies")), "sub-texts")
+    wanted = table(wanted.join(texts, "text_key").select("text_key", "name", "wanted", "rows"), "sub-wanted")
     named = docs.select(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("name"), F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")))).alias("text_key"), text)
-    some = table(named.join(wanted.hint("shuffle_hash"), ["text_key", "name"]).select("text_key", text, "wanted"), "sub-candidates")
+
+    def candidates(which):
+        return named.join(wanted.filter(which).drop("rows").hint("shuffle_hash"), ["text_key", "name"]).select("text_key", text, "wanted")
+
+    some = candidates("rows = 1")
+    # rows equal in key and text: one stands for them
+    if not wanted.filter("rows > 1").isEmpty():
+        some = some.union(candidates("rows > 1").dropDuplicates(["text_key"]))
+    some = table(some, "sub-candidates")
     digest = F.unhex(F.md5(F.concat(F.col("route").cast("string").cast("binary"), F.lit("|").cast("binary"), F.col("body"))))
     found = table(fragments(some, text).withColumn("fragment", digest), "sub-fragments")
 
