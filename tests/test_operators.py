@@ -226,6 +226,14 @@ def test_projection_is_the_principal_components(spark):
     assert got[200] is None and np.allclose(np.std([got[k] for k in range(200)]), 1, atol=0.01)
 
 
+def test_lengths_are_of_the_whole_table(spark):
+    from veritally.operators import reports
+
+    rows = spark.createDataFrame([(k, "x" * k) for k in range(1, 1002)], "id long, text string")
+    assert tuple(reports.length_statistics(rows, "text", "id").first()) == (1, 501, 1001)
+    assert tuple(reports.length_statistics(rows, "text", "id", 4).first()) == (1, 2, 3)
+
+
 def test_reports(spark):
     from veritally.operators import reports
 

@@ -41,9 +41,9 @@ def rejection_share(verdicts: DataFrame, verdict: str = "verdict") -> DataFrame:
     return verdicts.agg(F.count("*").alias("reports"), _share(F.col(verdict) == "REJECT", "rejected"))
 
 
-def length_statistics(prompts: DataFrame, text: str, pos: str, first: int = 200) -> DataFrame:
-    """Least, median and greatest length of the first prompts."""
-    some = prompts.filter(F.col(pos) < first)
+def length_statistics(prompts: DataFrame, text: str, pos: str, first: int | None = None) -> DataFrame:
+    """Least, median and greatest length of the prompts, or of those at the places below `first`."""
+    some = prompts if first is None else prompts.filter(F.col(pos) < first)
     n = F.length(text)
     return some.agg(F.min(n).alias("least"), F.floor(F.percentile(n, 0.5)).cast("long").alias("median"), F.max(n).alias("most"))
 

@@ -659,7 +659,7 @@ def rejection_share(spark, d):
 
 @query("SELECT CAST(min(length(text)) AS INTEGER) AS least, CAST(floor(quantile_cont(length(text), 0.5)) AS BIGINT) AS median, CAST(max(length(text)) AS INTEGER) AS most FROM documents WHERE doc_id < 200")
 def prompt_lengths(spark, d):
-    return reports.length_statistics(fx.read(spark, d, "documents"), "text", "doc_id")
+    return reports.length_statistics(fx.read(spark, d, "documents"), "text", "doc_id", 200)
 
 
 @query(f"WITH {CH} SELECT id, peer, CASE WHEN g = 'key yes' THEN 1 ELSE 0 END AS correct FROM ch")
