@@ -102,6 +102,20 @@ def test_lines_of_many_documents_of_a_host_go(spark):
     assert not any(r.kept for r in quality_rules.quality_rules(empty(spark)).collect())
 
 
+def test_lines_above_the_limit_leave_the_texts_that_stay(spark):
+    rng = random.Random(5)
+    own = [sentence(rng, 30) for _ in range(30)]
+    texts = [f"{own[k]}\n\n Page  {k} OF the\tHost\n{'x' * (k + 1)}" for k in range(30)]
+    data = [(k, t, "en", "h" if k < 25 else "other", 1, 0.5, "b", 1, "k", 2, 3) for k, t in enumerate(texts)]
+    got = {r.doc_id: r for r in quality_rules.quality_rules(spark.createDataFrame(data, SCHEMA).union(odd(spark).withColumn("doc_id", F.lit(99).cast("long")).filter("text is null")), max_documents=6).collect()}
+    for k in range(30):
+        # page numbers of one and of two digits are two lines
+        gone = k < 25
+        assert got[k].kept and got[k].n_removed_words == (5 if gone else 0)
+        assert got[k].text == (f"{own[k]}\n\n{'x' * (k + 1)}" if gone else texts[k])
+    assert got[99].text is None and got[99].n_removed_words == 0
+
+
 # ---------------------------------------------------------------- mixing
 
 

@@ -2,7 +2,7 @@
 
 Lines are normalised (lower case, digits as 0, runs of white space as one space, trimmed) and hashed with their host.
 For each host the distinct documents (distinct texts: copies of a text count once) with a line are counted; lines in more
-than `max_documents` of them are removed, and a document whose rest is too small is rejected.
+than `max_documents` of them are removed from the text, and a document whose rest is too small is rejected.
 
 Beside it stand five counts of the text itself, all in the row: no row leaves its task for them.
 
@@ -69,8 +69,9 @@ def normalised_lines(text: Column) -> Column:
     return F.filter(F.transform(lines, lambda x: F.trim(x)), lambda x: x != "")
 
 
-def depleted(docs: DataFrame, key: str, text: str, host: str, max_documents: int, min_words: int, max_removed: float) -> DataFrame:
-    """The distinct keys whose text loses too much: fewer than min_words words left, or over max_removed of them removed.
+def shortened(docs: DataFrame, key: str, text: str, host: str, max_documents: int, min_words: int, max_removed: float) -> DataFrame:
+    """The distinct keys whose text loses lines: n_removed_words, hashes of the lines removed (_gone), and whether it loses too
+    much (_depleted): fewer than min_words words left, or over max_removed of them removed.
 
     A key must determine host and text.
     """
@@ -79,20 +80,40 @@ def depleted(docs: DataFrame, key: str, text: str, host: str, max_documents: int
     lines = lines.groupBy("_lh", "_k", "_n").agg(F.max("_words").alias("_words")).groupBy("_lh", "_k").agg(F.sum("_words").alias("_words"))
     lines = table(lines, "quality-lines")
     often = table(lines.groupBy("_lh").agg(F.count("*").alias("_docs")).filter(F.col("_docs") > max_documents).select("_lh"), "quality-often")
-    removed = lines.join(often, "_lh").groupBy("_k").agg(F.sum("_words").alias("_removed"))
+    removed = lines.join(often, "_lh").groupBy("_k").agg(F.sum("_words").alias("_removed"), F.collect_list("_lh").alias("_gone"))
     total = lines.groupBy("_k").agg(F.sum("_words").alias("_total"))
-    both = removed.join(total, "_k").filter((F.col("_total") - F.col("_removed") < min_words) | (F.col("_removed") > max_removed * F.col("_total")))
-    return table(both.select(F.col("_k").alias(key), F.col("_removed").alias("n_removed_words")), "quality-depleted")
+    much = (F.col("_total") - F.col("_removed") < min_words) | (F.col("_removed") > max_removed * F.col("_total"))
+    return table(removed.join(total, "_k").select(F.col("_k").alias(key), F.col("_removed").alias("n_removed_words"), "_gone", much.alias("_depleted")), "quality-shortened")
+
+
+def without_lines(text: Column, host: Column, gone: Column) -> Column:
+    """The text without the lines whose normalised form and host have one of the hashes."""
+    lines = F.split(text, "\n", -1)
+
+    def stays(line):
+        plain = F.lower(F.translate(line, "123456789", "000000000"))
+        plain = F.trim(F.regexp_replace(plain, r"[ \t\x0B\f\r]+", " "))
+        return (plain == "") | ~F.array_contains(gone, F.xxhash64(F.coalesce(host, F.lit("")), plain))
+
+    return F.when(gone.isNull(), text).otherwise(F.array_join(F.filter(lines, stays), "\n"))
 
 
 def quality_rules(docs: DataFrame, text: str = "text", host: str = "source", max_documents: int = 50, min_words: int = 10, max_removed: float = 0.9) -> DataFrame:
-    """Add the base counts, n_removed_words (of rejected documents, else null) and kept to every row."""
+    """Add the base counts, n_removed_words and kept to every row; the text is without the lines removed.
+
+    The counts are of the text as it came.
+    """
     keyed = docs.withColumn("_key", F.md5(F.concat(F.coalesce(F.col(host), F.lit("")), F.lit("\n"), F.coalesce(F.col(text), F.lit("")))))
-    bad = depleted(keyed, "_key", text, host, max_documents, min_words, max_removed)
-    out = base_counts(keyed, text)
-    light = out.drop(text) if text in docs.columns else out
-    joined = light.join(bad, "_key", "left")
-    return joined.withColumn("kept", ~F.col("base_failed") & F.col("n_removed_words").isNull()).drop("_key")
+    lost = shortened(keyed, "_key", text, host, max_documents, min_words, max_removed)
+    joined = base_counts(keyed, text).join(lost, "_key", "left")
+    joined = joined.withColumns(
+        {
+            text: without_lines(F.col(text), F.col(host), F.col("_gone")),
+            "n_removed_words": F.coalesce("n_removed_words", F.lit(0)).cast("long"),
+            "kept": ~F.col("base_failed") & ~F.coalesce("_depleted", F.lit(False)),
+        }
+    )
+    return joined.drop("_key", "_gone", "_depleted")
 
 
 PARAMETERS = {"max_documents": 50, "min_words": 10, "max_removed": 0.9}
