@@ -48,10 +48,10 @@ def passages(seed):
     return texts
 
 
-@pytest.mark.parametrize("hot", [256, 2])
+@pytest.mark.parametrize("hot", [2000, 100, 1])
 def test_substrings_equal_brute_force(spark, monkeypatch, hot):
     monkeypatch.setattr(substring_dedup, "HOT", hot)
-    monkeypatch.setattr(substring_dedup, "SHARD", 20)
+    monkeypatch.setattr(substring_dedup, "SHARD", 500)
     texts = passages(hot)
     got = substring_dedup.substring_dedup(spark.createDataFrame(rows(texts), SCHEMA)).orderBy("doc_id").collect()
     assert [tuple(r)[1:4] for r in got] == brute_substrings(texts)

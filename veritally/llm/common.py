@@ -18,10 +18,20 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
 
+#: Rows of an Arrow batch while an intermediate table is written: whole texts may be long.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one where it is unset, as in tests."""
+    """The folder that the cluster names in spark.checkpoint.dir.
+
+    Where it is unset, a local master gets a temporary one; on a cluster that is an error, as executors share no local folder.
+    """
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="veritally-")
         atexit.register(shutil.rmtree, folder, True)
         spark.conf.set("spark.checkpoint.dir", folder)
@@ -32,8 +42,28 @@ def table(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it again: lineage ends there, and any executor can read it."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_BATCH)
+    if not 0 < int(before) <= BATCH_ROWS:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_BATCH, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables that `table` made; nothing that is still to be computed may read them."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(t._stored)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _sample_hash(key: str):
+    return F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(7)), F.lit(1 << 30))
 
 
 def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
@@ -41,7 +71,7 @@ def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
 
     A filter on the hash, from the count of df, first leaves little more than `rows` rows, so that few are sorted.
     """
-    df = df.withColumn("_h", F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(7)), F.lit(1 << 30)))
+    df = df.withColumn("_h", _sample_hash(key))
     found = df.count()
     if found > rows:
         df = df.filter(F.col("_h") <= int((1 << 30) * min(1.0, (1.2 * rows + 100) / found)))
@@ -153,15 +183,27 @@ def is_remainder(key, parts: int, remainder: int):
     return F.coalesce(F.crc32(F.col(key).cast("string")) % parts == remainder, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame | None, label: str, rows: int, parts: int, held: int, key: str = "doc_id", text: str = "text"):
-    """(texts, labels) of at most `rows` labelled rows, none held out, as numpy arrays on the driver.
+#: Bytes of text of a labelled sample at most (the rows of least hash stay, one at least).
+SAMPLE_BYTES = 64_000_000
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame | None, label: str, rows: int, parts: int, held: int, key: str = "doc_id", text: str = "text", most_bytes: int = SAMPLE_BYTES):
+    """(texts, labels) of at most `rows` labelled rows of at most `most_bytes` in all, none held out, as numpy arrays on the driver.
 
-    The rows are chosen by key before any text is read; their number bounds both what is broadcast and what is collected.
+    The rows are chosen by key before any text is read. A key with several labels counts with the greatest one, a key with
+    several texts with the least, so the sample does not depend on the order of rows.
     """
     source = (labels if labels is not None else docs).select(key, label)
-    chosen = source.filter(F.col(label).isNotNull() & F.col(key).isNotNull() & ~is_remainder(key, parts, held)).dropDuplicates([key])
+    chosen = source.filter(F.col(label).isNotNull() & F.col(key).isNotNull() & ~is_remainder(key, parts, held)).groupBy(key).agg(F.max(label).alias(label))
     chosen = table(bounded_sample(chosen, key, rows), f"sample-{label}")
-    found = docs.select(key, text).filter(F.col(text).isNotNull()).join(F.broadcast(chosen), key).dropDuplicates([key]).toPandas().sort_values(key)
+    found = docs.select(key, text).filter(F.col(text).isNotNull()).join(F.broadcast(chosen), key).groupBy(key, label).agg(F.min(text).alias(text))
+    found = table(found.withColumn("_h", _sample_hash(key)).withColumn("_bytes", F.octet_length(text)), f"sampled-{label}")
+    sizes = found.select("_h", key, "_bytes").toPandas().sort_values(["_h", key])
+    fits = max(1, int((sizes["_bytes"].cumsum() <= most_bytes).sum()))
+    if fits < len(sizes):
+        last = sizes.iloc[fits - 1]
+        found = found.filter((F.col("_h") < int(last["_h"])) | ((F.col("_h") == int(last["_h"])) & (F.col(key) <= F.lit(last[key].item() if hasattr(last[key], "item") else last[key]))))
+    found = found.select(key, text, label).toPandas().sort_values(key)
     return found[text].to_numpy(object), found[label].to_numpy()
 
 

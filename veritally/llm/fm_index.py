@@ -57,31 +57,29 @@ class Index:
         self.sigma = len(alphabet) + 1
         n = len(words) + len(ends)
         self.place = np.arange(len(words)) + np.searchsorted(ends, np.arange(len(words)), "right")
-        text = np.zeros(n, np.int64)
+        text = np.zeros(n, np.int32)
         text[self.place] = ids + 1
+        del ids
         self.text, self.n = text, n
-        rank, size, short = text, 1, None
-        ranks = {1: text}
-        while size < depth:
-            nxt = np.zeros(n, np.int64)
-            nxt[:-size] = rank[size:] + 1
-            rank = np.unique(rank * (int(rank.max()) + 2) + nxt, return_inverse=True)[1]
+        # the rank of the first 2 ** k words; `key`, of the first depth - 1, is put together from them on the way
+        rank, size, key, done = text, 1, np.zeros(n, np.int32), 0
+        while True:
+            if (depth - 1) & size:
+                key = self._ranked(key, rank, done)
+                done += size
+            if size >= depth:
+                break
+            rank = self._ranked(rank, rank, size)
             size *= 2
-            ranks[size] = rank
-        order = np.argsort(rank, kind="stable")
+        order = np.argsort(rank, kind="stable").astype(np.int32)
+        del rank
         # suffixes that agree in their first depth - 1 words lie together: blocks of the order
-        key, done = np.zeros(n, np.int64), 0
-        for size in sorted(ranks, reverse=True):
-            if done + size <= depth - 1:
-                nxt = np.zeros(n, np.int64)
-                nxt[: n - done] = ranks[size][done:] + 1
-                key = np.unique(key * (int(nxt.max()) + 1) + nxt, return_inverse=True)[1] if done else nxt
-                done += size
         key = key[order]
         new = np.ones(n + 1, bool)
         new[1:n] = key[1:] != key[:-1]
-        edges = np.flatnonzero(new)
-        block = np.cumsum(new[:n]) - 1
+        edges = np.flatnonzero(new).astype(np.int32)
+        block = np.cumsum(new[:n], dtype=np.int32) - 1
+        del key
         self.block_start, self.block_end = edges[block], edges[block + 1]
         bwt = text[order - 1]
         self.wavelet = Wavelet(bwt, self.sigma)
@@ -91,6 +89,14 @@ class Index:
         symbols = np.arange(self.sigma)
         self.base = self.wavelet.within(symbols, np.zeros(self.sigma, np.int64), np.zeros(self.sigma, np.int64))[0]
 
+    @staticmethod
+    def _ranked(first: np.ndarray, second: np.ndarray, by: int) -> np.ndarray:
+        """Ranks of the pairs of first[i] and second[i + by]; past the end comes least."""
+        n = len(first)
+        pair = first.astype(np.int64) * (int(second.max(initial=0)) + 2)
+        pair[: max(0, n - by)] += second[by:].astype(np.int64) + 1
+        return np.unique(pair, return_inverse=True)[1].astype(np.int32)
+
     def step(self, symbol, low, high):
         """From the suffixes [low, high) that begin with a pattern to those that begin with symbol + pattern."""
         a, b = self.wavelet.within(symbol, low, high)

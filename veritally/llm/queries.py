@@ -15,6 +15,7 @@ QUERIES = {
     "op10_mixing": mixing.query,
 }
 ORACLE = {
+    "op1_substring_dedup": substring_dedup.SQL,
     "op5_secret_scan": secret_scan.SQL,
     "op7_quality_rules": quality_rules.SQL,
     "op10_mixing": mixing.SQL,

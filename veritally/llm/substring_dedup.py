@@ -6,12 +6,14 @@ included) is a repeat, and every word that a repeat covers is removed. Windows a
 1. Each window has an anchor, the least hash of its runs of `ANCHOR` words, so equal windows have equal anchors. Anchors
    (about one in fourteen words) are counted; only windows whose anchor occurs in two texts, or twice in one, go on.
 2. Consecutive windows with one anchor make a fragment. Fragments are dealt to shards by anchor, so all equal windows meet in
-   one shard. Equal fragments are one from here on, with their number.
-3. Each shard builds an FM-index (BWT in a wavelet matrix) of its distinct fragments and streams all of them through it by
-   backward search; the matching statistics, kept up to the window's length, say which windows occur twice or more.
-4. An anchor with more than `HOT` distinct fragments (a line or passage that very many documents share, in different
-   surroundings) is dealt window by window instead: each window is a fragment of its own, routed by its hash. Windows
-   that are alone end there; the others go through the index like the rest. Up to HOT they fit a shard.
+   one shard. Equal fragments are streamed once, and are in the index twice.
+3. An anchor whose distinct fragments have over `HOT` words (a passage that very many documents share, in different
+   surroundings) is cut anew by a longer anchor: the anchor grows by half of its window's other words, on the side that has
+   more of them, which the window alone decides. Longer anchors that occur once end there; what is still hot grows again
+   (8, 22, 29, 32, 34, 35 words), until the anchor is the window and only equal windows share it.
+4. Each shard, of about `SHARD` words, builds an FM-index (BWT in a wavelet matrix) of its distinct fragments and streams all
+   of them through it by backward search; the matching statistics, kept up to the window's length, say which windows occur
+   twice or more. They alone decide, for hot anchors too.
 
 Exact copies of a text are one text from the start; a text that occurs twice is one repeat if it has a window at all. No
 step brings a hot group together: counts are combined before shuffles, and joins are between written tables, whose hot
@@ -31,13 +33,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, chunks, grams, mix, table
+from .common import Words, chunks, forget, grams, mix, table
 from .fm_index import Index
 
 WINDOW, ANCHOR = 35, 8
-HOT = 4000
-#: Windows of a fragment at most, and distinct fragments of a shard, about.
-LONGEST, SHARD = 128, 8000
+#: Windows of a fragment at most; words of a shard, about, and of the distinct fragments of one anchor in a shard.
+LONGEST, SHARD, HOT = 128, 150_000, 50_000
+#: Times that an anchor grows until it is the window.
+LEVELS = 5
 _SPAN = WINDOW - ANCHOR + 1
 EMPTY = hashlib.sha256(b"").hexdigest()
 
@@ -125,34 +128,61 @@ def fragments(texts: DataFrame, text: str) -> DataFrame:
     return texts.select("text_key", text, "wanted").mapInArrow(run, "route long, text_key binary, start int, windows int, body binary")
 
 
-def by_window(distinct: DataFrame) -> DataFrame:
-    """(route, body, number, source, shift): the windows of distinct fragments, each routed by its hash, and where it is."""
+def _longer(words: Words, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each window (by its first word) the start of its anchor at the level, and the anchor's hash."""
+    g = mix(grams(words.hash, ANCHOR) | np.uint64(1)) | np.uint64(1)
+    n = len(g)
+    window = np.arange(n)
+    least, start = _slide(g, _SPAN, np.minimum), np.arange(n)
+    for k in range(_SPAN - 1, -1, -1):
+        here = np.minimum(window + k, n - 1)
+        start = np.where(g[here] == least, here, start)
+    size = ANCHOR
+    for _ in range(level):
+        by = -(-(WINDOW - size) // 2)
+        left = start - window
+        start = start - np.where(left >= WINDOW - size - left, by, 0)
+        size += by
+    start = np.clip(start, 0, n - 1)
+    return start, (grams(words.hash, size) + np.uint64(size))[start]
+
+
+def recut(pieces: DataFrame, level: int) -> DataFrame:
+    """(route, windows, body, number, source, shift): the pieces cut and routed anew by the anchors of a level."""
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                bodies = [b.split(b" ") for b in part.column("body").to_pylist()]
-                size = np.array([len(b) - WINDOW + 1 for b in bodies], np.int64)
-                row = np.repeat(np.arange(part.num_rows), size)
-                off = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-                windows = [b" ".join(bodies[r][o : o + WINDOW]) for r, o in zip(row, off, strict=True)]
-                route = [int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little", signed=True) for w in windows]
+            for part in chunks(batch, "body", 500_000):
+                words = Words(part.column("body").cast(pa.string()))
+                start, route = _longer(words, level)
+                number = words.text_of()
+                at = np.flatnonzero(words.whole(WINDOW))
+                new = np.ones(len(at), bool)
+                new[1:] = (start[at][1:] != start[at][:-1]) | (number[at][1:] != number[at][:-1])
+                head = at[new]
+                size = np.diff(np.append(np.flatnonzero(new), len(at)))
+                raw = words.data.tobytes()
+                bodies = [raw[i:j] for i, j in zip(words.start[head], words.end[head + size + WINDOW - 2], strict=True)]
+                row = number[head]
                 take = pa.array(row)
-                yield pa.RecordBatch.from_arrays([pa.array(route, pa.int64()), pa.array(windows, pa.binary()), part.column("number").take(take), part.column("fragment").take(take), pa.array(off.astype(np.int32))], ["route", "body", "number", "source", "shift"])
+                shift = part.column("shift").to_numpy()[row] + head - words.first[row]
+                yield pa.RecordBatch.from_arrays([pa.array(route[head].view(np.int64)), pa.array(size.astype(np.int32)), pa.array(bodies, pa.binary()), part.column("number").take(take), part.column("source").take(take), pa.array(shift.astype(np.int32))], ["route", "windows", "body", "number", "source", "shift"])
 
-    return distinct.select("fragment", "body", "number").mapInArrow(run, "route long, body binary, number long, source binary, shift int")
+    return pieces.select("body", "number", "source", "shift").mapInArrow(run, "route long, windows int, body binary, number long, source binary, shift int")
 
 
 def shard_repeats(bodies: pa.Array, number: np.ndarray) -> list[bytes]:
-    """For each distinct fragment of a shard, a byte for each of its windows: 1 if it occurs twice or more."""
-    words = Words(bodies)
-    ends = words.first[1:]
-    index = Index(words.hash, ends, WINDOW)
-    start = index.place[words.first[:-1]]
-    count = index.matches(start, start + words.count)
+    """For each distinct fragment of a shard, a byte for each of its windows: 1 if it occurs twice or more.
+
+    Fragments that come more than once are in the index twice.
+    """
+    n = len(bodies)
+    words = Words(pa.concat_arrays([bodies, bodies.filter(pa.array(number > 1))]))
+    index = Index(words.hash, words.first[1:], WINDOW)
+    start = index.place[words.first[:n]]
+    count = index.matches(start, start + words.count[:n])
     repeat = (count > 1).astype(np.uint8)
-    return [bytes([1]) * (int(n) - WINDOW + 1) if many > 1 else repeat[s : s + n - WINDOW + 1].tobytes() for s, n, many in zip(start, words.count, number, strict=True)]
+    return [repeat[s : s + k - WINDOW + 1].tobytes() for s, k in zip(start, words.count[:n], strict=True)]
 
 
 def repeats(distinct: DataFrame, shards: int) -> DataFrame:
@@ -164,12 +194,47 @@ def repeats(distinct: DataFrame, shards: int) -> DataFrame:
         keep = pa.array([b"\x01" in x for x in found], pa.bool_())
         return pa.table({"fragment": shard.column("fragment").filter(keep), "repeat": pa.array(found, pa.binary()).filter(keep)})
 
-    dealt = distinct.withColumn("shard", F.pmod(F.xxhash64("route"), F.lit(shards)))
+    dealt = distinct.withColumn("shard", F.pmod(F.xxhash64("route"), F.lit(shards))).select("shard", "fragment", "body", "number")
     return dealt.groupBy("shard").applyInArrow(run, "fragment binary, repeat binary")
 
 
+def digest():
+    """Names a fragment by its route and words."""
+    return F.unhex(F.md5(F.concat(F.col("route").cast("string").cast("binary"), F.lit("|").cast("binary"), F.col("body"))))
+
+
+def marked(pieces: DataFrame, level: int = 0) -> DataFrame:
+    """(source, shift, repeat): for the pieces with repeats, where they are in their first fragment and which windows are.
+
+    pieces: (route, windows, body, number, source, shift), where number says how often the source occurs.
+    """
+    pieces = table(pieces.withColumn("fragment", digest()), "sub-pieces")
+    distinct = pieces
+    if level:
+        distinct = table(pieces.groupBy("route", "fragment", "body", "windows").agg(F.sum("number").alias("number")), "sub-distinct")
+    size = F.sum(F.col("windows") + WINDOW - 1)
+    sizes = distinct.groupBy("route").agg(size.alias("n"))
+    hot = table(sizes.filter((F.col("n") > HOT) & F.lit(level < LEVELS)).select("route"), "sub-hot")
+    cold = distinct.join(hot, "route", "left_anti")
+    words = cold.agg(size).first()[0] or 0
+    found = table(repeats(cold, max(1, -(-words // SHARD))), "sub-repeats")
+    if level:
+        marks = table(pieces.select("fragment", "source", "shift").join(found, "fragment").select("source", "shift", "repeat"), "sub-marks")
+        forget(found, distinct)
+    else:
+        marks = found.select(F.col("fragment").alias("source"), F.lit(0).alias("shift"), "repeat")
+    if hot.isEmpty():
+        forget(pieces, hot)
+        return marks
+    again = table(recut(pieces.join(hot, "route"), level + 1), "sub-recut")
+    forget(pieces, hot)
+    # an anchor that occurs once, in a fragment that does, holds no repeat
+    twice = table(again.groupBy("route").agg(F.sum("number").alias("n")).filter(F.col("n") > 1).select("route"), "sub-anchors")
+    return marks.union(marked(again.join(twice, "route"), level + 1))
+
+
 def removed_rows(texts: DataFrame, text: str) -> DataFrame:
-    """(text_key, n_removed, kept_sha256, kept spans) of texts with the column `hits` of (start, repeat or shifts)."""
+    """(text_key, n_removed, kept_sha256, kept spans) of texts with the column `hits` of (start, repeat)."""
 
     def run(batches):
         for batch in batches:
@@ -181,8 +246,7 @@ def removed_rows(texts: DataFrame, text: str) -> DataFrame:
                     n, first = int(words.count[k]), int(words.first[k])
                     edge = np.zeros(n + 1, np.int64)
                     for hit in hits:
-                        shifts = np.array(hit["shifts"], np.int64) if hit["repeat"] is None else np.flatnonzero(np.frombuffer(hit["repeat"], np.uint8))
-                        at = shifts + hit["start"]
+                        at = np.flatnonzero(np.frombuffer(hit["repeat"], np.uint8)) + hit["start"]
                         np.add.at(edge, at, 1)
                         np.add.at(edge, at + WINDOW, -1)
                     keep = np.cumsum(edge)[:n] == 0
@@ -207,6 +271,7 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     names = rows.groupBy("text_key", "name").agg(F.count("*").alias("rows"))
     texts = table(names.groupBy("text_key").agg(F.min("name").alias("name"), F.min_by("rows", "name").alias("rows"), F.sum("rows").alias("copies")), "sub-texts")
     wanted = table(wanted.join(texts, "text_key").select("text_key", "name", "wanted", "rows"), "sub-wanted")
+    forget(often)
     named = docs.select(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("name"), F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")))).alias("text_key"), text)
 
     def candidates(which):
@@ -217,28 +282,19 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     if not wanted.filter("rows > 1").isEmpty():
         some = some.union(candidates("rows > 1").dropDuplicates(["text_key"]))
     some = table(some, "sub-candidates")
-    digest = F.unhex(F.md5(F.concat(F.col("route").cast("string").cast("binary"), F.lit("|").cast("binary"), F.col("body"))))
-    found = table(fragments(some, text).withColumn("fragment", digest), "sub-fragments")
-
-    def distinct(df):
-        return df.groupBy("route", "fragment", "body").agg(F.count("*").alias("number"))
-
-    few = table(distinct(found), "sub-distinct")
-    hot = table(few.groupBy("route").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select("route"), "sub-hot")
-    cold = repeats(few.join(hot, "route", "left_anti"), max(1, -(-few.count() // SHARD)))
-    marks = table(cold.withColumn("shifts", F.lit(None).cast("array<int>")), "sub-repeats")
-    if not hot.isEmpty():
-        single = table(by_window(few.join(hot, "route")).withColumn("fragment", digest), "sub-windows")
-        again = single.groupBy("route", "fragment", "body").agg(F.sum("number").alias("number")).filter(F.col("number") > 1)
-        again = table(again, "sub-distinct")
-        found_again = table(repeats(again, max(1, -(-again.count() // SHARD))).select("fragment"), "sub-repeats")
-        shifts = single.select("fragment", "source", "shift").join(found_again, "fragment").groupBy("source").agg(F.collect_list("shift").alias("shifts"))
-        marks = marks.union(table(shifts.select(F.col("source").alias("fragment"), F.lit(None).cast("binary").alias("repeat"), "shifts"), "sub-shifts"))
-    hits = found.select("fragment", "text_key", "start").join(marks, "fragment").groupBy("text_key").agg(F.collect_list(F.struct("start", "repeat", "shifts")).alias("hits"))
-    cut = removed_rows(some.drop("wanted").join(table(hits, "sub-hits").hint("shuffle_hash"), "text_key"), text)
+    forget(wanted)
+    found = table(fragments(some, text).withColumn("source", digest()), "sub-fragments")
+    first = found.groupBy("route", "source", "body", "windows").agg(F.count("*").alias("number")).withColumn("shift", F.lit(0))
+    marks = marked(first.select("route", "windows", "body", "number", "source", "shift"))
+    hits = found.select("source", "text_key", "start").join(marks, "source")
+    hits = hits.groupBy("text_key").agg(F.collect_list(F.struct((F.col("start") + F.col("shift")).alias("start"), "repeat")).alias("hits"))
+    hits = table(hits, "sub-hits")
+    cut = table(removed_rows(some.drop("wanted").join(hits.hint("shuffle_hash"), "text_key"), text), "sub-removed")
+    forget(found, some, hits)
     # a text that occurs twice is removed whole; of one that occurs once, what the index found
-    result = texts.select("text_key", "copies").join(table(cut, "sub-removed"), "text_key", "left")
+    result = texts.select("text_key", "copies").join(cut, "text_key", "left")
     result = table(result.filter((F.col("copies") > 1) | F.col("kept_sha256").isNotNull()), "sub-result")
+    forget(cut, texts)
     out = rows.select("id", "text_key", "n_words", "sha").join(result, "text_key", "left")
     whole = (F.col("copies") > 1) & (F.col("n_words") >= WINDOW)
     none = F.array().cast("array<struct<start:int,end:int>>")
@@ -254,3 +310,14 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return substring_dedup(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \t-\r]+'), lambda x: x <> '') AS ws FROM documents),
+g AS (SELECT r, i, md5(array_to_string(ws[i:i+34], ' ')) AS h FROM (SELECT r, ws, unnest(range(1, len(ws) - 33)) AS i FROM d WHERE len(ws) >= 35)),
+again AS (SELECT h FROM g GROUP BY h HAVING count(*) > 1),
+cov AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS p FROM g SEMI JOIN again USING (h)),
+w AS (SELECT r, unnest(ws) AS w, generate_subscripts(ws, 1) AS p FROM d),
+kept AS (SELECT r, string_agg(w, ' ' ORDER BY p) AS t, count(*) AS n FROM w ANTI JOIN cov USING (r, p) GROUP BY r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r)
+"""
