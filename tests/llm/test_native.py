@@ -119,27 +119,40 @@ def test_lines_above_the_limit_leave_the_texts_that_stay(spark):
 # ---------------------------------------------------------------- mixing
 
 
-def brute_schedule(shares, parts):
-    """Earliest deadline first, slot by slot."""
-    names, nxt, out = sorted(shares), dict.fromkeys(shares, 0), []
-    for slot in range(parts):
-        ready = [(-(-(nxt[s] + 1) * parts // shares[s]), k, s) for k, s in enumerate(names) if nxt[s] * parts // shares[s] <= slot and -(-(nxt[s] + 1) * parts // shares[s]) <= parts]
-        due, _, s = min(ready)
-        out.append((s, nxt[s], nxt[s] * parts // shares[s], due))
+def brute_schedule(weights, slots):
+    """Earliest deadline first, slot by slot: source, block, release, deadline."""
+    names, total, nxt, out = sorted(weights), sum(weights.values()), dict.fromkeys(weights, 0), []
+    for slot in range(slots):
+        windows = [(-(-(nxt[s] + 1) * total // weights[s]), s, nxt[s] * total // weights[s]) for s in names]
+        due, s, release = min(w for w in windows if w[2] <= slot)
+        out.append((s, nxt[s], release, due))
         nxt[s] += 1
     return out
 
 
-@pytest.mark.parametrize("shares", [{"a": 5, "b": 3, "c": 2}, {"a": 1}, {"x": 97, "y": 1, "z": 2}, {f"s{k:02}": 5 for k in range(20)}])
-def test_template_is_earliest_deadline_first_and_fair(spark, shares):
-    parts = sum(shares.values())
-    plan = mixing.template(spark.createDataFrame([(s, w) for s, w in shares.items()], "_g string, _parts long"), parts).orderBy("_slot").collect()
-    assert [(r._g, r._i, r._release, r._due) for r in plan] == brute_schedule(shares, parts)
-    had = dict.fromkeys(shares, 0)
-    for r in plan:
-        assert r._release <= r._slot < r._due
-        had[r._g] += 1
-        assert all(abs(had[s] - w * (r._slot + 1) / parts) < 1 for s, w in shares.items())
+SHARES = [{"a": 5, "b": 3, "c": 2}, {"a": 1}, {"x": 97, "y": 1, "z": 2}, {f"s{k:02}": 5 for k in range(20)}, {"x": 62345, "y": 31234, "z": 6421}, {f"s{k:02}": 2000 + 37 * k * k for k in range(15)}]
+
+
+@pytest.mark.parametrize("shares", SHARES)
+@pytest.mark.parametrize("stretch", [1, 64, 5000])
+def test_stretches_make_the_schedule_of_earliest_deadline_first(spark, monkeypatch, shares, stretch):
+    monkeypatch.setattr(mixing, "STRETCH", stretch)
+    want = brute_schedule(shares, 1500)
+    blocks = spark.createDataFrame([(s, k) for s, k, *_ in want], "_g string, block long")
+    plan = mixing.schedule(blocks, sorted(shares.items())).filter("slot < 1500").orderBy("slot").collect()
+    assert [(r._g, r.block, r.release, r.deadline) for r in plan] == want and [r.slot for r in plan] == list(range(1500))
+
+
+def test_every_prefix_is_within_a_block_of_the_target(spark):
+    """Over 100,000 slots, against the targets as given and against square-root shares."""
+    sizes = spark.createDataFrame([("sa", 90_000), ("sb", 50_000), ("sc", 7_000)], "_g string, _rows long")
+    for targets, exact in (({"a": 0.62345, "b": 0.31234, "c": 0.06421}, [0.62345, 0.31234, 0.06421]), (None, [x**0.5 / sum(y**0.5 for y in (90_000, 50_000, 7_000)) for x in (90_000, 50_000, 7_000)])):
+        shares = mixing.weights(sizes, targets, 0.5)
+        blocks = spark.range(0, 100_000, 100).selectExpr("'sa' AS _g", f"CAST(id * {exact[0]} AS long) AS block")
+        plan = mixing.schedule(blocks, shares).filter("slot < 100000").select("_g", "slot").toPandas().sort_values("slot")
+        assert plan["slot"].tolist() == list(range(100_000))
+        for g, w in zip(("sa", "sb", "sc"), exact, strict=True):
+            assert ((plan["_g"] == g).cumsum().to_numpy() - w * (plan["slot"].to_numpy() + 1)).__abs__().max() < 1
 
 
 def test_mix_keeps_every_row_and_its_weights(spark):
@@ -148,7 +161,7 @@ def test_mix_keeps_every_row_and_its_weights(spark):
     data = [(k, sentence(rng, 3), "en", h, 1, 0.5, "b", 1, "k", 2, 3) for k, h in enumerate(hosts)]
     df = spark.createDataFrame(data, SCHEMA)
     for size in (7, 5000):
-        out = mixing.mix_sources(df, block_rows=4, parts=100, bucket_rows=size, targets={"big": 0.5, "mid": 0.3, None: 0.1, "small": 0.1})
+        out = mixing.mix_sources(df, block_rows=4, bucket_rows=size, targets={"big": 0.5, "mid": 0.3, None: 0.1, "small": 0.1})
         got = out.collect()
         assert sorted(r.doc_id for r in got) == list(range(1300)) and set(df.columns) <= set(out.columns)
         blocks = Counter((r.source, r.block) for r in got)
@@ -156,20 +169,31 @@ def test_mix_keeps_every_row_and_its_weights(spark):
         slots = {}
         for r in got:
             assert slots.setdefault(r.slot, (r.source, r.block)) == (r.source, r.block) and r.release <= r.slot < r.deadline
-        assert [s for s in range(100) if slots.get(s, (0,))[0] == "small"] == sorted(s for s in range(100) if slots.get(s, (0,))[0] == "small")
         orders = sorted((r.source or "", r.block, r.place, r.doc_id) for r in got)
         first = orders if size == 7 else first
         assert orders == first  # however the rows are cut into ranges
-    parts = {r._g: r._parts for r in mixing.weights(spark.createDataFrame([("sa", 10), ("sb", 30)], "_g string, _rows long"), None, 1.0, 100).collect()}
-    assert parts == {"sa": 26, "sb": 74} or sum(parts.values()) == 100
+    assert mixing.weights(spark.createDataFrame([("sa", 10), ("sb", 30)], "_g string, _rows long"), None, 1.0) == [("sa", 1 << 29), ("sb", 3 << 29)]
+
+
+def test_sources_without_a_target_get_no_slot_and_stay(spark):
+    data = [(k, f"text {k}", h) for k, h in enumerate(["a"] * 40 + ["b"] * 20 + [None] * 5)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string")
+    for targets in ({"a": 2, "nowhere": 5}, {"nowhere": 1}, {}, {"a": 0, "b": -1}):
+        got = mixing.mix_sources(df, targets=targets).collect()
+        assert sorted(r.doc_id for r in got) == list(range(65))
+        assert all((r.slot is not None) == (r.source == "a" and targets.get("a", 0) > 0) and r.block is not None for r in got)
+
+
+def test_mix_of_very_many_sources(spark):
+    df = spark.range(2500).selectExpr("id AS doc_id", "CAST(id AS string) AS text", "concat('h', id % 1200) AS source")
+    got = mixing.mix_sources(df, block_rows=1).select("slot").collect()
+    assert len(got) == len({r.slot for r in got}) == 2500
 
 
 def test_mix_of_odd_tables(spark):
     df = odd(spark)
     out = mixing.mix_sources(df)
     assert out.count() == df.count() and mixing.mix_sources(empty(spark)).count() == 0
-    with pytest.raises(ValueError, match="sources"):
-        mixing.mix_sources(df, parts=1)
 
 
 def test_digest_of_spans(spark):
