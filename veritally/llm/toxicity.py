@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
-from .common import is_remainder, labelled_sample, logistic
+from .common import chunks, is_remainder, labelled_sample, logistic
 
 TOKEN = re.compile(r"\w+")
 #: A token is seen as itself and as its beginnings of these lengths (written with a hyphen), so that inflected and compound forms count.
@@ -134,7 +135,7 @@ def train(texts, labels, prior: float = 0.05, most_tokens: int = 20_000, drift:
     fresh, seen = [], set()
     for text in texts:
         tokens = TOKEN.findall(text.lower())
-        triples = {h for h in map(hash, zip(["", *tokens[:-1]], tokens, [*tokens[1:], ""], strict=True)) if h % 8 == 0}
+        triples = {h for h in (zlib.crc32("\n".join(t).encode()) for t in zip(["", *tokens[:-1]], tokens, [*tokens[1:], ""], strict=True)) if h % 8 == 0}
         fresh.append(len(triples & seen) <= most_known * len(triples))
         seen |= triples
     del seen
@@ -179,10 +180,11 @@ def score_documents(docs: DataFrame, model: Model, text: str = "text", threshold
 
     def run(batches):
         for batch in batches:
-            found = [model.passages(t)[1] for t in batch.column(text).to_pylist()]
-            scores = [model.score(x) for x in found]
-            passages = pa.array([[{"start": a, "end": b, "evidence": e} for a, b, e in x] for x in found], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("evidence", pa.float64())])))
-            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32()), passages], [*(f.name for f in kept), "score", "predicted", "passages"])
+            for part in chunks(batch, text):
+                found = [model.passages(t)[1] for t in part.column(text).to_pylist()]
+                scores = [model.score(x) for x in found]
+                passages = pa.array([[{"start": a, "end": b, "evidence": e} for a, b, e in x] for x in found], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("evidence", pa.float64())])))
+                yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in kept), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32()), passages], [*(f.name for f in kept), "score", "predicted", "passages"])
 
     return docs.mapInArrow(run, schema)
 
