@@ -1,9 +1,15 @@
 """HTML extraction by flat text blocks.
 
 A page is cut at its block-level tags into a flat list of text blocks. Each block has its word count and link density, those
-of the blocks before and after it, and its surroundings (1 in an article or content container, -1 in a menu, header, footer,
-sidebar, notice, advert, form or comment section, 0 elsewhere; the nearest container that says something decides). A
-decision tree trained on the small labelled table below says which blocks are main text; these are joined by line breaks.
+of the blocks before and after it, and a hint of its surroundings: 2 in an article or main element, 1 in a container named
+as content, -1 in one that often wraps whole pages but is no content by name (a form, a page header, a search or banner
+box), -2 in a menu, footer, sidebar, advert, notice, comment section or hidden element, 0 elsewhere. A decision tree
+trained on the small labelled table below says which blocks are main text; these are joined by line breaks.
+
+Names are read from class, id and role, a whole class token at a time: of the parts of a token (`site-footer`) the last one
+that is not of general meaning decides (`comments-list` is of comments, `comments-open` and `search-results-page` say
+nothing), and a token with a part such as `no` or `with` says nothing (`with-sidebar`). An article or main element inside
+surroundings of -1 is main text again.
 
 Malformed pages are read as far as they go: unclosed elements end with an enclosing one, a tag cut off at the end is
 dropped, an unclosed script or style runs to the end.
@@ -24,40 +30,66 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from .common import chunks
+
 _WORDS = lambda s: frozenset(s.split())
 BREAKS = _WORDS("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul")
 SPACES = _WORDS("br wbr img input embed")
 VOID = _WORDS("area base br col embed hr img input link meta param source track wbr")
 #: Elements whose content is never text.
 SILENT = "script|style|noscript|template|svg|math|iframe|object|textarea|select|button|title|audio|video|canvas"
-AWAY = _WORDS("nav footer aside form dialog menu")
+#: Fixed lists: elements and names (of class, id and role) by what they hold.
+AWAY = _WORDS("nav footer aside dialog menu")
 HOME = _WORDS("article main")
 AWAY_NAMES = _WORDS(
-    "ad ads adbox adslot advert adverts advertisement advertising banner breadcrumb breadcrumbs byline comment comments commentlist complementary consent contentinfo cookie cookies copyright dialog discussion disqus dropdown feedback foot footer form gdpr "
-    "header login masthead menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination pingback popup promo promotion related recommended reply replies respond search share sharing side sidebar signup skip skyscraper social sponsor sponsored subscribe subscription tagcloud toolbar topbar tracking widget widgets alert alerts trending popular disclaimer"
+    "ad ads adbox adslot advert adverts advertisement advertising breadcrumb breadcrumbs byline comment comments commentlist complementary consent contentinfo cookie cookies copyright disclaimer discussion disqus feedback foot footer gdpr "
+    "login masthead menu modal nav navbar navigation newsletter notice notices notification alert alerts pager pagination pingback popup popular promo promotion related recommended reply replies respond share sharing side sidebar signup skip skyscraper social sponsor "
+    "sponsored subscribe subscription tagcloud trending tracking widget widgets"
 )
+WRAP_NAMES = _WORDS("banner dialog dropdown form header overlay search toolbar topbar")
 HOME_NAMES = _WORDS("article content entry main maincontent post story articlebody")
+#: Parts of names that say nothing by themselves, and parts that turn a token's meaning.
+GENERAL = _WORDS("area articles bar block body bottom box button buttons col column container cta group holder icon icons inner item items label left link links list news outer panel posts primary right row secondary section slot small stories text title top unit wrap wrapper zone")
+TURNS = _WORDS("has hasnt no non not under with without")
 
 _TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({SILENT})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z/][^>]*\Z", re.S | re.I)
-_NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
+_NAMED = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+_HUMP = re.compile(r"([a-z])([A-Z])")
+_PART = re.compile(r"[^a-z]+")
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 
 
+def _token(token: str) -> int:
+    """What a class token says: -2, -1, 1 or nothing (0)."""
+    parts = [x for x in _PART.split(_HUMP.sub(r"\1-\2", token.split("--")[0]).lower()) if x]
+    if TURNS.intersection(parts):
+        return 0
+    while len(parts) > 1 and (parts[-1] in GENERAL or len(parts[-1]) == 1):
+        parts.pop()
+    last = parts[-1] if parts else ""
+    return -2 if last in AWAY_NAMES else -1 if last in WRAP_NAMES else int(last in HOME_NAMES)
+
+
+def _named(attributes: str) -> int:
+    """What the names of an element say; away goes before content."""
+    said = [_token(t) for m in _NAMED.findall(attributes) for t in "".join(m).split()]
+    return min(said, default=0) if min(said, default=0) < 0 else max(said, default=0)
+
+
 def _surroundings(tag: str, attributes: str, now: int) -> int:
     """Of what is in this element; `now` is what its own surroundings are."""
-    if tag in ("html", "body"):
+    if tag in ("html", "body") or now == -2:
         return now
-    if tag in AWAY or (tag == "header" and now != 1):
-        return -1
-    if attributes:
-        if _HIDDEN.search(attributes):
-            return -1
-        names = {x for m in _NAMED.findall(attributes) for x in re.split(r"[^a-z]+", m.lower())}
-        if names & AWAY_NAMES and not (tag == "header" and now == 1):
-            return -1
-        if tag not in HOME and names & HOME_NAMES and now >= 0:
-            return 1
-    return 1 if tag in HOME and now >= 0 else now
+    if tag in AWAY or (attributes and _HIDDEN.search(attributes)):
+        return -2
+    name = _named(attributes) if attributes else 0
+    if tag in HOME:
+        return -2 if name == -2 else 2
+    if tag == "header" and now >= 1:
+        return now  # of the article
+    if name < 0 or tag in ("header", "form"):
+        return min(name, -1)
+    return max(now, name) if now >= 0 else now
 
 
 def blocks(page: str) -> list[tuple[str, int, float, int]]:
@@ -120,33 +152,59 @@ def blocks(page: str) -> list[tuple[str, int, float, int]]:
 
 
 #: Small labelled table: words, link density, words and link density before, words and link density after, surroundings, main text.
+#: Surroundings are a hint: some blocks of menus and adverts lie in articles, some text lies in what only wraps it.
 LABELLED = np.array(
     [
-        (1, 1.0, 0, 0.0, 1, 1.0, -1, 0), (2, 1.0, 1, 1.0, 2, 1.0, -1, 0), (6, 1.0, 2, 1.0, 4, 1.0, -1, 0), (1, 1.0, 1, 1.0, 14, 0.0, -1, 0),
-        (9, 0.0, 1, 1.0, 12, 0.0, -1, 0), (14, 0.0, 1, 1.0, 60, 0.0, -1, 0), (40, 0.0, 2, 1.0, 80, 0.0, -1, 0), (25, 0.1, 90, 0.0, 0, 0.0, -1, 0),
-        (5, 0.0, 70, 0.0, 0, 0.0, -1, 0), (11, 0.3, 120, 0.0, 3, 1.0, -1, 0), (60, 0.0, 80, 0.0, 30, 0.0, -1, 0), (120, 0.0, 10, 0.0, 50, 0.0, -1, 0),
-        (10, 0.0, 8, 0.0, 70, 0.0, 1, 1), (7, 0.0, 1, 1.0, 40, 0.0, 1, 1), (3, 0.0, 50, 0.0, 90, 0.0, 1, 1), (2, 0.0, 60, 0.0, 9, 0.0, 1, 1),
-        (1, 0.0, 30, 0.0, 5, 0.0, 1, 1), (12, 0.0, 1, 0.0, 3, 0.0, 1, 1), (80, 0.02, 12, 0.0, 45, 0.0, 1, 1), (45, 0.1, 80, 0.0, 2, 0.0, 1, 1),
-        (150, 0.0, 10, 0.0, 6, 0.0, 1, 1), (30, 0.2, 9, 0.0, 60, 0.1, 1, 1), (22, 0.4, 60, 0.0, 70, 0.0, 1, 1), (18, 0.5, 30, 0.0, 25, 0.0, 1, 1),
-        (4, 0.0, 2, 0.0, 6, 0.0, 1, 1), (8, 0.0, 40, 0.0, 14, 0.3, 1, 1), (5, 0.2, 3, 0.0, 4, 0.0, 1, 1), (300, 0.0, 0, 0.0, 0, 0.0, 1, 1),
-        (2, 1.0, 40, 0.0, 2, 1.0, 1, 0), (3, 1.0, 2, 1.0, 4, 1.0, 1, 0), (6, 1.0, 3, 1.0, 0, 0.0, 1, 0), (10, 0.9, 60, 0.0, 8, 1.0, 1, 0),
+        # menus, footers, adverts, notices, comments: named as such
+        (1, 1.0, 0, 0.0, 1, 1.0, -2, 0), (2, 1.0, 1, 1.0, 2, 1.0, -2, 0), (6, 1.0, 2, 1.0, 4, 1.0, -2, 0), (1, 1.0, 1, 1.0, 14, 0.0, -2, 0),
+        (9, 0.0, 1, 1.0, 12, 0.0, -2, 0), (14, 0.0, 1, 1.0, 60, 0.0, -2, 0), (40, 0.0, 2, 1.0, 80, 0.0, -2, 0), (25, 0.1, 90, 0.0, 0, 0.0, -2, 0),
+        (5, 0.0, 70, 0.0, 0, 0.0, -2, 0), (11, 0.3, 120, 0.0, 3, 1.0, -2, 0), (60, 0.0, 80, 0.0, 30, 0.0, -2, 0), (120, 0.0, 10, 0.0, 50, 0.0, -2, 0),
+        (2, 0.0, 30, 0.0, 60, 0.0, -2, 0), (15, 0.0, 60, 0.0, 15, 0.0, -2, 0), (80, 0.0, 90, 0.0, 70, 0.0, -2, 0), (35, 0.2, 5, 0.0, 35, 0.2, -2, 0),
+        (4, 0.0, 12, 0.0, 3, 0.0, -2, 0), (1, 0.0, 200, 0.0, 20, 0.0, -2, 0), (50, 0.1, 1, 1.0, 50, 0.1, -2, 0), (18, 0.0, 18, 0.0, 110, 0.0, -2, 0),
+        (7, 0.5, 25, 0.0, 33, 0.0, -2, 0), (110, 0.0, 3, 0.0, 8, 0.0, -2, 0), (28, 0.0, 44, 0.1, 0, 0.0, -2, 0), (65, 0.3, 28, 0.0, 65, 0.0, -2, 0),
+        # forms, page headers and the like: slogans and labels, but also the text of pages that they wrap
+        (3, 0.0, 1, 1.0, 2, 1.0, -1, 0), (8, 0.0, 2, 1.0, 1, 1.0, -1, 0), (5, 0.2, 0, 0.0, 1, 1.0, -1, 0), (2, 1.0, 5, 0.2, 2, 1.0, -1, 0),
+        (1, 0.0, 1, 0.0, 1, 0.0, -1, 0), (2, 0.0, 4, 0.0, 6, 0.0, -1, 0), (12, 0.0, 3, 0.0, 2, 1.0, -1, 0), (14, 0.1, 0, 0.0, 3, 0.9, -1, 0),
+        (7, 0.0, 10, 0.0, 30, 0.0, -1, 0), (20, 0.0, 2, 0.0, 1, 1.0, -1, 0), (4, 0.0, 2, 0.0, 45, 0.0, -1, 0), (18, 0.0, 1, 1.0, 70, 0.0, -1, 0),
+        (30, 0.0, 10, 0.0, 3, 0.0, -1, 0), (45, 0.0, 4, 0.0, 20, 0.0, -1, 0), (26, 0.1, 2, 0.0, 1, 0.0, -1, 0), (38, 0.0, 0, 0.0, 60, 0.0, -1, 0),
+        (24, 0.0, 50, 0.0, 2, 0.0, -1, 0), (33, 0.1, 70, 0.0, 40, 0.0, -1, 0), (48, 0.0, 12, 0.0, 5, 0.0, -1, 0), (22, 0.0, 6, 0.0, 30, 0.0, -1, 0),
+        (75, 0.0, 60, 0.0, 80, 0.0, -1, 1), (60, 0.1, 90, 0.0, 40, 0.1, -1, 1), (120, 0.0, 9, 0.0, 55, 0.0, -1, 1), (90, 0.05, 70, 0.1, 12, 0.2, -1, 1),
+        # articles and main elements, and containers named as content
+        (10, 0.0, 8, 0.0, 70, 0.0, 2, 1), (7, 0.0, 1, 1.0, 40, 0.0, 2, 1), (3, 0.0, 50, 0.0, 90, 0.0, 2, 1), (2, 0.0, 60, 0.0, 9, 0.0, 1, 1),
+        (1, 0.0, 30, 0.0, 5, 0.0, 2, 1), (12, 0.0, 1, 0.0, 3, 0.0, 1, 1), (80, 0.02, 12, 0.0, 45, 0.0, 2, 1), (45, 0.1, 80, 0.0, 2, 0.0, 1, 1),
+        (150, 0.0, 10, 0.0, 6, 0.0, 1, 1), (30, 0.2, 9, 0.0, 60, 0.1, 2, 1), (22, 0.4, 60, 0.0, 70, 0.0, 2, 1), (18, 0.5, 30, 0.0, 25, 0.0, 1, 1),
+        (4, 0.0, 2, 0.0, 6, 0.0, 2, 1), (8, 0.0, 40, 0.0, 14, 0.3, 1, 1), (5, 0.2, 3, 0.0, 4, 0.0, 2, 1), (300, 0.0, 0, 0.0, 0, 0.0, 2, 1),
+        (2, 0.0, 3, 1.0, 2, 1.0, 2, 1), (20, 0.0, 1, 1.0, 4, 1.0, 2, 1), (1, 0.0, 12, 0.0, 1, 1.0, 2, 1), (55, 0.0, 6, 1.0, 9, 0.9, 1, 1),
+        (70, 0.3, 2, 0.8, 11, 0.6, 1, 1), (5, 0.3, 20, 0.5, 1, 0.9, 2, 1), (1, 0.0, 1, 0.0, 1, 0.0, 2, 1), (9, 0.5, 3, 0.7, 15, 0.8, 2, 1),
+        (200, 0.0, 40, 0.4, 150, 0.2, 1, 1), (33, 0.0, 100, 0.0, 7, 0.5, 1, 1), (13, 0.1, 7, 0.3, 21, 1.0, 2, 1), (3, 0.0, 16, 0.0, 26, 0.7, 2, 1),
+        # a block that is one link is text beside text, and a menu beside other links
+        (3, 1.0, 40, 0.0, 55, 0.0, 2, 1), (4, 1.0, 25, 0.1, 30, 0.0, 2, 1), (2, 0.9, 60, 0.0, 12, 0.1, 1, 1), (6, 1.0, 18, 0.0, 80, 0.0, 2, 1),
+        (9, 0.8, 33, 0.2, 41, 0.0, 1, 1), (5, 1.0, 70, 0.0, 20, 0.2, 1, 1), (1, 1.0, 15, 0.0, 35, 0.0, 2, 1), (12, 0.7, 22, 0.0, 16, 0.1, 2, 1),
+        (2, 1.0, 40, 0.0, 2, 1.0, 2, 0), (3, 1.0, 2, 1.0, 4, 1.0, 2, 0), (6, 1.0, 3, 1.0, 0, 0.0, 1, 0), (10, 0.9, 60, 0.0, 8, 1.0, 2, 0),
+        (4, 1.0, 5, 0.9, 50, 0.0, 2, 0), (2, 0.9, 3, 1.0, 30, 0.1, 1, 0), (7, 1.0, 30, 0.0, 6, 1.0, 1, 0), (5, 0.8, 4, 1.0, 3, 0.8, 2, 0),
+        (2, 1.0, 25, 1.0, 30, 1.0, 2, 0), (4, 1.0, 18, 0.9, 50, 0.0, 1, 0), (6, 0.8, 40, 1.0, 22, 0.0, 2, 0), (3, 1.0, 16, 0.9, 12, 1.0, 1, 0),
+        (3, 1.0, 6, 0.0, 9, 0.0, 2, 1), (2, 1.0, 8, 0.0, 5, 0.1, 1, 1), (5, 0.9, 11, 0.1, 7, 0.0, 2, 1), (4, 1.0, 3, 0.0, 14, 0.0, 2, 1),
+        # no surroundings to go by: links, and short blocks among links
         (1, 1.0, 1, 1.0, 1, 1.0, 0, 0), (2, 1.0, 2, 1.0, 3, 1.0, 0, 0), (5, 0.8, 4, 1.0, 6, 0.9, 0, 0), (12, 0.7, 3, 1.0, 2, 1.0, 0, 0),
-        (3, 0.0, 2, 1.0, 2, 1.0, 0, 0), (6, 0.0, 1, 1.0, 4, 0.5, 0, 0), (4, 0.0, 0, 0.0, 1, 1.0, 0, 0), (8, 0.0, 5, 0.0, 3, 1.0, 0, 0),
-        (6, 0.1, 4, 0.6, 0, 0.0, 0, 0), (9, 0.5, 8, 0.0, 2, 1.0, 0, 0), (20, 0.8, 5, 1.0, 12, 0.9, 0, 0), (30, 0.6, 10, 1.0, 8, 1.0, 0, 0),
+        (3, 0.0, 2, 1.0, 2, 1.0, 0, 0), (6, 0.0, 1, 1.0, 4, 0.8, 0, 0), (4, 0.0, 0, 0.0, 1, 1.0, 0, 0), (8, 0.0, 5, 0.0, 3, 1.0, 0, 0),
+        (6, 0.1, 4, 0.9, 0, 0.0, 0, 0), (9, 0.5, 8, 0.0, 2, 1.0, 0, 0), (20, 0.8, 5, 1.0, 12, 0.9, 0, 0), (30, 0.6, 10, 1.0, 8, 1.0, 0, 0),
+        (7, 0.0, 3, 1.0, 5, 1.0, 0, 0), (2, 0.0, 6, 1.0, 7, 0.9, 0, 0), (10, 0.6, 5, 0.9, 4, 1.0, 0, 0), (5, 0.0, 8, 0.9, 3, 0.9, 0, 0),
+        (6, 0.0, 20, 1.0, 15, 0.9, 0, 0), (3, 0.0, 14, 0.9, 18, 1.0, 0, 0), (7, 0.1, 30, 1.0, 12, 1.0, 0, 0), (9, 0.3, 16, 1.0, 25, 0.9, 0, 0),
+        (3, 0.75, 40, 0.0, 0, 0.0, 0, 0), (5, 0.67, 12, 0.0, 0, 0.0, 0, 0), (4, 0.75, 30, 0.0, 2, 1.0, 0, 0), (7, 0.7, 4, 0.0, 0, 0.0, 0, 0),
+        (2, 1.0, 0, 0.0, 40, 0.0, 0, 0), (4, 1.0, 0, 0.0, 60, 0.1, 0, 0), (3, 0.9, 40, 0.0, 0, 0.0, 0, 0), (1, 1.0, 50, 0.0, 0, 0.0, 0, 0),
+        (6, 1.0, 35, 0.0, 50, 0.0, 0, 0), (3, 1.0, 42, 0.0, 38, 0.0, 0, 0), (8, 0.9, 12, 0.1, 90, 0.0, 0, 0), (2, 0.8, 22, 0.0, 18, 0.0, 0, 0),
+        # text, also short text among text, and paragraphs between menus
         (25, 0.0, 6, 0.0, 40, 0.0, 0, 1), (60, 0.05, 20, 0.0, 30, 0.0, 0, 1), (35, 0.1, 3, 1.0, 50, 0.0, 0, 1), (90, 0.0, 0, 0.0, 0, 0.0, 0, 1),
         (18, 0.0, 40, 0.0, 22, 0.0, 0, 1), (8, 0.0, 40, 0.0, 45, 0.0, 0, 1), (6, 0.0, 25, 0.0, 60, 0.0, 0, 1), (3, 0.0, 50, 0.0, 35, 0.0, 0, 1),
         (7, 0.0, 2, 1.0, 70, 0.0, 0, 1), (40, 0.2, 60, 0.0, 3, 1.0, 0, 1), (120, 0.3, 4, 1.0, 5, 1.0, 0, 1), (16, 0.1, 30, 0.0, 4, 0.0, 0, 1),
-        (2, 0.0, 3, 1.0, 2, 1.0, 1, 1), (20, 0.0, 1, 1.0, 4, 1.0, 1, 1), (1, 0.0, 12, 0.0, 1, 1.0, 1, 1), (55, 0.0, 6, 1.0, 9, 0.9, 1, 1),
-        (70, 0.3, 2, 0.8, 11, 0.6, 1, 1), (5, 0.3, 20, 0.5, 1, 0.9, 1, 1), (1, 0.0, 1, 0.0, 1, 0.0, 1, 1), (9, 0.5, 3, 0.7, 15, 0.8, 1, 1),
-        (200, 0.0, 40, 0.4, 150, 0.2, 1, 1), (33, 0.0, 100, 0.0, 7, 0.5, 1, 1), (13, 0.1, 7, 0.3, 21, 1.0, 1, 1), (3, 0.0, 16, 0.0, 26, 0.7, 1, 1),
-        (2, 0.0, 30, 0.0, 60, 0.0, -1, 0), (15, 0.0, 60, 0.0, 15, 0.0, -1, 0), (80, 0.0, 90, 0.0, 70, 0.0, -1, 0), (35, 0.2, 5, 0.0, 35, 0.2, -1, 0),
-        (4, 0.0, 12, 0.0, 3, 0.0, -1, 0), (1, 0.0, 200, 0.0, 20, 0.0, -1, 0), (50, 0.1, 1, 1.0, 50, 0.1, -1, 0), (18, 0.0, 18, 0.0, 110, 0.0, -1, 0),
-        (7, 0.5, 25, 0.0, 33, 0.0, -1, 0), (110, 0.0, 3, 0.0, 8, 0.0, -1, 0), (28, 0.0, 44, 0.1, 0, 0.0, -1, 0), (65, 0.3, 28, 0.0, 65, 0.0, -1, 0),
+        (30, 0.0, 4, 1.0, 3, 1.0, 0, 1), (22, 0.1, 2, 1.0, 6, 0.9, 0, 1), (3, 0.0, 6, 0.0, 8, 0.0, 0, 1), (2, 0.0, 5, 0.0, 4, 0.0, 0, 1),
+        (5, 0.0, 3, 0.0, 7, 0.1, 0, 1), (4, 0.0, 9, 0.0, 2, 0.0, 0, 1), (14, 0.4, 30, 0.0, 28, 0.0, 0, 1), (11, 0.5, 45, 0.1, 20, 0.0, 0, 1),
+        (6, 0.6, 35, 0.0, 50, 0.0, 0, 1), (26, 0.0, 45, 0.0, 2, 1.0, 0, 1), (9, 0.2, 12, 0.0, 31, 0.1, 0, 1),
     ]
 )
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 6, least: int = 2):
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 8, least: int = 2):
     """A decision tree by Gini impurity: a share of label 1, or (feature, threshold, below or equal, above)."""
     share = float(y.mean())
     if depth == 0 or share in (0.0, 1.0):
@@ -200,8 +258,9 @@ def extract(pages: DataFrame, source: str = "html", out: str = "text", keep_sour
 
     def run(batches):
         for batch in batches:
-            texts = [main_text(x) for x in batch.column(source).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], [*(f.name for f in kept), out, "n_chars"])
+            for part in chunks(batch, source):
+                texts = [main_text(x) for x in part.column(source).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in kept), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], [*(f.name for f in kept), out, "n_chars"])
 
     return pages.mapInArrow(run, schema)
 
