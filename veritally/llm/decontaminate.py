@@ -1,31 +1,37 @@
-"""Benchmark decontamination by whole pieces and exact edit distance.
+"""Benchmark decontamination by CGK embedding, bit-sampling LSH and exact edit distance.
 
 A document leaks an item if some run of its words is within `EDITS` * n word edits of the item's n words (words are runs of
-letters and digits in lower case). Such runs are searched in three steps, none of which loses one:
+letters, marks and digits of any script, in lower case). Windows of the items' sizes are searched for near items:
 
-1. An item with at most k edits keeps one of k + 1 pieces whole, so only the parts of a text about an exact copy of some
-   piece's first words are looked at; parts of a text for one item that overlap are one part.
-2. A run within k edits has all but k of the item's words, so a part with fewer of them is left.
-3. What stays is verified exactly, by the least edit distance of the item to any run of words of the part.
+1. Exact bounds leave what cannot be near, and lose nothing: an item with at most k edits keeps one of k + 1 pieces whole, so
+   only the parts of a text about an exact copy of some piece are looked at (parts for one item that overlap are one part),
+   and a part has to have all but k of the item's words.
+2. The CGK random walk turns edit into Hamming distance: at each step a random function of step and word says whether to
+   move on to the next word. Each of `repeats(n)` independent walks over the part's windows of the item's size is sampled
+   at one or two steps; a part with a window that agrees with the item in a walk's sample is a candidate.
+3. A candidate is verified exactly, by the least edit distance of the item to any run of words of the part.
 
-An LSH (sampled CGK embeddings) between 1 and 3 lost up to half of the leaks of long items with many deletions, so there is none.
+Step 2 is the only one that can lose a leak. Walks and samples are chosen for a recall of 0.999 at the limit, whatever the
+edits are; deletions, which put the walks out of step for longest, are the worst (README has the recall measured by length).
 
 The items of a block (at most `BLOCK` of them; more items are taken block by block) go to every task; documents are read once a
 block, row by row, without a shuffle, so hot groups do not meet.
 
-Defined results: null texts and items, and those without a word, leak nothing; rows that repeat an item's key give one leak;
-repeated documents each have theirs; other columns are carried along. Texts are read whole.
+Defined results: null texts and items, and those without a word, leak nothing; rows that repeat an item's key give one leak
+(of the nearest text); among runs at one distance the first start, then the first end is given; repeated documents each have theirs; other
+columns are carried along. Texts are read whole, however long.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from .common import Words, chunks, grams
+from .common import Words, chunks, grams, mix
 from .language_id import lower
 
 EDITS = 0.2
@@ -36,6 +42,12 @@ _APART[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = Fa
 
 
 def split(column: pa.Array) -> Words:
+    """The words of each text; only texts beyond ASCII need what is slower."""
+    column = column.cast(pa.large_string())
+    beyond = pc.invert(pc.fill_null(pc.string_is_ascii(column), True))
+    if pc.any(beyond).as_py():
+        plain = pc.replace_substring_regex(pc.utf8_lower(column.filter(beyond)), r"[^\pL\pM\pN]+", " ")
+        column = pc.replace_with_mask(column, beyond, plain)
     return Words(column, _APART, lower)
 
 
@@ -60,6 +72,40 @@ def least_edits(item: np.ndarray, run: np.ndarray) -> tuple[int, int, int]:
     return int(row[end]), end - int(back.argmin()), end
 
 
+def repeats(n: int) -> tuple[int, int]:
+    """Walks, and steps sampled of each, for items of n words: a recall of 0.999 at the limit of edits."""
+    if n <= 80:
+        return 32 * max(1, -(-n // 20)), 2
+    return 64 if n <= 320 else 128, 1
+
+
+#: Walks at a time: most leaks are found by the first ones.
+_TOGETHER = 16
+
+
+def cgk_samples(words: np.ndarray, first: int) -> np.ndarray:
+    """(windows, _TOGETHER) keys of windows of n words (windows, n; 0 where there is no word): what the walks from `first` on see
+    at their sampled steps; 0 where a walk is over or sees no word."""
+    count, n = words.shape
+    walks, sampled = _TOGETHER, repeats(n)[1]
+    steps = 2 * n
+    chosen = np.argsort(np.random.default_rng((n, first)).random((walks, steps)), axis=1)[:, :sampled]
+    padded = np.hstack([words, np.zeros((count, 1), np.uint64)])
+    at = np.zeros((count, walks), np.int64)
+    keys, seen = np.zeros((count, walks), np.uint64), np.ones((count, walks), bool)
+    salt = mix(np.arange(first, first + walks, dtype=np.uint64) + np.uint64(n << 20))
+    rows = np.arange(count)[:, None]
+    for step in range(int(chosen.max()) + 1):
+        now = padded[rows, at]
+        hit = (chosen == step).any(1)
+        if hit.any():
+            keys[:, hit] = mix(keys[:, hit] + now[:, hit] + np.uint64(step + 1))
+            seen[:, hit] &= now[:, hit] != 0
+        on = (mix(now ^ (salt + np.uint64(step * 0x9E3779B97F4A7C15 % (1 << 64)))) >> np.uint64(40)) & np.uint64(1)
+        at = np.minimum(at + on.astype(np.int64), n)
+    return np.where(seen, mix(keys ^ salt) | np.uint64(1), np.uint64(0))
+
+
 class Items:
     """The items of a block: words and seeds (first words of every piece)."""
 
@@ -81,10 +127,27 @@ class Items:
             hashes = grams(w, size)
             for s in starts:
                 seeds.setdefault(size, []).append((int(hashes[s]), item, s))
+        self.samples: dict[int, list[np.ndarray]] = {}
         self.seeds = {}
         for size, found in seeds.items():
             found.sort()
             self.seeds[size] = tuple(np.array(x, t) for x, t in zip(zip(*found, strict=True), (np.uint64, np.int64, np.int64), strict=True))
+
+    def near(self, item: int, part: np.ndarray) -> bool:
+        """Whether some window of the part (which may hang over its ends) shares a sample of a walk with the item."""
+        w, k = self.words[item], int(self.limits[item])
+        n = len(w)
+        walks = range(0, repeats(n)[0], _TOGETHER)
+        if item not in self.samples:
+            self.samples[item] = [cgk_samples(w[None, :], first) for first in walks]
+        body = np.concatenate([np.zeros(k, np.uint64), part, np.zeros(n, np.uint64)])
+        windows = np.lib.stride_tricks.sliding_window_view(body, n)[: k + len(part)]
+        for first, own in zip(walks, self.samples[item], strict=True):
+            for at in range(0, len(windows), 1024):
+                if ((cgk_samples(windows[at : at + 1024], first) == own) & (own != 0)).any():
+                    return True
+        return False
+
     def parts(self, words: Words) -> np.ndarray:
         """Rows of text number, item, start and end (in words) of the parts of texts about a seed of the item."""
         found = [np.zeros((0, 3), np.int64)]
@@ -118,7 +181,7 @@ class Items:
         for text, item, a, b in self.parts(words).tolist():
             w, k, name = self.words[item], int(self.limits[item]), self.names[item]
             part = words.hash[words.first[text] + a : words.first[text] + b]
-            if np.isin(w, part).sum() < len(w) - k:
+            if np.isin(w, part).sum() < len(w) - k or not self.near(item, part):
                 continue
             d, start, end = least_edits(w, part)
             best = found.get(text, {}).get(name)
