@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 import json
+from concurrent.futures import ThreadPoolExecutor, wait
 from copy import deepcopy
 from dataclasses import dataclass, field
 from pathlib import Path
@@ -16,19 +17,33 @@ except ImportError:  # configuration files are JSON then
 KINDS = ("datasets", "models", "peers", "tasks", "groups")
 
 
-def merged(base: dict, over: dict) -> dict:
-    """`over` on `base`, dictionaries key by key."""
-    out = deepcopy(base)
-    for k, v in over.items():
-        out[k] = merged(out[k], v) if isinstance(v, dict) and isinstance(out.get(k), dict) else deepcopy(v)
+def leaves(config: dict, path: tuple = ()) -> dict[tuple, object]:
+    """The settings of a nested configuration by their paths; an empty mapping is a setting."""
+    found = {}
+    for key, value in config.items():
+        found |= leaves(value, (*path, key)) if isinstance(value, dict) and value else {(*path, key): value}
+    return found
+
+
+def nested(settings: dict[tuple, object]) -> dict:
+    """The configuration with these settings; a path through another setting is an error."""
+    out: dict = {}
+    for path, value in settings.items():
+        place = out
+        for depth, key in enumerate(path[:-1]):
+            place = place.setdefault(key, {})
+            if not isinstance(place, dict):
+                raise ValueError(f"{'.'.join(path)}: {'.'.join(path[: depth + 1])} is a setting, not a group of settings")
+        place[path[-1]] = deepcopy(value)
     return out
 
 
-def put(config: dict, dotted: str, value) -> None:
-    *path, last = dotted.split(".")
-    for key in path:
-        config = config.setdefault(key, {})
-    config[last] = value
+def over(base: dict, top: dict) -> dict:
+    """The settings of both; those of `top` replace what `base` has at, above or below their paths."""
+    new = leaves(top)
+    heads = {p[:n] for p in new for n in range(1, len(p) + 1)}
+    kept = {p: v for p, v in leaves(base).items() if p not in heads and not any(p[:n] in new for n in range(1, len(p)))}
+    return nested(kept | new)
 
 
 def read_file(path: Path) -> dict:
@@ -40,17 +55,28 @@ def read_file(path: Path) -> dict:
     return yaml.safe_load(text) or {}
 
 
-def load_config(path: str | Path, overrides: dict | None = None, _seen: tuple = ()) -> dict:
-    """A configuration over its `base` (a path beside it), with dotted overrides on top."""
-    path = Path(path).resolve()
-    if path in _seen:
-        raise ValueError(f"{path} is its own base")
-    config = read_file(path)
-    if base := config.pop("base", None):
-        config = merged(load_config(path.parent / base, None, (*_seen, path)), config)
-    for key, value in (overrides or {}).items():
-        put(config, key, value)
-    return config
+def load_config(path: str | Path, overrides: dict | None = None) -> dict:
+    """A configuration over its `base` (a path beside it), with dotted overrides on top.
+
+    An override whose path goes through a setting that is no group of settings is an error.
+    """
+    chain: dict[Path, dict] = {}
+    here: Path | None = Path(path).resolve()
+    while here is not None:
+        if here in chain:
+            raise ValueError(f"{here} is its own base")
+        chain[here] = read_file(here)
+        below = chain[here].pop("base", None)
+        here = (here.parent / below).resolve() if below else None
+    config: dict = {}
+    for part in reversed(chain.values()):
+        config = over(config, part)
+    asked = {tuple(k.split(".")): v for k, v in (overrides or {}).items()}
+    for p in asked:
+        for n in range(1, len(p)):
+            if p[:n] in leaves(config) and leaves(config)[p[:n]] != {}:
+                raise ValueError(f"{'.'.join(p)}: {'.'.join(p[:n])} is a setting, not a group of settings")
+    return over(config, nested(asked))
 
 
 class Registry:
@@ -72,7 +98,7 @@ class Registry:
             raise ValueError(f"{name} includes itself")
         own = dict(files[name])
         include = own.pop("include", None)
-        whole = merged(cls._filled(include, files, (*seen, name)), own) if include else own
+        whole = over(cls._filled(include, files, (*seen, name)), own) if include else own
         if seen:
             return whole
         fill = lambda v: v.replace("{name}", name) if isinstance(v, str) else {k: fill(x) for k, x in v.items()} if isinstance(v, dict) else [fill(x) for x in v] if isinstance(v, list) else v
@@ -141,22 +167,30 @@ def waves(jobs: list[Job]) -> list[list[Job]]:
     return [[j for j in jobs if level[j.name] == k] for k in range(1 + max(level.values(), default=-1))]
 
 
-def execute(jobs: list[Job], retries: int = 1) -> dict[str, str]:
-    """Run what is not done, wave by wave, each job once more if it fails."""
-    result = {}
-    for wave in waves(jobs):
-        for job in wave:
-            if job.done is not None and job.done():
-                result[job.name] = "kept"
-                continue
-            for attempt in range(retries + 1):
-                try:
-                    job.run()
-                    result[job.name] = "ran"
-                    break
-                except Exception:
-                    if attempt == retries:
-                        raise
+def execute(jobs: list[Job], retries: int = 1, together: int = 4) -> dict[str, str]:
+    """Run what is not done, wave by wave, up to `together` jobs of a wave at a time, each once more if it fails.
+
+    A job that is done is kept. The jobs of a wave that run are let end if one of them fails; later waves do not start.
+    """
+
+    def one(job: Job) -> str:
+        if job.done is not None and job.done():
+            return "kept"
+        for attempt in range(retries + 1):
+            try:
+                job.run()
+                return "ran"
+            except Exception:
+                if attempt == retries:
+                    raise
+        return "ran"
+
+    result: dict[str, str] = {}
+    with ThreadPoolExecutor(max_workers=together) as pool:
+        for wave in waves(jobs):
+            started = {job.name: pool.submit(one, job) for job in wave}
+            wait(started.values())
+            result |= {name: f.result() for name, f in started.items()}
     return result
 
 
