@@ -160,14 +160,43 @@ def spans(text: Column, rule: Rule) -> Column:
     lengths = F.transform(whole, lambda m: F.length(m))
     kept = F.transform(F.regexp_extract_all(text, regex, F.lit(rule.group)), lambda g: F.length(g) >= rule.least) if rule.group else F.transform(whole, lambda m: F.lit(True))
     parts = F.arrays_zip(F.transform(pieces, lambda p: F.length(p)).alias("gap"), lengths.alias("size"), kept.alias("kept"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,kept:boolean>>").alias("out"))
 
     def add(state, x):
         begin = state["at"] + x["gap"]
         end = begin + F.coalesce(x["size"], F.lit(0))
         return F.struct(end.alias("at"), F.concat(state["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), F.coalesce(x["kept"], F.lit(False)).alias("kept")))).alias("out"))
 
-    return F.filter(F.aggregate(parts, start, add, lambda s: s["out"]), lambda x: x["kept"])
+    return F.filter(_running(parts, "struct<start:int,end:int,kept:boolean>", lambda part, at: (part, add)), lambda x: x["kept"])
+
+
+#: Elements that are added to a list one by one, before the list is put after the earlier ones.
+RUN = 128
+
+
+def _bound(value: Column, use) -> Column:
+    """use(value), with value computed once: what a lambda reads from outside is computed at every call."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _running(found: Column, kind: str, start) -> Column:
+    """All outputs of a fold whose state has `at` and a list `out` of `kind`, over a long array.
+
+    The fold is made in runs, so the lists that grow are short, and the time is nearly linear. `start` takes a run and the `at`
+    before it and gives the array to fold and the step.
+    """
+    none = F.array().cast(f"array<{kind}>")
+
+    def whole(every):
+        def run(state, p):
+            rows, step = start(F.slice(every, p * RUN + 1, F.lit(RUN)), state["at"])
+            done = F.aggregate(rows, F.struct(state["at"].alias("at"), none.alias("out")), step)
+            return _bound(done, lambda d: F.struct(d["at"].alias("at"), F.concat(state["out"], F.array(d["out"])).alias("out")))
+
+        runs = F.sequence(F.lit(0), F.floor((F.size(every) - 1) / RUN).cast("int"))
+        first = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<{kind}>>").alias("out"))
+        return F.when(F.size(every) > 0, F.flatten(F.aggregate(runs, first, run, lambda s: s["out"]))).otherwise(none)
+
+    return _bound(found, whole)
 
 
 def _of_kind(found: str, k: int) -> Column:
@@ -199,15 +228,29 @@ def written(found: Column, rules: tuple[Rule, ...] = RULES) -> Column:
 
 
 def redacted(text: Column, found: Column) -> Column:
-    """The text with every span, overlapping ones joined, replaced by [secret]."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    """The text with every span, overlapping ones joined, replaced by [secret].
 
-    def add(state, x):
-        gap = F.substring(text, state["at"] + 1, F.greatest(x["start"] - state["at"], F.lit(0)))
-        return F.struct(F.greatest(state["at"], x["end"]).alias("at"), F.concat(state["out"], gap, F.when(x["start"] >= state["at"], F.lit("[secret]")).otherwise(F.lit(""))).alias("out"))
+    `found` is in the order of starts. Each run of spans reads its part of the text once.
+    """
+
+    def start(run, at):
+        end = F.greatest(at, F.array_max(F.transform(run, lambda x: x["end"])))
+        # the run's part of the text goes along with its spans
+        part = F.struct(at.alias("from"), F.substring(text, at + 1, end - at).alias("text"))
+        rows = _bound(part, lambda t: F.transform(run, lambda x: F.struct(t["from"].alias("from"), t["text"].alias("text"), x["start"].alias("start"), x["end"].alias("end"))))
+
+        def add(state, x):
+            gap = F.substring(x["text"], state["at"] - x["from"] + 1, F.greatest(x["start"] - state["at"], F.lit(0)))
+            piece = F.concat(gap, F.when(x["start"] >= state["at"], F.lit("[secret]")).otherwise(F.lit("")))
+            return F.struct(F.greatest(state["at"], x["end"]).alias("at"), F.concat(state["out"], F.array(piece)).alias("out"))
+
+        return rows, add
+
+    def whole(spans):
+        last = F.array_max(F.transform(spans, lambda x: x["end"]))
+        return F.when(F.size(spans) > 0, F.concat(F.array_join(_running(spans, "string", start), ""), F.substring(text, last + 1, F.length(text)))).otherwise(text)
 
-    done = F.aggregate(found, start, add, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
-    return F.when(F.size(found) > 0, done).otherwise(text)
+    return _bound(found, whole)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
