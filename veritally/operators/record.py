@@ -9,12 +9,12 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.maths import places
 from .prefix import earlier_sums
+from .walks import walk
 
 
 class Posterior:
@@ -111,22 +111,96 @@ def fold(events: DataFrame, key: str, pos: str = "seq", address: str = "address"
     read but not written. A fold is sequential by its definition; keys (streams, models, seeds) run in parallel.
     """
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(pos)
-        x = np.array([np.append(a, 1.0) for a in rows[address]], float)
-        y = np.array(rows[labels].tolist(), float)
-        make = (lambda: Posterior(x.shape[1], y.shape[1], precision, keep)) if rule == "posterior" else (lambda: DeltaRule(x.shape[1], y.shape[1], step, keep))
-        state, out = make(), []
-        for k in range(len(rows)):
-            mean, variance = state.read(x[k])
-            out.append((mean[0].tolist(), float(variance[0]), probability(mean[0], variance[0]).tolist(), max(0.0, (x[k] @ x[k]) / precision / max(float(variance[0]), 1e-12) - 1) if rule == "posterior" else 0.0))
-            if write is None or rows[write].iloc[k]:
-                state.write(x[k], 2 * y[k] - 1)
-        done = pd.DataFrame(out, columns=["mean", "variance", "probability", "evidence"])
-        return pd.concat([rows[[key, pos]].reset_index(drop=True), done], axis=1)
+    def start(row):
+        size, heads = len(row[address]) + 1, len(row[labels])
+        return Posterior(size, heads, precision, keep) if rule == "posterior" else DeltaRule(size, heads, step, keep)
+
+    def one(state, row):
+        x = np.append(np.array(row[address], float), 1.0)
+        mean, variance = state.read(x)
+        support = evidence(x, precision, float(variance[0])) if rule == "posterior" else 0.0
+        if write is None or row[write]:
+            state.write(x, 2 * np.array(row[labels], float) - 1)
+        return {key: row[key], pos: row[pos], "mean": mean[0].tolist(), "variance": float(variance[0]), "probability": probability(mean[0], variance[0]).tolist(), "evidence": support}
 
     kinds = dict(events.dtypes)
-    return events.groupBy(key).applyInPandas(run, f"{key} {kinds[key]}, {pos} {kinds[pos]}, mean array<double>, variance double, probability array<double>, evidence double")
+    chosen = events.select(*dict.fromkeys([key, pos, address, labels, *([write] if write else [])]))
+    return walk(chosen, [key], [pos], start, one, f"{key} {kinds[key]}, {pos} {kinds[pos]}, mean array<double>, variance double, probability array<double>, evidence double")
+
+
+class Runtime:
+    """A record over the answers of events by a design of addresses: read what the answers of an event are worth, write its labels.
+
+    With the design `q` an event has one address and each source a head; with the others each answer has an address, and all
+    share one head.
+    """
+
+    def __init__(self, design: str, peers: int, q: int, c: int, precision: float = 100.0, keep: float = 1.0):
+        self.design, self.peers, self.by_peer = design, peers, design == "q"
+        self.state = Posterior(design_size(design, peers, q, c), peers if self.by_peer else 1, precision, keep)
+
+    def rows(self, q, c, margin, real: int) -> np.ndarray:
+        """The addresses of the first `real` answers."""
+        c = np.array(c, float).reshape(len(c), -1)[:real]
+        return design_rows(self.design, np.array(q, float), c, np.array(margin, float)[:real], range(real), self.peers)
+
+    def read(self, x: np.ndarray, real: int) -> tuple[np.ndarray, np.ndarray]:
+        """Probability of being right and evidence of each answer."""
+        mean, variance = self.state.read(x)
+        if self.by_peer:
+            mean, variance, x = mean[0, :real], np.repeat(variance, real), np.repeat(x, real, 0)
+        else:
+            mean = mean[:, 0]
+        return probability(mean, variance), np.array([evidence(a, self.state.precision, float(v)) for a, v in zip(x, variance, strict=True)])
+
+    def write(self, x: np.ndarray, labels) -> None:
+        """Labels (0 or 1) of the first answers."""
+        signs = np.where(np.asarray(labels) == 1, 1.0, -1.0)
+        if self.by_peer:
+            self.state.write(x[0], np.concatenate([signs, np.zeros(self.peers - len(signs))]))
+        else:
+            for row, sign in zip(x, signs, strict=True):
+                self.state.write(row, [sign])
+
+    def write_targets(self, x: np.ndarray, targets: dict[int, float]) -> None:
+        """Only the answers that were observed, each with a target in [-1, 1]."""
+        if self.by_peer:
+            raise ValueError("single answers are written where each has an address of its own")
+        for k in sorted(targets):
+            self.state.write(x[k], [targets[k]])
+
+    def snapshot(self) -> bytes:
+        return self.state.snapshot()
+
+    def restore(self, saved: bytes) -> None:
+        self.state.restore(saved)
+
+
+def evidence(x: np.ndarray, precision: float, variance: float) -> float:
+    """How many earlier answers along the address the variance is worth."""
+    return max(0.0, float(x @ x) / precision / max(variance, 1e-12) - 1)
+
+
+def record_walk(stream: DataFrame, key: str, peers: int, design: str = "qc", pos: str = "pos", precision: float = 100.0, keep: float = 1.0, write: str | None = None) -> DataFrame:
+    """Walk each key's events in order with a Runtime: (key, pos, id, probability, evidence) of the real answers, read before write.
+
+    Events have q (array), c (array of arrays), margins, real, labels; events whose `write` is false are read only.
+    """
+
+    def start(row):
+        return Runtime(design, peers, len(row["q"]), len(row["c"][0]) if row["c"] else 0, precision, keep)
+
+    def one(state, row):
+        real = row["real"]
+        x = state.rows(row["q"], row["c"], row["margins"], real)
+        chance, support = state.read(x, real)
+        if write is None or row[write]:
+            state.write(x, row["labels"][:real])
+        return {key: row[key], pos: row[pos], "id": row["id"], "probability": [round(float(p), 4) for p in chance], "evidence": [round(float(n), 1) for n in support]}
+
+    kinds = dict(stream.dtypes)
+    columns = [key, pos, "id", "q", "c", "margins", "real", "labels", *([write] if write else [])]
+    return walk(stream.select(*dict.fromkeys(columns)), [key], [pos], start, one, f"{key} {kinds[key]}, {pos} {kinds[pos]}, id {kinds['id']}, probability array<double>, evidence array<double>")
 
 
 def small_record(answers: DataFrame, keys: list[str], pos: str, x1: str, x2: str, label: str, precision: float = 1.0, digits: int = 4, block: int = 100_000) -> DataFrame:

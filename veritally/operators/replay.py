@@ -3,65 +3,72 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .record import Posterior, probability
+from .walks import walk
 
 POLICIES = ("memory", "success_counts", "random")
 LOG = "policy string, mode string, calls int, seed long, pos long, seq long, first int, committed int, used int, hit int, first_hit int"
 
 
-def _walk(rows: pd.DataFrame, policy: str, mode: str, calls: int, seed: int, precision: float) -> pd.DataFrame:
-    rows = rows.sort_values("pos")
-    rng = np.random.default_rng(seed)
-    labels = np.array(rows["labels"].tolist(), int)
-    rejected = None if mode == "none" else np.array(rows["rejected"].tolist(), bool)
-    x = np.array([np.append(a, 1.0) for a in rows["address"]], float)
-    sources = labels.shape[1]
-    # sources' blocks never mix, so each has a posterior of its own
-    state = [Posterior(x.shape[1], 1, precision) for _ in range(sources)] if policy == "memory" else None
-    counts = np.ones((sources, 2))
-    out = []
-    for k, (pos, seq) in enumerate(zip(rows["pos"], rows["seq"], strict=True)):
-        if policy == "memory":
-            read = [s.read(x[k]) for s in state]
+class _Run:
+    """A run along its events: who is asked first, who is asked on, and what is learned."""
+
+    def __init__(self, policy: str, mode: str, calls: int, seed: int, dim: int, sources: int, precision: float):
+        self.policy, self.mode, self.calls, self.rng = policy, mode, calls, np.random.default_rng(seed)
+        # sources' blocks never mix, so each has a posterior of its own
+        self.state = [Posterior(dim, 1, precision) for _ in range(sources)] if policy == "memory" else None
+        self.counts = np.ones((sources, 2))
+
+    def order(self, x: np.ndarray) -> np.ndarray:
+        if self.state is not None:
+            read = [s.read(x) for s in self.state]
             chance = probability([float(m[0, 0]) for m, _ in read], [float(v[0]) for _, v in read])
-            order = np.argsort(-(chance + 1e-9 * rng.random(sources)))
-        elif policy == "success_counts":
-            order = np.argsort(-rng.beta(counts[:, 0], counts[:, 1]))
-        else:
-            order = rng.permutation(sources)
+            return np.argsort(-(chance + 1e-9 * self.rng.random(len(chance))))
+        if self.policy == "success_counts":
+            return np.argsort(-self.rng.beta(self.counts[:, 0], self.counts[:, 1]))
+        return self.rng.permutation(len(self.counts))
+
+    def event(self, x: np.ndarray, labels, rejected) -> list[int]:
+        """The sources asked, in order; the last is committed."""
+        order = self.order(x)
         asked = [int(order[0])]
-        for source in order[1:calls] if rejected is not None else []:
-            if not rejected[k, asked[-1]]:
+        for source in order[1 : self.calls] if self.mode != "none" else []:
+            if not rejected[asked[-1]]:
                 break
             asked.append(int(source))
-        last = asked[-1]
-        out.append((policy, mode, calls, seed, int(pos), int(seq), asked[0], last, len(asked), int(labels[k, last]), int(labels[k, asked[0]])))
-        for source in [last] if mode == "final" else asked:
-            if state is not None:
-                state[source].write(x[k], 1.0 if labels[k, source] else -1.0)
-            counts[source, 0 if labels[k, source] else 1] += 1
-    return pd.DataFrame(out, columns=[c.split()[0] for c in LOG.split(", ")])
+        for source in asked[-1:] if self.mode == "final" else asked:
+            if self.state is not None:
+                self.state[source].write(x, 1.0 if labels[source] else -1.0)
+            self.counts[source, 0 if labels[source] else 1] += 1
+        return asked
 
 
 def replay(events: DataFrame, runs: list[tuple[str, str, int, int]], precision: float = 100.0) -> DataFrame:
     """The decision log of every run (policy, mode, calls, seed) over events (pos, seq, address, labels, rejected).
 
     mode: `none` commits the first report; `all` asks on while reports are rejected and learns from all asked for; `final`
-    learns from the committed one only. A run is sequential; runs are groups and go in parallel.
+    learns from the committed one only. A run is sequential; runs go in parallel, and a worker holds a batch of events and a run's state.
     """
     for policy, *_ in runs:
         if policy not in POLICIES:
             raise ValueError(f"unknown policy {policy!r}")
-    plan = events.sparkSession.createDataFrame(runs, "policy string, mode string, calls int, seed long")
+    named = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("policy", "mode", "calls", "seed"), (p, m, int(c), int(k)), strict=True)]) for p, m, c, k in runs])
+    kinds = {"calls": "int", "seed": "long"}
+    each = events.select("pos", "seq", "address", "labels", "rejected", F.explode(named).alias("_run"))
+    each = each.select(*[F.col(f"_run.{n}").cast(kinds.get(n, "string")).alias(n) for n in ("policy", "mode", "calls", "seed")], "pos", "seq", "address", "labels", "rejected")
+
+    def start(row):
+        return _Run(row["policy"], row["mode"], row["calls"], row["seed"], len(row["address"]) + 1, len(row["labels"]), precision)
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return _walk(rows, key[0], key[1], int(key[2]), int(key[3]), precision)
+    def step(run, row):
+        asked = run.event(np.append(np.array(row["address"], float), 1.0), row["labels"], row["rejected"])
+        first, last = asked[0], asked[-1]
+        return {**{n: row[n] for n in ("policy", "mode", "calls", "seed", "pos", "seq")}, "first": first, "committed": last, "used": len(asked), "hit": int(row["labels"][last]), "first_hit": int(row["labels"][first])}
 
-    return events.join(F.broadcast(plan)).groupBy("policy", "mode", "calls", "seed").applyInPandas(run, LOG)
+    return walk(each, ["policy", "mode", "calls", "seed"], ["pos"], start, step, LOG)
 
 
 def replay_metrics(log: DataFrame) -> DataFrame:
