@@ -36,7 +36,49 @@ def test_shards_last_wins_and_resume(spark, tmp_path):
     jsonl.write_by_peer(rows.withColumn("peer", F.lit("p")), str(tmp_path / "by"))
     assert (tmp_path / "by" / "peer=p").is_dir()
     assert jsonl.file_checksums(spark, str(tmp_path / "s" / "*.jsonl")).count() == 2
-    assert jsonl.ordered_digest(rows, "id", ["id", "correct"]) == jsonl.ordered_digest(rows.orderBy(F.desc("id")), "id", ["id", "correct"])
+    placed = rows.withColumn("k", F.when(F.col("id") == "a", 0).otherwise(1))
+    assert jsonl.ordered_digest(placed, "k", ["id", "correct"]) == jsonl.ordered_digest(placed.orderBy(F.desc("k")), "k", ["id", "correct"])
+    assert jsonl.ordered_digest(placed, "k", ["id", "correct"]) != jsonl.ordered_digest(placed.withColumn("k", 1 - F.col("k")), "k", ["id", "correct"])
+
+
+def test_events_of_several_files_are_in_the_files_order(spark, tmp_path):
+    """The largest file comes last by name; Spark would pack it first."""
+    sizes = {"a": 3, "b": 40, "c": 700}
+    for name, n in sizes.items():
+        lines(tmp_path / "many" / f"{name}.jsonl", [{"id": f"{name}{k:03}", "problem": "x" * 200} for k in range(n)])
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    want = [f"{name}{k:03}" for name, n in sizes.items() for k in range(n)]
+    for most in ("16k", "128m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", most)
+        got = jsonl.read_events(spark, str(tmp_path / "many")).select("seq", "id").orderBy("seq").collect()
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        assert [(r.seq, r.id) for r in got] == list(enumerate(want))
+
+
+def test_results_are_published_whole_and_kept(spark, tmp_path):
+    made = []
+
+    def make():
+        made.append(1)
+        return spark.range(3)
+
+    path = str(tmp_path / "kept")
+    assert jsonl.derived(spark, path, make).count() == jsonl.derived(spark, path, make).count() == 3 and made == [1]
+    jsonl.publish(spark.range(5), path)
+    assert spark.read.parquet(path).count() == 5 and not (tmp_path / "kept.part").exists()
+    jsonl.write_graded(spark.range(2), spark.range(1), str(tmp_path / "run"))
+    assert spark.read.json(str(tmp_path / "run" / "metrics")).count() == 1
+    assert jsonl.read_if_there(spark, str(tmp_path / "nowhere"), "id string").count() == 0
+
+
+def test_verdicts_generations_and_labels(spark, tmp_path):
+    lines(tmp_path / "v" / "shard0.jsonl", [{"id": 7, "verdicts": ["ACCEPT", "REJECT"], "critiques": ["", "short"]}, {"id": 7, "verdicts": ["REJECT", "REJECT"]}])
+    assert [(r.id, r.verdicts) for r in jsonl.read_verdicts(spark, str(tmp_path / "v")).collect()] == [("7", ["REJECT", "REJECT"])]
+    lines(tmp_path / "g.jsonl", [{"id": 7, "generation": "x", "correct": 1}])
+    assert jsonl.read_generations(spark, str(tmp_path / "g.jsonl")).first().id == "7"
+    lines(tmp_path / "l.jsonl", [{"id": "a", "task_type": "boolqa", "answer": "yes", "peer_responses": {"p0": "Final answer: yes", "p1": "no"}}, {"id": "b", "task_type": "boolqa", "answer": "yes", "peer_responses": {"p0": "no"}, "peer_correct": {"p0": 0.25}}])
+    got = {r.id: r.peer_correct for r in jsonl.with_labels(jsonl.read_events(spark, str(tmp_path / "l.jsonl"))).collect()}
+    assert got == {"a": {"p0": 1.0, "p1": 0.0}, "b": {"p0": 0.25}}
 
 
 @pytest.mark.parametrize("parts", [1, 3])

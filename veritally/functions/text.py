@@ -112,12 +112,24 @@ def choice_labels(labels: Column, choices: Column) -> Column:
     return F.when(F.size(F.coalesce(labels, F.array())) > 0, labels).otherwise(letters)
 
 
+def shared_words(p: Column, g: Column) -> Column:
+    """How many words two lists share, counted with multiplicity: one walk over both, sorted together."""
+    tagged = F.array_sort(F.concat(F.transform(p, lambda w: F.struct(w.alias("w"), F.lit(1).alias("a"), F.lit(0).alias("b"))), F.transform(g, lambda w: F.struct(w.alias("w"), F.lit(0).alias("a"), F.lit(1).alias("b")))))
+    start = F.struct(F.lit("").alias("w"), F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(0).alias("shared"))
+
+    def step(s, x):
+        same = s["w"] == x["w"]
+        kept = lambda n: F.when(same, s[n]).otherwise(0)
+        return F.struct(x["w"].alias("w"), (kept("a") + x["a"]).alias("a"), (kept("b") + x["b"]).alias("b"), (s["shared"] + F.when(same, 0).otherwise(F.least(s["a"], s["b"]))).alias("shared"))
+
+    return F.aggregate(tagged, start, step, lambda s: s["shared"] + F.least(s["a"], s["b"]))
+
+
 def token_f1(prediction: Column, gold: Column) -> Column:
     """F1 of the words of two normalised texts, counted with multiplicity; 1 if both are empty."""
     words = lambda x: F.filter(F.split(qa_normalise(x), " "), lambda w: w != "")
     p, g = words(prediction), words(gold)
-    times = lambda a, w: F.size(F.filter(a, lambda v: v == w))
-    common = F.aggregate(F.array_distinct(F.array_intersect(p, g)), F.lit(0), lambda s, w: s + F.least(times(p, w), times(g, w)))
+    common = shared_words(p, g)
     n, m = F.size(p), F.size(g)
     precision, recall = common.cast("double") / n.cast("double"), common.cast("double") / m.cast("double")
     return F.when((n == 0) & (m == 0), 1.0).when((n == 0) | (m == 0) | (common == 0), 0.0).otherwise(F.lit(2.0) * precision * recall / (precision + recall))
@@ -167,14 +179,24 @@ def word_list(x: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(x, F.lit(""))), F.lit(r"(?U)\w+"), F.lit(0))
 
 
-def looped(x: Column) -> Column:
-    """One word ten times running, or one long word for over 30 % (and over 20) of at least 30 words."""
-    t = F.lower(F.coalesce(x, F.lit("")))
+def much_of_one_word(x: Column) -> Column:
+    """Whether one word of over two characters is over 30 % (and over 20) of at least 30 words."""
     words = word_list(x)
     longer = F.array_sort(F.filter(words, lambda w: F.length(w) > 2))
-    run = F.aggregate(longer, F.struct(F.lit("").alias("w"), F.lit(0).alias("n"), F.lit(0).alias("top")), lambda s, w: F.struct(w.alias("w"), F.when(s["w"] == w, s["n"] + 1).otherwise(1).alias("n"), F.greatest(s["top"], F.when(s["w"] == w, s["n"] + 1).otherwise(1)).alias("top")), lambda s: s["top"])
-    most = (F.size(words) >= 30) & (run > 20) & (run > F.lit(0.3) * F.size(words))
-    return F.regexp_like(t, F.lit("(?U)" + REPEATED_WORD)) | most
+    start = F.struct(F.lit("").alias("w"), F.lit(0).alias("n"), F.lit(0).alias("top"))
+
+    def step(s, w):
+        n = F.when(s["w"] == w, s["n"] + 1).otherwise(1)
+        return F.struct(w.alias("w"), n.alias("n"), F.greatest(s["top"], n).alias("top"))
+
+    run = F.aggregate(longer, start, step, lambda s: s["top"])
+    return (F.size(words) >= 30) & (run > 20) & (run > F.lit(0.3) * F.size(words))
+
+
+def looped(x: Column) -> Column:
+    """One word ten times running, or much of one word."""
+    t = F.lower(F.coalesce(x, F.lit("")))
+    return F.regexp_like(t, F.lit("(?U)" + REPEATED_WORD)) | much_of_one_word(x)
 
 
 def content_words(x: Column) -> Column:

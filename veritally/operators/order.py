@@ -11,7 +11,15 @@ from pyspark.sql import functions as F
 MOST_RANGES = 10_000
 
 
-def numbered(df: DataFrame, order: list[str], name: str = "seq", bucket_rows: int = 1_000_000) -> DataFrame:
+def _cuts_below(value: Column, cuts: list[float], step: int = 100) -> Column:
+    """How many of the sorted cuts are below the value: among every 100th first, then among the 100 that follow."""
+    coarse, every = cuts[::step], F.array(*[F.lit(c) for c in cuts])
+    passed = F.size(F.filter(F.array(*[F.lit(c) for c in coarse]), lambda c: c < value))
+    first = F.greatest(passed - 1, F.lit(0)) * step
+    return first + F.size(F.filter(F.slice(every, first + 1, F.lit(step)), lambda c: c < value))
+
+
+def numbered(df: DataFrame, order: list[str], name: str = "seq", bucket_rows: int = 200_000) -> DataFrame:
     """Add the row's number (from 0) in the order of the given columns, the first of which is a number or a time.
 
     Rows are cut into value ranges of about bucket_rows rows; each range is numbered by itself and shifted by the sizes
@@ -24,7 +32,7 @@ def numbered(df: DataFrame, order: list[str], name: str = "seq", bucket_rows: in
         bucket = F.lit(0)
     else:
         cuts = df.select(F.percentile_approx(value, [k / ranges for k in range(1, ranges)], 100 * ranges)).first()[0]
-        bucket = F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]), lambda c: c < value))
+        bucket = _cuts_below(value, sorted(set(cuts)))
     df = df.withColumn("_range", bucket)
     before = Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     shift = df.groupBy("_range").agg(F.count("*").alias("_rows")).withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0))).drop("_rows")

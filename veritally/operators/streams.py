@@ -9,14 +9,16 @@ from pyspark.sql import functions as F
 def add_answers(events: DataFrame, answers: DataFrame, peers: list[str], event: str = "id") -> DataFrame:
     """Events that every added peer has answered, with a map entry a peer: `responses` and `labels`.
 
-    `answers` is long: (event, peer, response, correct). It is folded to one row an event before the join.
+    `answers` is long: (event, peer, response, correct). Of several answers of a peer to an event the greatest (response, then
+    label) counts. It is folded to one row an event before the join.
     """
-    chosen = answers.filter(F.col("peer").isin(*peers)).groupBy(event).agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("peer", "response")))).alias("responses"),
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("peer", "correct")))).alias("labels"),
+    one = answers.filter(F.col("peer").isin(*peers)).groupBy(event, "peer").agg(F.max(F.struct("response", "correct")).alias("_a"))
+    chosen = one.groupBy(event).agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("peer", "_a.response")))).alias("responses"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("peer", "_a.correct")))).alias("labels"),
         F.count("*").alias("_n"),
     )
-    return events.join(chosen.filter(F.col("_n") == len(peers)).drop("_n"), event)
+    return events.join(chosen.filter(F.col("_n") == len(set(peers))).drop("_n"), event)
 
 
 def missing_answers(events: DataFrame, answers: DataFrame, peers: list[str], event: str = "id") -> DataFrame:

@@ -358,11 +358,6 @@ def gain_bins(spark, d):
     return rows.groupBy(order.equal_count_bin(F.col("rn"), F.lit(n), 8).alias("bin")).agg(F.count("*").alias("events"), F.sum(F.col("seen").cast("long")).alias("observed"), F.min("gain").alias("least_gain"), F.max("gain").alias("most_gain"))
 
 
-@query()
-def reading_line_final(spark, d):
-    return arbitration.final_lines(fx.branches(spark, d))
-
-
 # ---------------------------------------------------------------- checks, tasks
 
 
@@ -451,11 +446,7 @@ def verdicts(spark, d):
 
 @query("WITH w AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}\\p{M}_]+'), lambda x: true) AS ws FROM documents), t AS (SELECT doc_id, CAST(len(ws) AS INTEGER) AS n, list_filter(ws, lambda x: length(x) > 2) AS l FROM w), m AS (SELECT doc_id, n, coalesce(list_max(map_values(list_histogram(l))), 0) AS top FROM (SELECT doc_id, n, l FROM t)) SELECT doc_id, n AS words, n >= 30 AND top > 20 AND top > 0.3e0 * n AS much FROM m")
 def loop_counts(spark, d):
-    rows = fx.read(spark, d, "documents").select("doc_id", T.word_list(F.col("text")).alias("all"))
-    rows = rows.select("doc_id", F.size("all").alias("words"), F.filter("all", lambda w: F.length(w) > 2).alias("long"))
-    rows = rows.select("doc_id", "words", F.explode_outer("long").alias("w"))
-    top = rows.groupBy("doc_id", "words", "w").agg(F.count("w").alias("n")).groupBy("doc_id", "words").agg(F.max("n").alias("top"))
-    return top.select("doc_id", "words", ((F.col("words") >= 30) & (F.col("top") > 20) & (F.col("top") > F.lit(0.3) * F.col("words"))).alias("much"))
+    return fx.read(spark, d, "documents").select("doc_id", F.size(T.word_list(F.col("text"))).alias("words"), T.much_of_one_word(F.col("text")).alias("much"))
 
 
 @query()
@@ -463,11 +454,19 @@ def loop_detect(spark, d):
     return fx.read(spark, d, "documents").select("doc_id", T.looped(F.col("text")).alias("looped"))
 
 
-@query()
+def _content(x: str) -> str:
+    stop = ", ".join(f"'{w}'" for w in T.CONTENT_STOPWORDS)
+    return f"list_distinct(list_filter(regexp_extract_all(lower({x}), '[a-z]{{4,}}'), lambda w: w NOT IN ({stop})))"
+
+
+@query(f"""WITH q AS (SELECT d.doc_id, d.text, coalesce(b.text, '') AS question FROM documents d LEFT JOIN benchmark b ON b.item_id = d.doc_id % 40), x AS (SELECT *, regexp_replace(regexp_replace(coalesce(text, ''), '(?i){T.ANSWER_PHRASE}', ' ', 'g'), '^\\s+|\\s+$', '', 'g') AS body FROM q),
+y AS (SELECT *, {_content('body')} AS mine, {_content('question')} AS theirs, length(regexp_replace(body, '[^\\p{{L}}]', '', 'g')) AS letters FROM x)
+SELECT doc_id, length(body) >= 20 AND (regexp_matches(body, '(?m){T.CODE_MARK}') OR (length(body) > 60 AND letters < 0.25e0 * length(body)) OR (len(mine) >= 8 AND len(theirs) >= 3 AND NOT list_has_any(mine, theirs))) AS off_topic FROM y""")
 def off_topic(spark, d):
+    """Documents beside the item of their number, or no question where there is none."""
     rows = fx.read(spark, d, "documents").select("doc_id", "text", (F.col("doc_id") % 40).alias("item_id"))
     items = fx.read(spark, d, "benchmark").select("item_id", F.col("text").alias("question"))
-    return rows.join(items, "item_id").select("doc_id", T.off_topic(F.col("text"), F.col("question")).alias("off_topic"))
+    return rows.join(items, "item_id", "left").select("doc_id", T.off_topic(F.col("text"), F.coalesce("question", F.lit(""))).alias("off_topic"))
 
 
 @query("SELECT doc_id, md5(CASE WHEN length(text) > 3000 THEN rtrim(substr(text, 1, 3000), ' ' || chr(10) || chr(9) || chr(13)) || chr(10) || '[... reasoning cut off, no final answer]' ELSE text END) AS block FROM documents")
@@ -524,9 +523,7 @@ def bm25_topk(spark, d):
 def retrieval_recall(spark, d):
     docs, items = fx.read(spark, d, "documents"), fx.read(spark, d, "benchmark")
     ranked = retrieval.top(retrieval.bm25(docs, items), "item_id", "doc_id", 3)
-    if items.count() > 10_000:
-        raise ValueError("the items are compared with every document: give at most 10,000 at once")
-    support = docs.select("doc_id", "text").join(F.broadcast(items.select("item_id", F.col("text").alias("item"))), F.contains("text", "item")).select("item_id", "doc_id")
+    support = retrieval.holding(docs, items)
     return retrieval.recall(ranked, support, "item_id", "doc_id")
 
 
@@ -657,9 +654,9 @@ def rejection_share(spark, d):
     return reports.rejection_share(fx.read(spark, d, "conversations").select(T.verdict(said).alias("verdict")))
 
 
-@query("SELECT CAST(min(length(text)) AS INTEGER) AS least, CAST(floor(quantile_cont(length(text), 0.5)) AS BIGINT) AS median, CAST(max(length(text)) AS INTEGER) AS most FROM documents WHERE doc_id < 200")
+@query("SELECT CAST(min(length(text)) AS INTEGER) AS least, CAST(floor(quantile_cont(length(text), 0.5)) AS BIGINT) AS median, CAST(max(length(text)) AS INTEGER) AS most FROM documents")
 def prompt_lengths(spark, d):
-    return reports.length_statistics(fx.read(spark, d, "documents"), "text", "doc_id", 200)
+    return reports.length_statistics(fx.read(spark, d, "documents"), "text", "doc_id")
 
 
 @query(f"WITH {CH} SELECT id, peer, CASE WHEN g = 'key yes' THEN 1 ELSE 0 END AS correct FROM ch")
@@ -674,7 +671,7 @@ def agreement_keys(spark, d):
     return tasks.agreement_keys(rows, "text").select("id", "peer", "key")
 
 
-@query()
+@query(f"WITH {CH} SELECT id, peer, g = 'key no' AS accepted, CASE g WHEN 'key yes' THEN 'still_correct' WHEN 'key no' THEN '' ELSE 'format' END AS reasons FROM ch")
 def attempt_acceptance(spark, d):
     rows = _choices(spark, d).withColumn("task_type", F.lit("boolqa")).withColumn("answer", F.lit("yes")).withColumn("problem", F.lit("a question"))
     return tasks.acceptance(tasks.graded(rows.drop("correct"), "text"), "text", "target").select("id", "peer", "accepted", F.array_join("reasons", ",").alias("reasons"))

@@ -22,7 +22,8 @@ _STATE = "place long, memory binary, early string"
 def _in_order(state: GroupState, rows: list[tuple[int, list]], first: int, memory: bytes):
     """(rows whose place has come, memory, a function that saves)."""
     place, memory, early = state.get if state.exists else (first, memory, "{}")
-    waiting = json.loads(early) | {str(k): v for k, v in rows}
+    # a place that has passed (a row that came twice, or late) is over: it does not stay in the state
+    waiting = json.loads(early) | {str(k): v for k, v in rows if k >= place}
     ready = []
     while str(place) in waiting:
         ready.append((place, waiting.pop(str(place))))
