@@ -1,7 +1,7 @@
 """Addresses of events: features standardised, projected on principal components, scaled.
 
-The fit needs sums and cross-products only: each batch gives one row of sums, so what reaches the driver is a matrix of
-the features' number squared for each task, added up there; rows never leave their tasks.
+The fit needs sums and cross-products only: each task gives one row of sums, and these are added in a tree, so one matrix of
+the features' number squared reaches the driver; rows never leave their tasks.
 """
 
 from __future__ import annotations
@@ -35,8 +35,25 @@ class Projection:
         return df.mapInArrow(run, schema)
 
 
-def fit(df: DataFrame, features: str, dim: int) -> Projection:
-    """Principal components of the standardised features; fewer than dim if the features or rows are fewer."""
+def _added(parts: DataFrame) -> DataFrame:
+    """The sums of a partition's rows of (n, first, second), as one row."""
+
+    def run(batches):
+        n, first, second = 0, 0.0, 0.0
+        for batch in batches:
+            for a, b, c in zip(*(batch.column(k) for k in range(3)), strict=True):
+                n, first, second = n + a.as_py(), first + np.frombuffer(b.as_buffer()), second + np.frombuffer(c.as_buffer())
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([first.tobytes()]), pa.array([second.tobytes()])], ["n", "first", "second"])
+
+    return parts.mapInArrow(run, "n long, first binary, second binary")
+
+
+def fit(df: DataFrame, features: str, dim: int, branches: int = 8) -> Projection:
+    """Principal components of the standardised features; fewer than dim if the features or rows are fewer.
+
+    The features are read once: each task gives its sums, which are added in a tree, and one row comes to the driver.
+    """
 
     def run(batches):
         n, first, second = 0, 0.0, 0.0
@@ -46,14 +63,15 @@ def fit(df: DataFrame, features: str, dim: int) -> Projection:
                 x = np.asarray(rows, float)
                 n, first, second = n + len(x), first + x.sum(0), second + x.T @ x
         if n:
-            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([np.asarray(first).tolist()]), pa.array([np.asarray(second).ravel().tolist()])], ["n", "first", "second"])
-
-    parts = df.select(features).mapInArrow(run, "n long, first array<double>, second array<double>")
-    total = lambda c: F.posexplode(c).alias("k", "v")
-    n = parts.agg(F.sum("n")).first()[0]
-    sums = {c: np.array([r.v for r in parts.select(total(c)).groupBy("k").agg(F.sum("v").alias("v")).orderBy("k").collect()]) for c in ("first", "second")}
-    mean = sums["first"] / n
-    cross = sums["second"].reshape(len(mean), -1) - n * np.outer(mean, mean)
+            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([np.asarray(first).tobytes()]), pa.array([np.asarray(second).tobytes()])], ["n", "first", "second"])
+
+    parts = df.select(features).mapInArrow(run, "n long, first binary, second binary")
+    total = _added(_added(parts.repartition(branches)).repartition(1)).first()
+    if total is None:
+        raise ValueError("no features to fit to")
+    n, first = total["n"], np.frombuffer(total["first"])
+    mean = first / n
+    cross = np.frombuffer(total["second"]).reshape(len(mean), -1) - n * np.outer(mean, mean)
     std = np.sqrt(np.maximum(np.diag(cross), 0) / max(1, n - 1)) + 1e-3
     cov = cross / np.outer(std, std)
     values, vectors = np.linalg.eigh(cov)
@@ -62,3 +80,13 @@ def fit(df: DataFrame, features: str, dim: int) -> Projection:
     # the spread of all projected numbers together, whose mean is 0
     scale = float(np.sqrt(max(values[order].sum(), 0) / max(1, n * len(order) - 1))) + 1e-6
     return Projection(mean, std, basis, scale)
+
+
+def save(projections: dict[str, Projection], spark, path: str) -> None:
+    """Projections by name, a row each: what a walk without features begins with."""
+    rows = [(k, p.mean.tolist(), p.std.tolist(), p.basis.ravel().tolist(), p.basis.shape[1], p.scale) for k, p in projections.items()]
+    spark.createDataFrame(rows, "name string, mean array<double>, std array<double>, basis array<double>, dim int, scale double").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load(spark, path: str) -> dict[str, Projection]:
+    return {r["name"]: Projection(np.array(r["mean"]), np.array(r["std"]), np.array(r["basis"]).reshape(-1, r["dim"]), r["scale"]) for r in spark.read.parquet(path).collect()}

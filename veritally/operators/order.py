@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,11 +29,10 @@ def numbered(df: DataFrame, order: list[str], name: str = "seq", bucket_rows: in
     value = F.col(order[0]).cast("double")
     rows = df.count()
     ranges = min(MOST_RANGES, max(1, -(-rows // bucket_rows)))
-    if ranges == 1:
-        bucket = F.lit(0)
-    else:
-        cuts = df.select(F.percentile_approx(value, [k / ranges for k in range(1, ranges)], 100 * ranges)).first()[0]
-        bucket = _cuts_below(value, sorted(set(cuts)))
+    if ranges == 1:  # what one task sorts anyway
+        return df.withColumn(name, (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)) - 1).cast("long"))
+    cuts = df.select(F.percentile_approx(value, [k / ranges for k in range(1, ranges)], 100 * ranges)).first()[0]
+    bucket = _cuts_below(value, sorted(set(cuts)))
     df = df.withColumn("_range", bucket)
     before = Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     shift = df.groupBy("_range").agg(F.count("*").alias("_rows")).withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0))).drop("_rows")
@@ -41,12 +41,25 @@ def numbered(df: DataFrame, order: list[str], name: str = "seq", bucket_rows: in
     return out.withColumn(name, (F.col("_before") + F.col("_number") - 1).cast("long")).drop("_range", "_number", "_before")
 
 
-def permutation(spark, n: int, order: str) -> DataFrame:
-    """(seq, pos): the walk `fixed`, or `shuffledK` by a generator seeded with K."""
+def permutation(spark, n: int, order: str, block: int = 1_000_000) -> DataFrame:
+    """(seq, pos): the walk `fixed`, or `shuffledK` by a generator seeded with K.
+
+    The shuffle is one sequence of swaps, so it is made in one task, of n whole numbers (8 bytes each); they leave it in Arrow
+    batches and never pass through the driver.
+    """
     if order == "fixed":
         return spark.range(n).select(F.col("id").alias("seq"), F.col("id").alias("pos"))
-    walk = np.random.default_rng(int(order.removeprefix("shuffled"))).permutation(n)
-    return spark.createDataFrame([(int(s), k) for k, s in enumerate(walk)], "seq long, pos long")
+    seed = int(order.removeprefix("shuffled"))
+
+    def run(batches):
+        for _ in batches:
+            pass
+        walk = np.random.default_rng(seed).permutation(n)
+        for at in range(0, n, block):
+            part = walk[at : at + block]
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int64)), pa.array(np.arange(at, at + len(part)))], ["seq", "pos"])
+
+    return spark.range(0, 1, 1, 1).mapInArrow(run, "seq long, pos long")
 
 
 def position(pos: Column, n) -> Column:
@@ -80,7 +93,9 @@ def systematic(df: DataFrame, pos: str, every: int = 1, limit: int | None = None
 
 
 def grouped_order(spark, tasks: DataFrame, task: str, seed: int) -> DataFrame:
-    """(task, task_pos): tasks, in the order of their first row, in a seeded permutation. `tasks` has (task, first)."""
-    names = [r[0] for r in tasks.orderBy("first").select(task).collect()]
-    walk = np.random.default_rng(seed).permutation(len(names))
-    return spark.createDataFrame([(names[int(k)], place) for place, k in enumerate(walk)], f"{task} {dict(tasks.dtypes)[task]}, task_pos long")
+    """(task, task_pos): tasks, in the order of their first row, in a seeded permutation. `tasks` has (task, first).
+
+    Tasks are numbered where they are and meet the permutation by their number.
+    """
+    places = numbered(tasks.select(task, "first"), ["first"], "seq")
+    return places.join(permutation(spark, tasks.count(), f"shuffled{seed}"), "seq").select(task, F.col("pos").alias("task_pos"))
