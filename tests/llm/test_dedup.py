@@ -107,6 +107,8 @@ def test_words_are_split_as_the_pattern_says():
 
 def jaccards(a, b):
     plain = len(a.keys() & b.keys()) / len(a.keys() | b.keys())
+    if max(a.values()) == max(b.values()) == 1:
+        return plain  # both are the same
     every = set(a) | set(b)
     return max(plain, sum(1 / sum(max(a[e] / a[d], b[e] / b[d]) for e in every) for d in a.keys() & b.keys()))
 
@@ -195,6 +197,42 @@ def test_near_copies_by_counts_beside_a_larger_component(spark):
     assert {r.doc_id: r.class_id for r in near_dedup.classes(df).collect()} == want
 
 
+def test_links_just_above_the_limit_are_found(spark):
+    """Pairs at 0.80 to 0.85, a third of them with a repeated line, among texts that share half of their words with all others:
+    every link of the brute force is there."""
+    rng = random.Random(15)
+    common, texts = sentence(rng, 60).split(), []
+    for k in range(40):
+        base = sentence(rng, 120).split()
+        if k % 3 == 0:
+            base += sentence(rng, 6, "r").split() * 12
+        near = base[:]
+        for place in rng.sample(range(10, 110, 12), 2 if k % 3 else 3):
+            near[place] = sentence(rng, 1, "z")
+        texts += [" ".join(base), " ".join(near)]
+    for k in range(40):
+        texts.append(" ".join(common + sentence(rng, 60, "u").split()))
+    sets = [Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) for w in map(WORD.findall, texts)]
+    close = [jaccards(sets[2 * k], sets[2 * k + 1]) for k in range(40)]
+    assert sum(0.8 <= s <= 0.87 for s in close) >= 25
+    got = {r.doc_id: r.class_id for r in near_dedup.classes(spark.createDataFrame(rows(texts), SCHEMA)).collect()}
+    linked = [k for k in range(40) if close[k] >= 0.8]
+    assert sum(got[2 * k] == got[2 * k + 1] for k in linked) == len(linked)
+    assert got == brute_classes(range(len(texts)), texts)
+
+
+def test_many_texts_just_below_the_limit_make_few_pairs(spark, monkeypatch):
+    """All share 85 % of their shingles with all others, none is linked: sizes alone keep them apart in the second pass."""
+    rng = random.Random(16)
+    common = sentence(rng, 170)
+    texts = [common + " " + sentence(rng, 30, f"u{k}") for k in range(150)]
+    pairs = []
+    monkeypatch.setattr(near_dedup, "verified", lambda p, s, least, real=near_dedup.verified: (pairs.append(p.count()), real(p, s, least))[1])
+    got = {r.doc_id: r.class_id for r in near_dedup.classes(spark.createDataFrame(rows(texts), SCHEMA)).collect()}
+    assert got == brute_classes(range(len(texts)), texts) == {k: k for k in range(150)}
+    assert sum(pairs) < 150 * near_dedup.BANDS * 2
+
+
 def test_one_row_of_a_class_stays_whatever_its_key(spark):
     rng = random.Random(14)
     a, b, c, d = (sentence(rng, 60) for _ in range(4))

@@ -13,7 +13,8 @@ with the bucket's leader, the text with the most company in all its buckets (the
 is linear in the bucket. A second pass is for buckets that are still of several components: texts outside the largest one
 are compared with the bucket's texts in other components, except where a bound shows that they cannot be linked. A text
 whose shingles are over a fifth its own (no other such text has them), by number and by count, is like none; a pair's similarity is bounded by its
-sizes and shared shingles; and pairs that agree in too few registers, by counts and by weights 1, are left out. A pair at
+sizes and shared shingles, so texts without repeated shingles meet only where their sizes (in steps of `WIDTH`) allow a link: many
+texts of a size that share too little with all others make no pairs; and pairs that agree in too few registers, by counts and by weights 1, are left out. A pair at
 similarity 0.8 of either kind shares no band with probability (1 - 0.8 ** ROWS) ** BANDS, 2e-5 here.
 
 Result: one row per document with class_id, the least key of its class (a connected component of links). Defined results:
@@ -23,6 +24,8 @@ shingle is one shingle; a null key counts as larger than all; repeated rows shar
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,6 +39,8 @@ BANDS, ROWS = 20, 4
 M = BANDS * ROWS
 #: Registers of the second pass, and in how many a pair has to agree to be compared: one at 0.8 falls short with probability 1e-5.
 FINE, NEAR = 256, 176
+#: Ratio of the sizes that meet in the second pass.
+WIDTH = 1.1
 SIGNS = ["buckets", "registers", "plain_buckets", "plain_registers"]
 
 
@@ -174,7 +179,7 @@ def shares(sets: DataFrame) -> DataFrame:
     once, and the share of shared ones by count.
 
     A text is like another at most by its share of shared shingles: plain Jaccard by number, probability Jaccard by count.
-    id is a 64-bit hash of the key.
+    The sets come with an id each.
     """
 
     def run(batches):
@@ -185,10 +190,9 @@ def shares(sets: DataFrame) -> DataFrame:
                 total = np.bincount(rows, w, part.num_rows)
                 yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(rows)), pa.array(e.view(np.int64)), pa.array(w / total[rows])], ["id", "element", "part"])
 
-    named = sets.withColumn("id", F.xxhash64("key"))
-    flat = named.select("id", "elements", "weights").mapInArrow(run, "id long, element long, part double")
+    flat = sets.select("id", "elements", "weights").mapInArrow(run, "id long, element long, part double")
     alone = flat.groupBy("element").agg(F.count("*").alias("n"), F.min("id").alias("id"), F.min("part").alias("part")).filter(F.col("n") == 1).groupBy("id").agg(F.count("*").alias("alone"), F.sum("part").alias("alone_part"))
-    total = named.select("id", (F.octet_length("elements") / 8).cast("long").alias("size"), (F.octet_length("weights") == 0).alias("even"))
+    total = sets.select("id", (F.octet_length("elements") / 8).cast("long").alias("size"), (F.octet_length("weights") == 0).alias("even"))
     return total.join(alone, "id", "left").select("id", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("shared"), "even", (1 - F.coalesce("alone_part", F.lit(0.0))).alias("weight_share"))
 
 
@@ -242,15 +246,17 @@ def links(texts: DataFrame, key: str, text: str, name: str, least: float = SIMIL
     split = table(placed.join(table(heads.select("bucket", "head"), "near-heads"), "bucket"), "near-split")
     if split.isEmpty():
         return roots
-    opened = table(sets.join(split.select("key").distinct(), "key"), "near-open")
+    # numbers of texts are written, so that all that follows sees the same ones
+    opened = table(sets.join(split.select("key").distinct(), "key").withColumn("id", F.monotonically_increasing_id()), "near-open")
     # parts are added in any order, so the bound by count has a margin
     able = (F.col("shared") >= least * F.col("size")) | (F.col("weight_share") >= least - 1e-9)
-    bound = table(shares(opened).filter(able).drop("weight_share").dropDuplicates(["id"]), "near-bounds")
-    kept = opened.withColumn("id", F.xxhash64("key")).join(bound, "id").drop("id")
+    bound = table(shares(opened).filter(able).drop("weight_share"), "near-bounds")
+    kept = opened.join(bound, "id").drop("id")
     signs = table(kept.select("key", "size", "shared", "even").join(signed(kept).dropDuplicates(["key"]), "key"), "near-signs")
     split = table(split.join(signs, "key"), "near-candidates")
-    x = split.filter(F.col("root") != F.col("head")).select("bucket", *[F.col(c).alias(f"{c}_x") for c in ("key", "root", "size", "shared", "even", *SIGNS)])
-    y = split.select(F.col("bucket").alias("bucket_y"), "head", *[F.col(c).alias(f"{c}_y") for c in ("key", "root", "size", "shared", "even", *SIGNS)])
+    names = ("key", "root", "size", "shared", "even", *SIGNS)
+    x = split.filter(F.col("root") != F.col("head")).select("bucket", *[F.col(c).alias(f"{c}_x") for c in names])
+    y = split.select("bucket", "head", *[F.col(c).alias(f"{c}_y") for c in names])
     most = F.least("shared_x", "shared_y")
     sized = ~F.col("even_x") | ~F.col("even_y") | (most >= least * (F.col("size_x") + F.col("size_y") - most))
     once = (F.col("root_y") == F.col("head")) | (F.col("key_x") < F.col("key_y"))
@@ -268,7 +274,16 @@ def links(texts: DataFrame, key: str, text: str, name: str, least: float = SIMIL
     first = F.coalesce(F.get(shared_buckets(F.col("buckets_x"), F.col("buckets_y")), F.lit(0)), F.get(shared_buckets(plain("buckets", "x"), plain("buckets", "y")), F.lit(0))) == F.col("bucket")
     uneven = F.col("plain_registers_x").isNotNull() | F.col("plain_registers_y").isNotNull()
     agree = near(F.col("registers_x"), F.col("registers_y")) | (uneven & near(plain("registers", "x"), plain("registers", "y")))
-    more = x.join(y, (F.col("bucket") == F.col("bucket_y")) & (F.col("root_x") != F.col("root_y")) & once & sized & first & agree)
+    # even texts meet by size: of a text whose shared shingles are few, only the sizes that it can be linked with; where shingles
+    # repeat, sizes say nothing
+    step = lambda c: F.floor(F.log(c.cast("double")) / math.log(WIDTH)).cast("int")
+    lowest = F.ceil(F.col("size_x") * least - 1e-6)
+    highest = F.floor(F.least(F.col("size_x") / least, F.col("shared_x") * (1 + 1 / least) - F.col("size_x")) + 1e-6)
+    by_size = x.filter("even_x").withColumns({"low": lowest, "high": highest}).filter("high >= low AND low > 0")
+    by_size = by_size.withColumn("sizes", F.explode(F.sequence(step(F.col("low")), step(F.col("high"))))).drop("low", "high")
+    met = by_size.join(y.filter("even_y").withColumn("sizes", step(F.col("size_y"))), ["bucket", "sizes"]).drop("sizes")
+    met = met.unionByName(x.filter("NOT even_x").join(y, "bucket")).unionByName(x.filter("even_x").join(y.filter("NOT even_y"), "bucket"))
+    more = met.filter((F.col("root_x") != F.col("root_y")) & once & sized & first & agree)
     more = table(more.select(F.least("key_x", "key_y").alias("a"), F.greatest("key_x", "key_y").alias("b")).distinct(), "near-more")
     again = table(verified(more, sets, least), "near-links")
     return roots if again.isEmpty() else components(found.union(again))
@@ -313,3 +328,24 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", least
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return classes(docs).select("doc_id", "class_id")
+
+
+#: All pairs that share a shingle, by both similarities, and the components of their links.
+SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, CASE WHEN regexp_matches(coalesce(text, ''), '[^ \t-\r]') THEN md5(text) END AS t, text FROM documents),
+w AS (SELECT t, list_filter(string_split_regex(any_value(text), '[ \t-\r]+'), lambda x: x <> '') AS ws FROM d WHERE t IS NOT NULL GROUP BY t),
+g AS (SELECT t, md5(array_to_string(ws[i:i+4], ' ')) AS g FROM (SELECT t, ws, unnest(range(1, greatest(2, len(ws) - 3))) AS i FROM w)),
+sh AS (SELECT t, g, CAST(count(*) AS DOUBLE) AS w FROM g GROUP BY t, g),
+sz AS (SELECT t, count(*) AS n, sum(w) AS total, max(w) AS most FROM sh GROUP BY t),
+pr AS (SELECT a.t AS ta, b.t AS tb, count(*) AS c FROM sh a JOIN sh b ON a.g = b.g AND a.t < b.t GROUP BY ALL),
+pl AS (SELECT ta, tb, CAST(c AS DOUBLE) / CAST(x.n + y.n - c AS DOUBLE) >= 0.8e0 AS linked, x.most > 1 OR y.most > 1 AS uneven, x.total AS total_a, y.total AS total_b FROM pr JOIN sz x ON x.t = ta JOIN sz y ON y.t = tb),
+cm AS (SELECT ta, tb, total_a, total_b, a.w AS v, b.w AS u FROM pl JOIN sh a ON a.t = ta JOIN sh b ON b.t = tb AND b.g = a.g WHERE uneven AND NOT linked),
+sm AS (SELECT *, sum(v) OVER r AS below, sum(u) OVER r AS passed, sum(v) OVER p AS all_v, sum(u) OVER p AS all_u FROM cm WINDOW r AS (PARTITION BY ta, tb ORDER BY u / v RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), p AS (PARTITION BY ta, tb)),
+pj AS (SELECT ta, tb FROM sm GROUP BY ta, tb HAVING sum(1e0 / ((total_a - all_v + below) / v + (total_b - all_u + all_u - passed) / u)) >= 0.8e0),
+ln AS (SELECT ta, tb FROM pl WHERE linked UNION ALL SELECT ta, tb FROM pj),
+both_ AS (SELECT ta, tb FROM ln UNION ALL SELECT tb, ta FROM ln),
+reach AS (SELECT t, t AS r FROM w UNION SELECT b.tb, reach.r FROM reach JOIN both_ b ON b.ta = reach.t),
+cc AS (SELECT t, min(r) AS r FROM reach GROUP BY t),
+cl AS (SELECT r, min(doc_id) AS class_id FROM d JOIN cc USING (t) GROUP BY r)
+SELECT doc_id, CASE WHEN d.t IS NULL THEN doc_id ELSE class_id END AS class_id FROM d LEFT JOIN cc ON cc.t = d.t LEFT JOIN cl ON cl.r = cc.r
+"""

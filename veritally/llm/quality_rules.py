@@ -7,7 +7,7 @@ than `max_documents` of them are removed from the text, and a document whose res
 Beside it stand five counts of the text itself, all in the row: no row leaves its task for them.
 
 Defined results: a null or empty text has no words, so its counts are 0 and base_failed is true; a null source is the host
-''; repeated rows (also of one doc_id) are kept as often as they come, and other columns are ignored or carried along.
+''; very long texts are read whole, row by row; a line of exactly `max_documents` texts stays; repeated rows (also of one doc_id) are kept as often as they come, and other columns are ignored or carried along.
 Hot lines and hot copies: counts are combined before the shuffle, and the verdicts are written once so that the join with
 the documents is over two plain exchanges, whose hot partitions Spark splits at run time.
 """

@@ -18,5 +18,6 @@ ORACLE = {
     "op1_substring_dedup": substring_dedup.SQL,
     "op5_secret_scan": secret_scan.SQL,
     "op7_quality_rules": quality_rules.SQL,
+    "op8_near_dedup": near_dedup.SQL,
     "op10_mixing": mixing.SQL,
 }
