@@ -87,7 +87,7 @@ def weights(sizes: DataFrame, targets: dict | None, temperature: float) -> list[
 def schedule(blocks: DataFrame, shares: list[tuple[str, int]]) -> DataFrame:
     """(_g, block, release, deadline, slot) of the stretches that the windows of the blocks (_g, block) touch."""
     names = F.split(F.lit("\n".join(g.encode().hex() for g, _ in shares)), "\n")
-    whole = F.transform(F.split(F.lit(",".join(str(w) for _, w in shares)), ","), lambda x: x.cast("long"))
+    whole = F.expr(f"array({', '.join(f'{w}L' for _, w in shares)})")  # of literals, so it is one
     total = sum(w for _, w in shares)
     size = max(STRETCH, -(-total // min(w for _, w in shares)))
     at = F.array_position(names, F.lower(F.hex(F.encode("_g", "utf-8"))))
@@ -105,7 +105,8 @@ def schedule(blocks: DataFrame, shares: list[tuple[str, int]]) -> DataFrame:
     taken = """aggregate(held, named_struct('room', room, 'up', CAST(array() AS array<int>)), (s, x) ->
         IF(size(s.up) < wanted AND NOT exists(slice(s.room, CAST(t - x.release AS int), CAST(back AS int)), r -> r < 1),
             named_struct('room', transform(s.room, (r, j) -> IF(j + 1 >= t - x.release, r - 1, r)), 'up', concat(s.up, array(x.k))), s), s -> s.up)"""
-    df = df.selectExpr("w", "t", "low", f"{taken} AS up").selectExpr("w", "t", "transform(low, (m, k) -> IF(array_contains(up, k), m + 1, m)) AS now")
+    # the inner list is computed once, as the only element of an outer one
+    df = df.selectExpr("w", "t", f"aggregate(array({taken}), low, (s, up) -> transform(s, (m, k) -> IF(array_contains(up, k), m + 1, m))) AS now")
     # earliest deadline first over the slots, in parts, so that lists stay short while they grow
     part = max(1, int(size**0.5))
     ready = f"filter(transform(s.now, (i, k) -> named_struct('due', ((i + 1) * {total} + w[k] - 1) div w[k], 'k', k, 'release', i * {total} div w[k], 'block', i, 'slot', slot)), x -> x.release <= slot)"
