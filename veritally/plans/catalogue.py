@@ -449,7 +449,13 @@ def loop_counts(spark, d):
     return fx.read(spark, d, "documents").select("doc_id", F.size(T.word_list(F.col("text"))).alias("words"), T.much_of_one_word(F.col("text")).alias("much"))
 
 
-@query()
+_WORDCHAR = "[\\p{L}\\p{N}\\p{M}_]"
+
+
+@query(f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS x FROM documents), m AS (SELECT doc_id, regexp_extract_all(lower(x), '{_WORDCHAR}+') AS ws FROM t), n AS (SELECT doc_id, len(ws) AS n, coalesce(list_max(map_values(list_histogram(list_filter(ws, lambda w: length(w) > 2)))), 0) AS top FROM m),
+s AS (SELECT doc_id, string_split_regex(lower(x), '[\\s\\p{{Z}}]+') AS ws FROM t), r AS (SELECT doc_id, ws[i] AS a, ws[i + 1] AS v, ws[i + 9] AS z FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 8)) AS i FROM s WHERE len(ws) >= 10) WHERE len(list_distinct(ws[i + 1:i + 8])) = 1 AND regexp_full_match(ws[i + 1], '[a-z]{_WORDCHAR}+')),
+q AS (SELECT DISTINCT doc_id FROM r WHERE regexp_matches(a, '(^|[^\\p{{L}}\\p{{N}}\\p{{M}}_])' || v || '$') AND regexp_matches(z, '^' || v || '($|[^\\p{{L}}\\p{{N}}\\p{{M}}_])'))
+SELECT n.doc_id, (n >= 30 AND top > 20 AND top > 0.3e0 * n) OR q.doc_id IS NOT NULL AS looped FROM n LEFT JOIN q ON q.doc_id = n.doc_id""")
 def loop_detect(spark, d):
     return fx.read(spark, d, "documents").select("doc_id", T.looped(F.col("text")).alias("looped"))
 
