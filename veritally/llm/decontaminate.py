@@ -14,7 +14,7 @@ letters, marks and digits of any script, in lower case). Windows of the items' s
 Step 2 is the only one that can lose a leak. Walks and samples are chosen for a recall of 0.999 at the limit, whatever the
 edits are; deletions, which put the walks out of step for longest, are the worst (README has the recall measured by length).
 
-The items of a block (at most `BLOCK` of them; more items are taken block by block) go to every task; documents are read once a
+The items of a block (at most `BLOCK` of them, of about `BLOCK_BYTES`; more are taken block by block) go to every task; documents are read once a
 block, row by row, without a shuffle, so hot groups do not meet.
 
 Defined results: null texts and items, and those without a word, leak nothing; rows that repeat an item's key give one leak
@@ -35,7 +35,8 @@ from .common import Words, chunks, grams, mix
 from .language_id import lower
 
 EDITS = 0.2
-BLOCK = 5000
+#: Items of a block at most, and bytes of their texts, about.
+BLOCK, BLOCK_BYTES = 50_000, 32_000_000
 
 _APART = np.ones(256, bool)
 _APART[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -213,7 +214,8 @@ def _with_leaks(docs: DataFrame, items: Items, text: str, column: str, keep_text
 def with_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", column: str = "leaks", keep_text: bool = True) -> DataFrame:
     """Add the array of leaks (item_id, distance, start, end) to every document."""
     benchmark = benchmark.select(F.col(item).alias("item"), F.col(item_text).alias("text")).filter(F.col("text").isNotNull() & F.col("item").isNotNull())
-    blocks = max(1, -(-benchmark.count() // BLOCK))
+    count, size = benchmark.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    blocks = max(1, -(-count // BLOCK), -(-(size or 0) // BLOCK_BYTES))
     for block in range(blocks):
         rows = benchmark.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block).collect() if blocks > 1 else benchmark.collect()
         docs = _with_leaks(docs, Items([r.item for r in rows], [r.text for r in rows]), text, column, keep_text or block < blocks - 1)
