@@ -75,21 +75,35 @@ def block_spans(texts: Column, prompt: Column, limit: int = 3000) -> Column:
 
     A block is looked for below its own heading, behind the block before it, or else as the next place that has its text.
     """
-    bodies = F.transform(texts, lambda t: T.clip(t, limit))
     none = F.array().cast("array<struct<start:int,end:int>>")
 
-    def step(state, x):
-        head = F.call_function("locate", said("Peer ", x["k"].cast("string")), prompt, state["at"] + 1)
-        colon = F.when(head > 0, F.call_function("locate", F.lit(":\n"), prompt, head)).otherwise(F.lit(0))
-        below = (colon > 0) & (F.substring(prompt, colon + 2, F.length(x["body"])) == x["body"])
-        start = F.when(below, colon + 1).otherwise(F.when(F.trim(x["body"]) != "", F.call_function("locate", x["body"], prompt, state["at"] + 1)).otherwise(F.lit(0)) - 1)
-        found = (start >= 0) & (x["body"] != "")
-        end = start + F.length(x["body"])
-        span = F.struct(F.when(found, start).otherwise(0).alias("start"), F.when(found, end).otherwise(0).alias("end"))
-        return F.struct(F.when(found, end).otherwise(state["at"]).alias("at"), F.concat(state["out"], F.array(span)).alias("out"))
-
-    rows = F.transform(bodies, lambda b, k: F.struct((k + 1).alias("k"), b.alias("body")))
-    return F.aggregate(rows, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda s: s["out"])
+    def spans(given):
+        prompt = given["prompt"]
+        find = lambda what, behind: F.call_function("locate", what, prompt, behind + 1)
+
+        def step(state, x):
+            head = find(said("Peer ", x["k"].cast("string")), state["at"])
+            colon = once(head, lambda h: F.when(h > 0, F.call_function("locate", F.lit(":\n"), prompt, h)).otherwise(F.lit(0)))
+            elsewhere = F.when(F.trim(x["body"]) != "", find(x["body"], state["at"])).otherwise(F.lit(0)) - 1
+            start = once(colon, lambda c: F.when((c > 0) & (F.substring(prompt, c + 2, F.length(x["body"])) == x["body"]), c + 1).otherwise(elsewhere))
+
+            def placed(at):
+                found = (at >= 0) & (x["body"] != "")
+                end = at + F.length(x["body"])
+                span = F.struct(F.when(found, at).otherwise(0).alias("start"), F.when(found, end).otherwise(0).alias("end"))
+                return F.struct(F.when(found, end).otherwise(state["at"]).alias("at"), F.concat(state["out"], F.array(span)).alias("out"))
+
+            return once(start, placed)
+
+        return F.aggregate(given["rows"], F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda s: s["out"])
+
+    rows = F.transform(texts, lambda t, k: F.struct((k + 1).alias("k"), T.clip(t, limit).alias("body")))
+    return once(F.struct(prompt.alias("prompt"), rows.alias("rows")), spans)
+
+
+def once(value: Column, use) -> Column:
+    """use(value), with the value computed once: what a lambda reads from outside is computed at every call."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def with_box(text: str, value: str) -> str:
