@@ -1,6 +1,6 @@
 """The queries of the operators and their SQL twins."""
 
-from . import decontaminate, html_extract, language_id, mixing, near_dedup, quality_crf, quality_rules, secret_scan, substring_dedup, toxicity
+from . import decontaminate, html_extract, language_id, merkle, mixing, near_dedup, permutation_index, quality_crf, quality_rules, secret_scan, substring_dedup, toxicity, vector_codes
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.query,
@@ -13,6 +13,9 @@ QUERIES = {
     "op8_near_dedup": near_dedup.query,
     "op9_quality_crf": quality_crf.query,
     "op10_mixing": mixing.query,
+    "op11_permutation_index": permutation_index.query,
+    "op12_vector_codes": vector_codes.query,
+    "op13_merkle_manifest": merkle.query,
 }
 ORACLE = {
     "op1_substring_dedup": substring_dedup.SQL,
@@ -20,4 +23,6 @@ ORACLE = {
     "op7_quality_rules": quality_rules.SQL,
     "op8_near_dedup": near_dedup.SQL,
     "op10_mixing": mixing.SQL,
+    "op12_vector_codes": vector_codes.SQL,
+    "op13_merkle_manifest": merkle.SQL,
 }
