@@ -213,6 +213,7 @@ def _with_leaks(docs: DataFrame, items: Items, text: str, column: str, keep_text
 
 def with_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", column: str = "leaks", keep_text: bool = True) -> DataFrame:
     """Add the array of leaks (item_id, distance, start, end) to every document."""
+    docs = docs.drop(column)  # a caller's column of that name gives way
     benchmark = benchmark.select(F.col(item).alias("item"), F.col(item_text).alias("text")).filter(F.col("text").isNotNull() & F.col("item").isNotNull())
     count, size = benchmark.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
     blocks = max(1, -(-count // BLOCK), -(-(size or 0) // BLOCK_BYTES))
