@@ -235,9 +235,17 @@ def links(texts: DataFrame, key: str, text: str, name: str, least: float = SIMIL
     shared = table(shared.drop("n").join(table(leaders, "near-leaders"), "bucket"), "near-led")
     pairs = table(shared.filter(F.col("key") != F.col("leader")).select(F.col("leader").alias("a"), F.col("key").alias("b")).distinct(), "near-pairs")
     # one row of every text that is in some pair
-    one = texts.groupBy(key).agg(F.min(name).alias(name))
+    one = texts.groupBy(key, name).agg(F.count("*").alias("rows")).groupBy(key).agg(F.min_by("rows", name).alias("rows"), F.min(name).alias(name))
     wanted = table(one.join(company.select(F.col("key").alias(key)), key), "near-wanted")
-    sets = table(weighted_sets(texts.join(wanted.hint("shuffle_hash"), [key, name]), key, text), "near-sets")
+
+    def bodies(which):
+        return texts.join(wanted.filter(which).drop("rows").hint("shuffle_hash"), [key, name]).select(key, text)
+
+    some = bodies("rows = 1")
+    # rows equal in key and text: one stands for them
+    if not wanted.filter("rows > 1").isEmpty():
+        some = some.union(bodies("rows > 1").dropDuplicates([key]))
+    sets = table(weighted_sets(some, key, text), "near-sets")
     found = table(verified(pairs, sets, least), "near-links")
     roots = components(found)
     # texts of a bucket outside the component that has most of it
