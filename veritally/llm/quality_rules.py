@@ -1,13 +1,14 @@
 """Quality rules by cross-document line frequency [native: built-in functions only].
 
 Lines are normalised (lower case, digits as 0, runs of white space as one space, trimmed) and hashed with their host.
-For each host the distinct documents (distinct texts: copies of a text count once) with a line are counted; lines in more
-than `max_documents` of them are removed from the text, and a document whose rest is too small is rejected.
+For each host the distinct documents with a line are counted (every row is a document, copies too; a line counts once in each); lines in
+more than `max_documents` of them are removed from the text, and a document whose rest is too small is rejected. So documents that
+a host has in more than `max_documents` exact copies lose all their lines, and none of them is kept.
 
 Beside it stand five counts of the text itself, all in the row: no row leaves its task for them.
 
 Defined results: a null or empty text has no words, so its counts are 0 and base_failed is true; a null source is the host
-''; very long texts are read whole, row by row; a line of exactly `max_documents` texts stays; repeated rows (also of one doc_id) are kept as often as they come, and other columns are ignored or carried along.
+''; very long texts are read whole, row by row; a line of exactly `max_documents` documents stays; repeated rows (also of one doc_id) are documents of their own and are kept as often as they come; other columns are carried along, those with the names of results give way.
 Hot lines and hot copies: counts are combined before the shuffle, and the verdicts are written once so that the join with
 the documents is over two plain exchanges, whose hot partitions Spark splits at run time.
 """
@@ -77,9 +78,10 @@ def shortened(docs: DataFrame, key: str, text: str, host: str, max_documents: in
     """
     lines = docs.select(F.col(key).alias("_k"), F.coalesce(F.col(host), F.lit("")).alias("_host"), F.posexplode(normalised_lines(F.col(text))).alias("_n", "_line"))
     lines = lines.select("_k", "_n", F.xxhash64("_host", "_line").alias("_lh"), (F.length("_line") - F.length(F.translate("_line", " ", "")) + 1).alias("_words"))
-    lines = lines.groupBy("_lh", "_k", "_n").agg(F.max("_words").alias("_words")).groupBy("_lh", "_k").agg(F.sum("_words").alias("_words"))
-    lines = table(lines, "quality-lines")
-    often = table(lines.groupBy("_lh").agg(F.count("*").alias("_docs")).filter(F.col("_docs") > max_documents).select("_lh"), "quality-often")
+    # a place of a text comes once for each document that has the text
+    lines = lines.groupBy("_lh", "_k", "_n").agg(F.max("_words").alias("_words"), F.count("*").alias("_copies"))
+    lines = table(lines.groupBy("_lh", "_k").agg(F.sum("_words").alias("_words"), F.max("_copies").alias("_copies")), "quality-lines")
+    often = table(lines.groupBy("_lh").agg(F.sum("_copies").alias("_docs")).filter(F.col("_docs") > max_documents).select("_lh"), "quality-often")
     removed = lines.join(often, "_lh").groupBy("_k").agg(F.sum("_words").alias("_removed"), F.collect_list("_lh").alias("_gone"))
     total = lines.groupBy("_k").agg(F.sum("_words").alias("_total"))
     much = (F.col("_total") - F.col("_removed") < min_words) | (F.col("_removed") > max_removed * F.col("_total"))
@@ -103,7 +105,7 @@ def quality_rules(docs: DataFrame, text: str = "text", host: str = "source", max
 
     The counts are of the text as it came.
     """
-    keyed = docs.withColumn("_key", F.md5(F.concat(F.coalesce(F.col(host), F.lit("")), F.lit("\n"), F.coalesce(F.col(text), F.lit("")))))
+    keyed = docs.drop("n_removed_words", "kept").withColumn("_key", F.md5(F.concat(F.coalesce(F.col(host), F.lit("")), F.lit("\n"), F.coalesce(F.col(text), F.lit("")))))
     lost = shortened(keyed, "_key", text, host, max_documents, min_words, max_removed)
     joined = base_counts(keyed, text).join(lost, "_key", "left")
     joined = joined.withColumns(
@@ -137,10 +139,10 @@ base AS (
     CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
     CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(cov.n, 0) AS BIGINT) AS n_repeat_words
   FROM d JOIN w USING (r) JOIN ln USING (r) LEFT JOIN cov USING (r)),
-x AS (SELECT DISTINCT host, t FROM d),
-xl AS (SELECT host, t, trim(unnest(string_split(regexp_replace(lower(translate(t, '123456789', '000000000')), '[ \t\v\f\r]+', ' ', 'g'), chr(10)))) AS l FROM x),
-yl AS (SELECT host, t, l, len(string_split(l, ' ')) AS n FROM xl WHERE l <> ''),
-often AS (SELECT host, l FROM yl GROUP BY host, l HAVING count(DISTINCT t) > 50),
+x AS (SELECT host, t, count(*) AS copies FROM d GROUP BY host, t),
+xl AS (SELECT host, t, copies, trim(unnest(string_split(regexp_replace(lower(translate(t, '123456789', '000000000')), '[ \t\v\f\r]+', ' ', 'g'), chr(10)))) AS l FROM x),
+yl AS (SELECT host, t, copies, l, len(string_split(l, ' ')) AS n FROM xl WHERE l <> ''),
+often AS (SELECT host, l FROM (SELECT DISTINCT host, t, copies, l FROM yl) GROUP BY host, l HAVING sum(copies) > 50),
 lost AS (SELECT yl.host, yl.t, sum(n) AS total, sum(CASE WHEN o.l IS NULL THEN 0 ELSE n END) AS removed FROM yl LEFT JOIN often o ON o.host = yl.host AND o.l = yl.l GROUP BY yl.host, yl.t),
 bad AS (SELECT host, t FROM lost WHERE removed > 0 AND (total - removed < 10 OR removed > 0.9 * total))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed,
