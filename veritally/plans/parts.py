@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import answers as reading
-from ..functions import prompts, tasks
+from ..functions import prompts, symbolic, tasks
 from ..functions import text as T
 from ..functions.hashing import stable_fraction
 from ..functions.maths import places
@@ -378,6 +378,27 @@ def picked_options(spark, d):
     said = F.get(F.array(*[F.lit(t) for t, _ in _OPTIONS]), (F.col("id") % len(_OPTIONS)).cast("int"))
     return fx.events(spark, d).select("id", reading.option_udf(said, F.array(*[F.lit(x) for x in "ABCD"])).alias("picked"))
 
+# ---------------------------------------------------------------- symbolic answers
+
+
+@query("""WITH n AS (SELECT o_orderkey, o_orderkey % 6 AS k, o_orderkey % 13 - 6 AS q, o_custkey % 7 - 3 AS r, CASE WHEN o_custkey % 3 = 0 THEN o_orderkey % 4 ELSE 0 END AS e FROM orders)
+SELECT o_orderkey, CASE WHEN k = 2 THEN list_sort(list_distinct([q, r])) = list_sort(list_distinct([r + e, q])) ELSE e = 0 END AS same FROM n""")
+def symbolic_equal(spark, d):
+    """Two answers made from the numbers of each order: a product and a polynomial, sums of fractions, sets, intervals,
+    equations, roots. They mean the same but for e, which is 0 for most."""
+    n = fx.read(spark, d, "orders").selectExpr("o_orderkey", "o_orderkey % 6 AS k", "o_custkey % 9 + 1 AS p", "o_orderkey % 13 - 6 AS q", "o_custkey % 7 - 3 AS r", "o_orderkey % 5 + 2 AS s", "IF(o_custkey % 3 = 0, o_orderkey % 4, 0) AS e")
+    said = lambda form, *numbers: F.format_string(form, *[F.expr(x).cast("long") for x in numbers])
+    shapes = [
+        (said("(%dx + %d)(%d - x)", "p", "q", "s"), said("-%dx^2 + (%d)x + %d", "p", "p * s - q + e", "q * s")),
+        (said(r"\frac{%d}{%d} + \frac{%d}{%d}", "q", "p", "r", "s"), said(r"$\dfrac{%d}{%d}$", "q * s + r * p + e", "p * s")),
+        (said("x = %d or x = %d", "q", "r"), said(r"\{%d, %d\}", "r + e", "q")),
+        (said("[%d, %d)", "r", "r + s"), said(r"\left[%d - %d, \frac{%d}{%d}\right)", "r + e", "e * 2", "(r + s) * p", "p")),
+        (said("%dy - %dx = %d", "p", "q", "r"), said("%dy = 2(%dx) + %d", "2 * p", "q", "2 * r + e")),
+        (said(r"\sqrt{%d}", "s * s * p"), said(r"%d\sqrt{%d} + %d", "s", "p", "e")),
+    ]
+    side = lambda n: F.get(F.array(*[x[n] for x in shapes]), F.col("k").cast("int"))
+    return n.select("o_orderkey", symbolic.symbolic_equal_udf(side(0), side(1)).alias("same"))
+
 
 # ---------------------------------------------------------------- relational extras
 
