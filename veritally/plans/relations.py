@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.maths import places
-from ..operators import numerics
+from ..operators import joins, numerics
 from ..operators.asof import as_of
 from ..operators.intervals import held_values, interval_join
+from ..sources import feature_shards
+from ..sources.stored import new_folder
 from . import fixtures as fx
 from .catalogue import _fl, query
+from .fixtures import EV
 
 # ---------------------------------------------------------------- as-of and interval joins
 
@@ -90,3 +93,22 @@ def covariance_of_two(spark, d):
 def covariance_drift(spark, d):
     """Drift, asymmetry and definiteness of each path over whole vectors."""
     return numerics.covariance_report(_addresses(spark, d, None), "stream", "vec_id", every=100)
+
+
+# ---------------------------------------------------------------- stored features
+
+
+@query(f"""WITH {EV} SELECT seq, CAST(id AS VARCHAR) AS id, task, {_fl('CAST(embedding[1] AS DOUBLE)')} AS question, {_fl('CAST(embedding[9] AS DOUBLE)')} AS meaning, {_fl('CAST(embedding[20] AS DOUBLE)')} AS answer FROM ev JOIN embeddings ON vec_id = seq WHERE seq >= 100""")
+def feature_scan(spark, d):
+    """Vectors written as feature shards, those from place 100 on read back (other shards are not opened) and joined with their events."""
+    feature_shards.register(spark)
+    ids = fx.events(spark, d).select("seq", F.col("id").cast("string").alias("id"))
+    vectors = fx.read(spark, d, "embeddings").select(F.col("vec_id").cast("long").alias("seq"), "embedding")
+    part = lambda a, n: F.slice("embedding", a, n)
+    features = vectors.join(ids, "seq").select("seq", "id", part(1, 8).alias("question"), part(9, 8).alias("meaning"), F.array(part(17, 4), part(21, 4)).alias("answers"), part(25, 2).alias("margins"))
+    folder = new_folder(spark, "features")
+    features.repartitionByRange(8, "seq").write.format("feature_shards").mode("append").save(folder)
+    stored = spark.read.format("feature_shards").load(folder).filter("seq >= 100")
+    stream = joins.feature_stream(stored, fx.events(spark, d))
+    number = lambda c, n: places(F.get(c, n).cast("double"), 4)
+    return stream.select("seq", "id", "task", number("question", 0).alias("question"), number("meaning", 0).alias("meaning"), number(F.get("answers", 0), 3).alias("answer"))
