@@ -53,7 +53,7 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
 def main(argv: list[str] | None = None) -> int:
     a = arguments(argv)
     if a.command == "query":
-        from .plans import catalogue, parts, relations  # noqa: F401
+        from .plans import catalogue, parts, readings, relations  # noqa: F401
 
         if a.name not in catalogue.QUERIES:
             raise SystemExit(f"no query {a.name!r}; there are {', '.join(sorted(catalogue.QUERIES))}")
