@@ -1,15 +1,17 @@
 """HTML extraction by flat text blocks.
 
 A page is cut at its block-level tags into a flat list of text blocks. Each block has its word count and link density, those
-of the blocks before and after it, and a hint of its surroundings: 2 in an article or main element, 1 in a container named
-as content, -1 in one that often wraps whole pages but is no content by name (a form, a page header, a search or banner
-box), -2 in a menu, footer, sidebar, advert, notice, comment section or hidden element, 0 elsewhere. A decision tree
-trained on the small labelled table below says which blocks are main text; these are joined by line breaks.
+of the blocks before and after it, a hint of its surroundings, and the share of the page's words that lie in surroundings
+of content. Surroundings are 2 in an article or main element, 1 in a container named as content, 0 where nothing is said, -1 in one that often wraps whole pages but
+is no content by name (a form, a page header, a search box), -2 in one whose name may speak of side matter (related, social, notice), and -3 in what
+cannot be content (menus, footers, sidebars, adverts, cookie notices and comments by element or by name, hidden elements). A decision tree
+trained on the small labelled table below says which blocks are main text; these are joined by line breaks. So a name such as `related` takes a long text
+away only where the page has its content elsewhere, and an unnamed notice or thread outside the article goes where there is an article.
 
 Names are read from class, id and role, a whole class token at a time: of the parts of a token (`site-footer`) the last one
 that is not of general meaning decides (`comments-list` is of comments, `comments-open` and `search-results-page` say
 nothing), and a token with a part such as `no` or `with` says nothing (`with-sidebar`). An article or main element inside
-surroundings of -1 is main text again.
+surroundings of -1, and a main element inside those of -2, is main text again.
 
 Malformed pages are read as far as they go: unclosed elements end with an enclosing one, a tag cut off at the end is
 dropped, an unclosed script or style runs to the end.
@@ -42,9 +44,11 @@ SILENT = "script|style|noscript|template|svg|math|iframe|object|textarea|select|
 AWAY = _WORDS("nav footer aside dialog menu")
 HOME = _WORDS("article main")
 AWAY_NAMES = _WORDS(
-    "ad ads adbox adslot advert adverts advertisement advertising breadcrumb breadcrumbs byline comment comments commentlist complementary consent contentinfo cookie cookies copyright disclaimer discussion disqus feedback foot footer gdpr "
-    "login masthead menu modal nav navbar navigation newsletter notice notices notification alert alerts pager pagination pingback popup popular promo promotion related recommended reply replies respond share sharing side sidebar signup skip skyscraper social sponsor "
-    "sponsored subscribe subscription tagcloud trending tracking widget widgets"
+    "ad ads adbox adslot advert adverts advertisement advertising breadcrumb breadcrumbs comment comments commentlist consent contentinfo cookie cookies copyright disqus foot footer gdpr "
+    "masthead menu nav navbar navigation newsletter pagination pingback respond sidebar skip skyscraper sponsor sponsored tagcloud"
+)
+SIDE_NAMES = _WORDS(
+    "alert alerts byline complementary disclaimer discussion feedback login modal notice notices notification pager popup popular promo promotion recommended related replies reply share sharing side signup social subscribe subscription trending"
 )
 WRAP_NAMES = _WORDS("banner dialog dropdown form header overlay search toolbar topbar")
 HOME_NAMES = _WORDS("article content entry main maincontent post story articlebody")
@@ -60,14 +64,14 @@ _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidd
 
 
 def _token(token: str) -> int:
-    """What a class token says: -2, -1, 1 or nothing (0)."""
+    """What a class token says: -3, -2, -1, 1 or nothing (0)."""
     parts = [x for x in _PART.split(_HUMP.sub(r"\1-\2", token.split("--")[0]).lower()) if x]
     if TURNS.intersection(parts):
         return 0
     while len(parts) > 1 and (parts[-1] in GENERAL or len(parts[-1]) == 1):
         parts.pop()
     last = parts[-1] if parts else ""
-    return -2 if last in AWAY_NAMES else -1 if last in WRAP_NAMES else int(last in HOME_NAMES)
+    return -3 if last in AWAY_NAMES else -2 if last in SIDE_NAMES else -1 if last in WRAP_NAMES else int(last in HOME_NAMES)
 
 
 def _named(attributes: str) -> int:
@@ -78,13 +82,15 @@ def _named(attributes: str) -> int:
 
 def _surroundings(tag: str, attributes: str, now: int) -> int:
     """Of what is in this element; `now` is what its own surroundings are."""
-    if tag in ("html", "body") or now == -2:
+    if tag in ("html", "body") or now == -3:
         return now
     if tag in AWAY or (attributes and _HIDDEN.search(attributes)):
-        return -2
+        return -3
     name = _named(attributes) if attributes else 0
+    if now == -2:
+        return -3 if name == -3 else 2 if tag == "main" and name > -2 else -2
     if tag in HOME:
-        return -2 if name == -2 else 2
+        return name if name <= -2 else 2
     if tag == "header" and now >= 1:
         return now  # of the article
     if name < 0 or tag in ("header", "form"):
@@ -151,9 +157,10 @@ def blocks(page: str) -> list[tuple[str, int, float, int]]:
     return found
 
 
-#: Small labelled table: words, link density, words and link density before, words and link density after, surroundings, main text.
+#: Small labelled table: words, link density, words and link density before, words and link density after, surroundings, main text;
+#: of pages with all their content in such surroundings (share 1), or without any (share 0), as the surroundings say.
 #: Surroundings are a hint: some blocks of menus and adverts lie in articles, some text lies in what only wraps it.
-LABELLED = np.array(
+_NAMED_ROWS = np.array(
     [
         # menus, footers, adverts, notices, comments: named as such
         (1, 1.0, 0, 0.0, 1, 1.0, -2, 0), (2, 1.0, 1, 1.0, 2, 1.0, -2, 0), (6, 1.0, 2, 1.0, 4, 1.0, -2, 0), (1, 1.0, 1, 1.0, 14, 0.0, -2, 0),
@@ -202,6 +209,34 @@ LABELLED = np.array(
         (6, 0.6, 35, 0.0, 50, 0.0, 0, 1), (26, 0.0, 45, 0.0, 2, 1.0, 0, 1), (9, 0.2, 12, 0.0, 31, 0.1, 0, 1),
     ]
 )
+#: The same with the share of the page's words in surroundings of content, before the label.
+_SHARED_ROWS = np.array(
+    [
+        # beside an article that has most of the page's words: what stands outside it is no text of it, whatever its length
+        (40, 0.0, 60, 0.0, 0, 0.0, 0, 0.9, 0), (65, 0.0, 80, 0.0, 30, 0.0, 0, 0.8, 0), (12, 0.0, 3, 1.0, 50, 0.0, 0, 0.95, 0), (25, 0.1, 90, 0.0, 18, 0.0, 0, 0.7, 0),
+        (90, 0.0, 60, 0.0, 70, 0.0, 0, 0.6, 0), (6, 0.0, 30, 0.0, 45, 0.0, 0, 0.9, 0), (18, 0.0, 12, 0.0, 22, 0.0, 0, 0.8, 0), (33, 0.2, 8, 0.0, 5, 1.0, 0, 0.75, 0),
+        (120, 0.0, 40, 0.0, 35, 0.0, 0, 0.65, 0), (50, 0.0, 0, 0.0, 80, 0.0, 0, 0.85, 0), (8, 0.0, 100, 0.0, 9, 0.0, 0, 1.0, 0), (28, 0.0, 28, 0.0, 28, 0.0, 0, 0.7, 0),
+        (80, 0.0, 70, 0.0, 10, 0.0, -1, 0.8, 0), (110, 0.0, 20, 0.0, 60, 0.0, -1, 0.7, 0), (70, 0.05, 90, 0.0, 40, 0.0, -1, 0.9, 0), (95, 0.0, 4, 1.0, 75, 0.0, -1, 0.65, 0),
+        # beside a small one: a teaser or a quotation, the text is elsewhere
+        (40, 0.0, 60, 0.0, 55, 0.0, 0, 0.2, 1), (65, 0.0, 80, 0.0, 30, 0.0, 0, 0.1, 1), (25, 0.1, 90, 0.0, 18, 0.0, 0, 0.3, 1), (90, 0.0, 60, 0.0, 70, 0.0, 0, 0.25, 1),
+        (18, 0.0, 12, 0.0, 22, 0.0, 0, 0.15, 1), (33, 0.2, 28, 0.0, 45, 0.0, 0, 0.35, 1), (120, 0.0, 4, 1.0, 35, 0.0, 0, 0.3, 1), (8, 0.0, 40, 0.0, 45, 0.0, 0, 0.2, 1),
+        (12, 0.0, 30, 0.0, 50, 0.0, 2, 0.2, 1), (30, 0.1, 9, 0.0, 60, 0.0, 1, 0.3, 1), (5, 0.0, 20, 0.0, 35, 0.0, 2, 0.15, 1), (60, 0.0, 3, 1.0, 12, 0.0, 1, 0.25, 1),
+        # names of side matter: long text without links is the page's text if there is no other
+        (66, 0.0, 0, 0.0, 0, 0.0, -2, 0.0, 1), (80, 0.0, 70, 0.0, 60, 0.0, -2, 0.0, 1), (120, 0.1, 3, 1.0, 90, 0.0, -2, 0.05, 1), (58, 0.0, 40, 0.0, 4, 1.0, -2, 0.0, 1),
+        (200, 0.0, 8, 0.0, 0, 0.0, -2, 0.1, 1), (75, 0.05, 0, 0.0, 55, 0.0, -2, 0.0, 1), (95, 0.0, 60, 0.0, 2, 1.0, -2, 0.15, 1), (62, 0.0, 5, 1.0, 65, 0.0, -2, 0.0, 1),
+        (66, 0.0, 0, 0.0, 60, 0.0, -2, 0.9, 0), (80, 0.0, 70, 0.0, 60, 0.0, -2, 1.0, 0), (120, 0.1, 60, 0.0, 90, 0.0, -2, 0.8, 0), (58, 0.0, 40, 0.0, 4, 1.0, -2, 0.7, 0),
+        (200, 0.0, 80, 0.0, 0, 0.0, -2, 0.65, 0), (75, 0.05, 60, 0.0, 55, 0.0, -2, 0.9, 0), (95, 0.0, 60, 0.0, 2, 1.0, -2, 1.0, 0), (62, 0.0, 5, 1.0, 65, 0.0, -2, 0.75, 0),
+        (12, 0.0, 0, 0.0, 9, 0.0, -2, 0.0, 0), (25, 0.1, 90, 0.0, 4, 0.0, -2, 0.0, 0), (40, 0.0, 20, 0.0, 60, 0.0, -2, 0.0, 0), (70, 0.6, 5, 1.0, 30, 0.8, -2, 0.0, 0),
+    ]
+)
+
+
+def _table() -> np.ndarray:
+    """All labelled rows with a share; names of the first table's lowest rows are certain."""
+    place = _NAMED_ROWS[:, 6].copy()
+    share = (place >= 1).astype(float)
+    place[place == -2] = -3
+    return np.vstack([np.column_stack([_NAMED_ROWS[:, :6], place, share, _NAMED_ROWS[:, 7]]), _SHARED_ROWS])
 
 
 def grow(x: np.ndarray, y: np.ndarray, depth: int = 8, least: int = 2):
@@ -237,16 +272,19 @@ def decide(tree, row) -> float:
     return tree
 
 
-TREE = grow(LABELLED[:, :-1], LABELLED[:, -1])
+LABELLED = _table()
+TREE = grow(LABELLED[:, :-1], LABELLED[:, -1], depth=12)
 
 
 def main_text(page: str | None, tree=TREE) -> str:
     found = blocks(page) if page else []
+    weighed = [(words * (1 - density), place) for _, words, density, place in found if place > -3]
+    share = sum(w for w, place in weighed if place >= 1) / max(1e-9, sum(w for w, _ in weighed))
     out = []
     for k, (text, words, density, place) in enumerate(found):
         before = found[k - 1] if k else ("", 0, 0.0, 0)
         after = found[k + 1] if k + 1 < len(found) else ("", 0, 0.0, 0)
-        if decide(tree, (words, density, before[1], before[2], after[1], after[2], place)) >= 0.5:
+        if decide(tree, (words, density, before[1], before[2], after[1], after[2], place, share)) >= 0.5:
             out.append(text)
     return "\n".join(out)
 
