@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import prompts, table_functions
 from ..functions.maths import places
 from ..operators import joins, numerics
 from ..operators.asof import as_of
@@ -112,3 +113,38 @@ def feature_scan(spark, d):
     stream = joins.feature_stream(stored, fx.events(spark, d))
     number = lambda c, n: places(F.get(c, n).cast("double"), 4)
     return stream.select("seq", "id", "task", number("question", 0).alias("question"), number("meaning", 0).alias("meaning"), number(F.get("answers", 0), 3).alias("answer"))
+
+
+# ---------------------------------------------------------------- table functions
+
+#: The lines of an order as the steps of a question: a relation of the part, then questions about earlier answers.
+_STEPS = """SELECT CAST(l_orderkey AS {text}) AS question_id, l_linenumber AS step, CAST(l_partkey AS {text}) AS answer, CASE l_linenumber % 3 WHEN 1 THEN concat(' part ', CAST(l_partkey AS {text}), ' >> maker ')
+  WHEN 2 THEN concat('Who sold #', CAST(l_linenumber - 1 AS {text}), ' of supplier ', CAST(l_suppkey AS {text}), '?') ELSE concat('Is #1 as large as #', CAST(l_linenumber - 1 AS {text}), '0 or #2?') END AS question FROM lineitem"""
+
+
+@query(f"""WITH s AS (SELECT *, row_number() OVER w AS h, first_value(answer) OVER w AS one, nth_value(answer, 2) OVER (PARTITION BY question_id ORDER BY step, answer, question ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS two FROM ({_STEPS.format(text='VARCHAR')}) WINDOW w AS (PARTITION BY question_id ORDER BY step, answer, question)),
+n AS (SELECT s.*, p.answer AS earlier FROM s LEFT JOIN s p ON p.question_id = s.question_id AND p.h = s.step - 1 AND p.h < s.h)
+SELECT question_id || '/h' || h AS id, question_id, CAST(h AS INTEGER) AS sub_task, answer, CASE step % 3 WHEN 1 THEN 'What is the ''maker'' of ' || trim(split_part(question, '>>', 1)) || '?'
+  WHEN 2 THEN CASE WHEN earlier IS NULL THEN question ELSE replace(question, '#' || (step - 1) || ' ', earlier || ' ') END
+  ELSE replace(CASE WHEN h > 2 THEN replace(question, '#2?', two || '?') ELSE question END, '#1 ', CASE WHEN h > 1 THEN one ELSE '#1' END || ' ') END AS problem FROM n""")
+def hops_in_sql(spark, d):
+    """The hops of questions by a table function with PARTITION BY, from SQL."""
+    table_functions.register(spark)
+    fx.read(spark, d, "lineitem").createOrReplaceTempView("lineitem")
+    return spark.sql(f"SELECT id, question_id, sub_task, answer, problem FROM question_hops(TABLE({_STEPS.format(text='STRING')}) PARTITION BY question_id ORDER BY (step, answer, question))")
+
+
+_ASKED = "SELECT conv_id, min(CASE WHEN role = 'user' THEN text END) AS question, count(*) AS n FROM conversations GROUP BY conv_id"
+
+
+@query(f"""WITH a AS ({_ASKED}), t AS (SELECT conv_id, list(trim(coalesce(text, ''), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) ORDER BY turn, text) AS ts FROM conversations GROUP BY conv_id),
+j AS (SELECT a.conv_id, question, ts, unnest(range(len(ts))) AS slot FROM a JOIN t ON t.conv_id = a.conv_id)
+SELECT conv_id, CAST(slot AS INTEGER) AS slot, md5('Question:' || chr(10) || trim(coalesce(question, ''), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) || chr(10) || chr(10) || 'Peer responses:' || chr(10) || chr(10) ||
+  array_to_string(list_transform(ts, lambda x, k: 'Response ' || (k - 1) || CASE WHEN k - 1 = slot THEN ' [candidate under review]' ELSE '' END || ':' || chr(10) || x), chr(10) || chr(10)) || chr(10) || chr(10) ||
+  'Candidate under review: Response ' || slot || chr(10) || chr(10) || 'Instruction:' || chr(10) || '{prompts.JUDGE}' || chr(10) || chr(10) || 'Answer:') AS prompt FROM j""")
+def judge_prompts_in_sql(spark, d):
+    """A judge's prompt for each turn of a conversation among its turns, by a lateral table function."""
+    table_functions.register(spark)
+    fx.read(spark, d, "conversations").createOrReplaceTempView("conversations")
+    return spark.sql(f"""WITH a AS ({_ASKED}), t AS (SELECT conv_id, transform(array_sort(collect_list(struct(turn, text))), x -> x.text) AS ts FROM conversations GROUP BY conv_id)
+        SELECT a.conv_id, j.slot, md5(j.prompt) AS prompt FROM a JOIN t ON t.conv_id = a.conv_id, LATERAL judge_prompts(a.question, t.ts, CAST(NULL AS STRING)) j""")
