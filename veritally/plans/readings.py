@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import prompts, symbolic, tasks
+from ..functions import prompts, symbolic, tasks, timed
 from . import fixtures as fx
 from .catalogue import query
 
@@ -59,6 +59,14 @@ def solutions_verified(spark, d):
     return _solutions(spark, d).select("o_orderkey", symbolic.answers_agree_udf("text", "answer").alias("same"))
 
 
+@query(f"""WITH {_MATHS}, v AS (SELECT *, {_X} AS x, {_Y} AS y FROM n)
+SELECT o_orderkey, 'graded' AS verdict, CASE WHEN k = 4 THEN e = 0 WHEN abs(x - y) <= greatest(1e-4 * greatest(abs(x), abs(y)), 1e-4) THEN TRUE ELSE FALSE END AS same FROM v""")
+def solutions_in_time(spark, d):
+    """The same in a process of its own that a value may keep busy for some seconds only."""
+    found = _solutions(spark, d).select("o_orderkey", timed.answers_agree_within()("text", "answer").alias("g"))
+    return found.select("o_orderkey", F.col("g.verdict").alias("verdict"), F.col("g.value").alias("same"))
+
+
 # ---------------------------------------------------------------- options
 
 _LETTERS = "l AS (SELECT event_id, event_id % 7 AS k, chr(CAST(65 + user_id % 4 AS INTEGER)) AS g, chr(CAST(65 + event_id % 4 AS INTEGER)) AS s, chr(CAST(65 + event_id // 4 % 4 AS INTEGER)) AS o FROM events)"

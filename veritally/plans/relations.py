@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import prompts, table_functions
 from ..functions.maths import places
-from ..operators import joins, numerics
+from ..operators import joins, numerics, sketches
 from ..operators.asof import as_of
 from ..operators.intervals import held_values, interval_join
 from ..sources import feature_shards
@@ -148,3 +148,27 @@ def judge_prompts_in_sql(spark, d):
     fx.read(spark, d, "conversations").createOrReplaceTempView("conversations")
     return spark.sql(f"""WITH a AS ({_ASKED}), t AS (SELECT conv_id, transform(array_sort(collect_list(struct(turn, text))), x -> x.text) AS ts FROM conversations GROUP BY conv_id)
         SELECT a.conv_id, j.slot, md5(j.prompt) AS prompt FROM a JOIN t ON t.conv_id = a.conv_id, LATERAL judge_prompts(a.question, t.ts, CAST(NULL AS STRING)) j""")
+
+
+# ---------------------------------------------------------------- sketches
+
+
+@query("""SELECT event_type, count(DISTINCT user_id) AS users, count(DISTINCT props) AS kinds, count(DISTINCT event_id) AS events FROM events GROUP BY event_type""")
+def distinct_exact(spark, d):
+    return fx.read(spark, d, "events").groupBy("event_type").agg(*[F.count_distinct(c).alias(n) for n, c in (("users", "user_id"), ("kinds", "props"), ("events", "event_id"))])
+
+
+@query("""SELECT event_type, name, n AS exact, TRUE AS within, TRUE AS merged_as_one FROM (UNPIVOT (SELECT event_type, count(DISTINCT user_id) AS users, count(DISTINCT event_id) AS events FROM events GROUP BY event_type) ON users, events INTO NAME name VALUE n)""")
+def distinct_sketch(spark, d):
+    """Sketches of users and events by shard, merged: within four standard errors of the exact counts, and near the sketch of one pass."""
+    rows = fx.read(spark, d, "events")
+    out = None
+    for name, column in (("users", "user_id"), ("events", "event_id")):
+        parts = sketches.shard_sketches(rows, ["event_type"], F.col("event_id") % 16, column)
+        found = sketches.estimated(sketches.merged(parts, ["event_type"]), "merged")
+        one = rows.groupBy("event_type").agg(F.hll_sketch_agg(F.col(column), F.lit(sketches.LG)).alias("sketch"), F.count_distinct(column).alias("exact"))
+        both = sketches.estimated(one, "one").join(found, "event_type")
+        limit = F.lit(4 * sketches.error()) * F.col("exact") + 1
+        both = both.select("event_type", F.lit(name).alias("name"), "exact", (F.abs(F.col("merged") - F.col("exact")) <= limit).alias("within"), (F.abs(F.col("merged") - F.col("one")) <= limit / 4).alias("merged_as_one"))
+        out = both if out is None else out.unionByName(both)
+    return out
