@@ -149,8 +149,10 @@ def manifest(rows: DataFrame, columns: tuple = COLUMNS, key: str = "doc_id", tre
     """
     plain = {c: F.col(c) for c in columns}
     altered = F.lit(None).cast("string") if tampered is None else F.when(tampered.isNotNull(), leaf(plain | {text: tampered}))
-    leaves = rows.select(F.col(key).alias("_key"), named(F.col(tree)).alias("_tree"), leaf(plain).alias("digest"), altered.alias("_altered"))
-    leaves = placed(leaves, ["_key", "digest"], "merkle")
+    # written first, as finding the ranges would read and hash all texts once more
+    hashed = table(rows.select(F.col(key).alias("_key"), named(F.col(tree)).alias("_tree"), leaf(plain).alias("digest"), altered.alias("_altered")), "merkle-leaves")
+    leaves = placed(hashed, ["_key", "digest"], "merkle")
+    forget(hashed)
     runs = grown(leaves, "merkle")
     roots = placed(tops(leaves, runs).select(F.col("_tree").alias("_name"), F.lit("").alias("_tree"), "digest"), ["_name"], "merkle-top")
     upper = grown(roots, "merkle-top")
