@@ -10,7 +10,7 @@ from ..functions import prompts, symbolic, tasks
 from ..functions import text as T
 from ..functions.hashing import stable_fraction
 from ..functions.maths import places
-from ..operators import arbitration, joins, record
+from ..operators import arbitration, blocked, joins, record
 from . import fixtures as fx
 from .catalogue import LN, _fl, query
 from .fixtures import BR, EV, u
@@ -71,13 +71,16 @@ def no_record_rows(spark, d):
 _DIM = 3
 
 
-def _record_sql(dim: int) -> str:
-    """The posterior along each stream of vectors by a recursive query, by Gauss elimination of the small system."""
+def _record_sql(dim: int, keep: float | None = None) -> str:
+    """The posterior along each stream of vectors by a recursive query, by Gauss elimination of the small system; with forgetting if asked."""
     n = dim + 1
     x = [f"coalesce(CAST(embedding[{k + 1}] AS DOUBLE), 0)" for k in range(dim)] + ["1e0"]
     state = ", ".join([f"a{i}{j}" for i in range(n) for j in range(i, n)] + [f"b{i}" for i in range(n)])
     zero = ", ".join(["100e0" if i == j else "0e0" for i in range(n) for j in range(i, n)] + ["0e0"] * n)
     now = ", ".join([f"a{i}{j} + x{i} * x{j}" for i in range(n) for j in range(i, n)] + [f"b{i} + x{i} * y" for i in range(n)])
+    if keep is not None:
+        prior = lambda i, j: f" + {(1 - keep) * 100!r}" if i == j else ""
+        now = ", ".join([f"{keep!r} * a{i}{j}{prior(i, j)} + x{i} * x{j}" for i in range(n) for j in range(i, n)] + [f"{keep!r} * b{i} + x{i} * y" for i in range(n)])
     # elimination, written out
     m = {(i, j): f"a{min(i, j)}{max(i, j)}" for i in range(n) for j in range(n)}
     rhs = {(i, 0): f"b{i}" for i in range(n)} | {(i, 1): f"x{i}" for i in range(n)}
@@ -117,6 +120,31 @@ def record_of_three(spark, d):
     return out.select("vec_id", places(F.get("mean", 0), 6).alias("mean"), places(F.col("variance"), 6).alias("variance"))
 
 
+def _vectors(spark, d):
+    """Streams of the first numbers of vectors, each with a label."""
+    rows = fx.read(spark, d, "embeddings").withColumn("stream", F.col("vec_id") % 4)
+    return rows.select("stream", F.col("vec_id"), F.transform(F.slice("embedding", 1, _DIM), lambda x: x.cast("double")).alias("address"), F.array((F.col("label") % 3 == 0).cast("int")).alias("labels"))
+
+
+def _means(out):
+    return out.select("vec_id", places(F.get("mean", 0), 6).alias("mean"), places(F.col("variance"), 6).alias("variance"))
+
+
+@query(_record_sql(_DIM))
+def record_in_blocks(spark, d):
+    return _means(blocked.fold_in_blocks(_vectors(spark, d), "stream", "vec_id", block=50))
+
+
+@query(_record_sql(_DIM, 0.97))
+def forgetting_of_three(spark, d):
+    return _means(record.fold(_vectors(spark, d), "stream", "vec_id", keep=0.97))
+
+
+@query(_record_sql(_DIM, 0.97))
+def forgetting_in_blocks(spark, d):
+    return _means(blocked.fold_in_blocks(_vectors(spark, d), "stream", "vec_id", keep=0.97, block=50))
+
+
 _X = [f"coalesce(CAST(embedding[{k + 1}] AS DOUBLE), 0)" for k in range(_DIM)] + ["1e0"]
 
 
