@@ -169,6 +169,14 @@ def test_items_and_the_documents_that_hold_them(spark):
     assert got == {(1, 1), (1, 2), (1, 3), (2, 1), (2, 2), (2, 3), (3, 5)}
 
 
+def test_very_many_short_items_take_several_passes(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "MOST_SHORT", 3)
+    docs = frame(spark, [(k, f"begin{k} end{k % 4}") for k in range(12)], "doc_id int, text string")
+    items = frame(spark, [(k, f"n{k} end") for k in range(12)] + [(50, "end3"), (51, "nothing"), (52, "end3"), (53, "")], "item_id int, text string")
+    got = {(r.item_id, r.doc_id) for r in retrieval.holding(docs, items).collect()}
+    assert got == {(k, k) for k in range(12)} | {(i, k) for i in (50, 52) for k in (3, 7, 11)} | {(53, k) for k in range(12)}
+
+
 def test_repeated_answers_are_added_once(spark):
     events = frame(spark, [("a",), ("b",)], "id string")
     said = frame(spark, [("a", "p", "x", 1), ("a", "p", "x", 1), ("a", "q", "y", 0), ("b", "p", "x", 1), ("b", "p", "z", 0)], "id string, peer string, response string, correct int")

@@ -71,7 +71,7 @@ def select_answers(answers: DataFrame, regime: Regime, events: int, event: str =
         sizes = answers.filter("_open").groupBy(peer, "_r").agg(F.count("*").alias("_c"))
         before = Window.partitionBy(peer).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
         sizes = sizes.withColumn("_before", F.coalesce(F.sum("_c").over(before), F.lit(0))).select(F.col(peer).alias("_peer"), F.col("_r").alias("_range"), "_before")
-        out = answers.join(F.broadcast(sizes), (F.col(peer) == F.col("_peer")) & (F.col("_r") == F.col("_range")), "left")
+        out = answers.join(sizes, (F.col(peer) == F.col("_peer")) & (F.col("_r") == F.col("_range")), "left")
         rank = F.row_number().over(Window.partitionBy(peer, "_r", "_open").orderBy("_u", event))
         return out.withColumn("selected", F.col("_open") & (F.coalesce("_before", F.lit(0)) + rank <= want)).drop("_open", "_u", "_r", "_peer", "_range", "_before")
     chosen = covered & (stable_fraction(regime.seed, regime.name, p, e) < regime.rate)

@@ -59,7 +59,7 @@ def recall(ranked: DataFrame, support: DataFrame, query: str, doc: str) -> DataF
     return hit.agg(F.count("*").alias("queries"), F.sum(F.coalesce("hit", F.lit(0))).cast("long").alias("found"))
 
 
-#: Texts of fewer than three words at most: they have no word that a holder must have whole, and are looked for one by one.
+#: Texts of fewer than three words have no word that a holder must have whole, and are looked for one by one: so many in a pass over the documents.
 MOST_SHORT = 1_000
 
 
@@ -67,7 +67,8 @@ def holding(docs: DataFrame, items: DataFrame, doc: str = "doc_id", item: str =
     """(item, doc) of the documents whose text holds the item's text.
 
     A holder has each word of the item but the first and the last as a whole word, so only documents with the rarest of these
-    are compared with the item: the work follows the rarest words, not documents times items.
+    are compared with the item: the work follows the rarest words, not documents times items. Items of fewer than three words are
+    looked for in every document, `MOST_SHORT` in a pass.
     """
     words = lambda c: F.regexp_extract_all(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit(r"(?U)\w+"), F.lit(0))
     rows = items.filter(F.col(text).isNotNull()).select(F.col(item), F.col(text).alias("_item"), words(text).alias("_w"))
@@ -77,10 +78,11 @@ def holding(docs: DataFrame, items: DataFrame, doc: str = "doc_id", item: str =
     rarest = inner.join(often, "_term").groupBy(item).agg(F.min_by("_term", F.struct("_df", "_term")).alias("_term"))
     pairs = seen.join(rarest, "_term").select(item, doc)
     found = pairs.join(docs.select(doc, text), doc).join(rows.select(item, "_item"), item).filter(F.contains(text, "_item")).select(item, doc)
-    short = rows.filter(F.size("_w") <= 2).select(item, "_item").limit(MOST_SHORT + 1).collect()
-    if len(short) > MOST_SHORT:
-        raise ValueError(f"over {MOST_SHORT} items have fewer than three words")
-    if short:
-        each = F.array(*[F.when(F.contains(text, F.lit(r["_item"])), F.lit(r[item])) for r in short])
-        found = found.union(docs.select(F.explode(F.array_compact(each)).alias(item), doc))
+    short = rows.filter(F.size("_w") <= 2).select(item, "_item").distinct()
+    passes = -(-short.count() // MOST_SHORT)
+    for k in range(passes):
+        some = short.filter(F.pmod(F.xxhash64(item, "_item"), F.lit(passes)) == k).collect()
+        if some:
+            each = F.array(*[F.when(F.contains(text, F.lit(r["_item"])), F.lit(r[item])) for r in some])
+            found = found.union(docs.select(F.explode(F.array_compact(each)).alias(item), doc))
     return found.distinct()
