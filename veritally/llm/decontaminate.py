@@ -224,6 +224,8 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
+    """Leaks of all items in all documents. Exact pieces propose the parts of a text, the walks' samples say which of them are verified: the
+    embedding thins what the pieces leave, as walking every window of every item's size costs more than the documents' words allow."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = with_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep_text=False)
     return found.select("doc_id", F.explode("leaks").alias("x")).select("doc_id", "x.item_id", "x.distance", "x.start", "x.end")
