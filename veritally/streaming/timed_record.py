@@ -51,15 +51,22 @@ class InTime(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         now, expired = timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()
         walked, last = self.seen.get() if self.seen.exists() else (-1, -1)
-        if self.forget is not None and last >= 0 and expired == last + self.forget:
+        over = self.forget is not None and last >= 0 and expired == last + self.forget
+        out = []
+        if over or expired > walked:  # else an earlier timer of this round has walked all that is due
+            out = self._walk(key, now)
+        if over:  # timers of one round come in any order, so what was due has been walked before the key is cleared
             for state in (self.waiting, self.memory, self.seen):
                 state.clear()
-            yield pd.DataFrame()
-            return
-        if expired <= walked:  # an earlier timer of this round has walked all that is due
-            yield pd.DataFrame()
-            return
+        elif out:
+            self.seen.update((max(now, expired), last))
+        yield pd.DataFrame(out, columns=[self.key, "id", "at", "mean", "variance", "probability"]) if out else pd.DataFrame()
+
+    def _walk(self, key, now: int) -> list[tuple]:
+        """Read and write the events that the watermark has passed, in order."""
         due = sorted((k, v) for k, v in self.waiting.iterator() if k[0] <= now)
+        if not due:
+            return []
         record = Posterior(self.dim + 1, self.heads, self.precision, self.keep)
         if self.memory.exists():
             record.restore(bytes(self.memory.get()[0]))
@@ -71,8 +78,7 @@ class InTime(StatefulProcessor):
             record.write(x, 2.0 * np.array(labels) - 1)
             self.waiting.removeKey((at, i))
         self.memory.update((record.snapshot(),))
-        self.seen.update((max(now, expired), last))
-        yield pd.DataFrame(out, columns=[self.key, "id", "at", "mean", "variance", "probability"])
+        return out
 
     def close(self) -> None:
         pass
