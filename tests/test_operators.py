@@ -17,6 +17,30 @@ def test_numbering_in_ranges_equals_one_sort(spark):
         assert [g[2] for g in got] == list(range(500)) and [g[:2] for g in got] == sorted(rows)
 
 
+def test_numbering_in_ranges_of_times_without_a_zone_and_dates(spark):
+    rng = random.Random(3)
+    rows = [(rng.randrange(4000), k) for k in range(300)]
+    # the clock of this zone skips an hour on this day, and the times differ by fractions of a second
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
+    try:
+        for kind, step in (("timestamp_ntz", "make_dt_interval(0, 0, 0, a * 2.000001)"), ("timestamp", "make_dt_interval(0, 0, 0, a * 2.000001)"), ("date", "CAST(a AS INT)")):
+            first = "DATE'2024-03-31'" if kind == "date" else f"{kind}'2024-03-31 01:00:00'"
+            df = spark.createDataFrame(rows, "a long, b long").selectExpr("a", "b", f"{first} + {step} AS t")
+            assert df.schema["t"].dataType.typeName() == kind
+            got = sorted((r.a, r.b, r.seq) for r in order.numbered(df, ["t", "b"], bucket_rows=20).select("a", "b", "seq").collect())
+            assert [g[2] for g in got] == list(range(300)) and [g[:2] for g in got] == sorted(rows)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_numbered_ranges_feed_groups_of_a_derived_column(spark):
+    """Nothing but the key and a label of the numbered rows is read on; their number is not."""
+    df = spark.createDataFrame([(k * 7 % 300, k, "ab"[k % 2]) for k in range(300)], "a long, b long, g string").selectExpr("TIMESTAMP_NTZ'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, a) AS t", "b", "g")
+    out = order.numbered(df, ["t", "b"], bucket_rows=100)
+    rows = out.select("b", "g", F.explode(F.array(F.lit(0), F.lit(1))).alias("p")).groupingSets([[], ["g"]], "g").agg(F.count("*").alias("n"))
+    assert sorted((r.g or "", r.n) for r in rows.collect()) == [("", 600), ("a", 300), ("b", 300)]
+
+
 def test_bins_and_segments(spark):
     for n in (7, 24, 100):
         df = spark.range(n)
