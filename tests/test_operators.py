@@ -41,6 +41,11 @@ def test_numbered_ranges_feed_groups_of_a_derived_column(spark):
     assert sorted((r.g or "", r.n) for r in rows.collect()) == [("", 600), ("a", 300), ("b", 300)]
 
 
+def test_numbered_ranges_stay_in_several_tasks(spark):
+    out = order.numbered(spark.range(400).withColumn("b", F.lit(0)), ["id", "b"], bucket_rows=50)
+    assert out.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+
+
 def test_bins_and_segments(spark):
     for n in (7, 24, 100):
         df = spark.range(n)
