@@ -46,6 +46,17 @@ def test_numbered_ranges_stay_in_several_tasks(spark):
     assert out.select(F.spark_partition_id().alias("p")).distinct().count() > 1
 
 
+def test_ranges_are_found_by_halving(spark):
+    values = [None, -np.inf, *np.arange(-2, 310, 0.5).tolist(), np.inf, np.nan]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for cuts in ([4.0], [1.0, 2.0, 7.5], sorted(random.Random(1).sample(range(300), 150))):
+        got = df.select("v", order._cuts_below(F.col("v"), [float(c) for c in cuts]).alias("n")).collect()
+        assert all(r.n == (0 if r.v is None else sum(bool(np.isnan(r.v) or c < r.v) for c in cuts)) for r in got)
+    # the value is computed once a row, not once a cut that it is compared with
+    plan = df.select(order._cuts_below(F.col("v") + 0.25, [float(c) for c in range(1000)]).alias("n"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("0.25") == 1
+
+
 def test_bins_and_segments(spark):
     for n in (7, 24, 100):
         df = spark.range(n)
