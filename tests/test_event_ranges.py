@@ -18,7 +18,7 @@ def ranges(monkeypatch):
     monkeypatch.setattr(fixtures, "numbered", lambda df, order, *_, **__: numbered(df, order, bucket_rows=90))
 
 
-@pytest.mark.parametrize("name", ["favourite_on_mixed", "feature_join", "feature_scan"])
+@pytest.mark.parametrize("name", ["favourite_on_mixed", "feature_join", "feature_scan", "feature_subset"])
 def test_query_in_ranges_equals_sql(spark, ranges, name):
     c = pytest.importorskip("duckdb").connect()
     for f in ("events", "embeddings"):
