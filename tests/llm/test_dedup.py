@@ -233,6 +233,29 @@ def test_many_texts_just_below_the_limit_make_few_pairs(spark, monkeypatch):
     assert sum(pairs) < 150 * near_dedup.BANDS * 2
 
 
+@pytest.mark.parametrize("repeated", [0, 200])
+def test_texts_that_differ_from_their_leader_in_other_ways_make_few_pairs(spark, monkeypatch, repeated):
+    """Edits of one text, or own texts beside a line that weighs most: nearly all at 0.65 to 0.78 to all others, a few linked. The
+    differences from the leader keep the others apart in the second pass, and every link of the brute force is there."""
+    rng = random.Random(17)
+    base, line, texts = sentence(rng, 300).split(), sentence(rng, 1, "z") + " ", []
+    for k in range(70):
+        own = base[:]
+        if repeated:
+            own = sentence(rng, 44).split()
+        for place in rng.sample(range(8, 290), 0 if repeated else 5):
+            own[place] = sentence(rng, 1, f"u{k}")
+        texts.append(line * repeated + " ".join(own))
+    for k in range(3):
+        texts.append(f"{texts[20 + 10 * k]} end")
+    pairs = []
+    monkeypatch.setattr(near_dedup, "verified", lambda p, s, least, real=near_dedup.verified: (pairs.append(p.count()), real(p, s, least))[1])
+    got = {r.doc_id: r.class_id for r in near_dedup.classes(spark.createDataFrame(rows(texts), SCHEMA)).collect()}
+    assert got == brute_classes(range(len(texts)), texts)
+    assert len(set(got.values())) >= 50
+    assert len(pairs) == 2 and pairs[1] < 100
+
+
 def test_one_row_of_a_class_stays_whatever_its_key(spark):
     rng = random.Random(14)
     a, b, c, d = (sentence(rng, 60) for _ in range(4))

@@ -14,7 +14,8 @@ is linear in the bucket. A second pass is for buckets that are still of several
 are compared with the bucket's texts in other components, except where a bound shows that they cannot be linked. A text
 whose shingles are over a fifth its own (no other such text has them), by number and by count, is like none; a pair's similarity is bounded by its
 sizes and shared shingles, so texts without repeated shingles meet only where their sizes (in steps of `WIDTH`) allow a link: many
-texts of a size that share too little with all others make no pairs; and pairs that agree in too few registers, by counts and by weights 1, are left out. A pair at
+texts of a size that share too little with all others make no pairs; pairs whose shingles differ too much are left out, by a bitmap
+of what each has other than the bucket's leader (see `differences`); and so are pairs that agree in too few registers, by counts and by weights 1. A pair at
 similarity 0.8 of either kind shares no band with probability (1 - 0.8 ** ROWS) ** BANDS, 2e-5 here.
 
 Result: one row per document with class_id, the least key of its class (a connected component of links). Defined results:
@@ -41,6 +42,8 @@ M = BANDS * ROWS
 FINE, NEAR = 256, 176
 #: Ratio of the sizes that meet in the second pass.
 WIDTH = 1.1
+#: Bits of the bitmap of a text's differences from its bucket's leader.
+BITS = 2048
 SIGNS = ["buckets", "registers", "plain_buckets", "plain_registers"]
 
 
@@ -196,6 +199,49 @@ def shares(sets: DataFrame) -> DataFrame:
     return total.join(alone, "id", "left").select("id", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("shared"), "even", (1 - F.coalesce("alone_part", F.lit(0.0))).alias("weight_share"))
 
 
+def differences(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(leader, key, total, off, bits) of pairs (leader, key): the text's shingles by count, how far its counts are off the leader's (off
+    1, where the leader has none), and a bitmap of the shingles that one of both has and the other has not.
+
+    What two texts x and y differ in is what their differences from a third one differ in, and each bit in which their bitmaps
+    differ stands for at least one shingle of those. At a plain Jaccard of t they differ in (1 - t) / (1 + t) of |x| + |y| at most. At
+    a probability Jaccard of t, with counts x_i and y_i and U the sum of the greater ones, the part of a shared shingle is at most
+    max(x_i, y_i) / U; so the others weigh (1 - t) / (1 + t) of both totals and of what the counts of shared ones differ by, at most,
+    which is not over what both are off. So `too_far` leaves out no link, whatever the bits are.
+    """
+    left = sets.select(F.col("key").alias("leader"), F.col("elements").alias("el"), F.col("weights").alias("wl"))
+    # as in `verified`, the leader may be hot
+    both = pairs.join(sets.select("key", F.col("elements").alias("ek"), F.col("weights").alias("wk")), "key").join(left, "leader")
+
+    def unpack(e, w):
+        e = np.frombuffer(e, np.uint64)
+        return e, np.frombuffer(w, np.uint32).astype(np.int64) if w else np.ones(len(e), np.int64)
+
+    def run(batches):
+        for batch in batches:
+            bits, total, off = np.zeros((batch.num_rows, BITS // 64), np.uint64), [], []
+            for k, (ek, wk, el, wl) in enumerate(zip(*(batch.column(n) for n in ("ek", "wk", "el", "wl")), strict=True)):
+                (own, x), (others, y) = unpack(ek.as_buffer(), wk.as_py()), unpack(el.as_buffer(), wl.as_py())
+                _, i, j = np.intersect1d(own, others, assume_unique=True, return_indices=True)
+                place = np.concatenate([np.delete(own, i), np.delete(others, j)]) % np.uint64(BITS)
+                np.bitwise_or.at(bits[k], (place >> np.uint64(6)).astype(np.int64), np.uint64(1) << (place & np.uint64(63)))
+                likely = np.ones(len(own), np.int64)
+                likely[i] = y[j]
+                total.append(int(x.sum()))
+                off.append(int(np.abs(x - likely).sum()))
+            lists = pa.FixedSizeListArray.from_arrays(pa.array(bits.view(np.int64).ravel()), BITS // 64).cast(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("leader"), batch.column("key"), pa.array(total, pa.int64()), pa.array(off, pa.int64()), lists], ["leader", "key", "total", "off", "bits"])
+
+    return both.select("leader", "key", "ek", "wk", "el", "wl").mapInArrow(run, "leader binary, key binary, total long, off long, bits array<long>")
+
+
+def too_far(x: str, y: str, least: float):
+    """Whether the bitmaps of two texts of a bucket (columns that end in x and y) show that they are not linked."""
+    apart = sum((F.bit_count(F.get(f"bits_{x}", F.lit(k)).bitwiseXOR(F.get(f"bits_{y}", F.lit(k)))) for k in range(BITS // 64)), F.lit(0))
+    most = sum((F.col(f"{c}_{side}") for c in ("total", "off") for side in (x, y)), F.lit(0))
+    return apart > most * ((1 - least) / (1 + least)) + 1e-6
+
+
 def signed(sets: DataFrame) -> DataFrame:
     """(key, buckets, registers, plain_buckets, plain_registers) of sets: the band keys, and 16 bits of each of FINE registers.
 
@@ -249,7 +295,7 @@ def links(texts: DataFrame, key: str, text: str, name: str, least: float = SIMIL
     found = table(verified(pairs, sets, least), "near-links")
     roots = components(found)
     # texts of a bucket outside the component that has most of it
-    placed = table(shared.select("bucket", "key").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key")), "near-placed")
+    placed = table(shared.select("bucket", "leader", "key").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key")), "near-placed")
     heads = placed.groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("n", "root")).alias("head")).filter(F.col("roots") > 1)
     split = table(placed.join(table(heads.select("bucket", "head"), "near-heads"), "bucket"), "near-split")
     if split.isEmpty():
@@ -261,8 +307,10 @@ def links(texts: DataFrame, key: str, text: str, name: str, least: float = SIMIL
     bound = table(shares(opened).filter(able).drop("weight_share"), "near-bounds")
     kept = opened.join(bound, "id").drop("id")
     signs = table(kept.select("key", "size", "shared", "even").join(signed(kept).dropDuplicates(["key"]), "key"), "near-signs")
-    split = table(split.join(signs, "key"), "near-candidates")
-    names = ("key", "root", "size", "shared", "even", *SIGNS)
+    split = table(split.join(signs.select("key"), "key"), "near-able")
+    apart = table(differences(split.select("leader", "key").distinct(), sets), "near-apart")
+    split = table(split.join(apart, ["leader", "key"]).join(signs, "key"), "near-candidates")
+    names = ("key", "root", "size", "shared", "even", "total", "off", "bits", *SIGNS)
     x = split.filter(F.col("root") != F.col("head")).select("bucket", *[F.col(c).alias(f"{c}_x") for c in names])
     y = split.select("bucket", "head", *[F.col(c).alias(f"{c}_y") for c in names])
     most = F.least("shared_x", "shared_y")
@@ -291,7 +339,7 @@ def links(texts: DataFrame, key: str, text: str, name: str, least: float = SIMIL
     by_size = by_size.withColumn("sizes", F.explode(F.sequence(step(F.col("low")), step(F.col("high"))))).drop("low", "high")
     met = by_size.join(y.filter("even_y").withColumn("sizes", step(F.col("size_y"))), ["bucket", "sizes"]).drop("sizes")
     met = met.unionByName(x.filter("NOT even_x").join(y, "bucket")).unionByName(x.filter("even_x").join(y.filter("NOT even_y"), "bucket"))
-    more = met.filter((F.col("root_x") != F.col("root_y")) & once & sized & first & agree)
+    more = met.filter((F.col("root_x") != F.col("root_y")) & once & sized & ~too_far("x", "y", least) & first & agree)
     more = table(more.select(F.least("key_x", "key_y").alias("a"), F.greatest("key_x", "key_y").alias("b")).distinct(), "near-more")
     again = table(verified(more, sets, least), "near-links")
     return roots if again.isEmpty() else components(found.union(again))
